@@ -67,7 +67,7 @@ def search(tree: dict, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray,
     The frontier of a query starts at the root; nodes whose bound is below the kth score known so far go, the others
     give way to their children. Leaves are then visited in order of falling bound, each raising the kth score.
     """
-    n, big = len(ids), np.int64(-(2**63))
+    n, big = len(ids), np.int64(-(2**63 - 1))
     exact = np.abs(vectors).max(initial=0).astype(float) * max(1.0, np.abs(tree["vectors"]).max(initial=0).astype(float)) * max(1, vectors.shape[1]) < 2**52
     kind = np.float64 if exact else object  # products within 2**52 are exact in BLAS
     q, v = vectors.astype(kind), tree["vectors"].astype(kind)
