@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_pieces", "op2_topk", "op3_flac")
+MODULES = ("op1_pieces", "op2_topk", "op3_flac", "op4_dedup")
 
 
 def _collect(name: str) -> dict:
