@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_pieces", "op2_topk", "op3_flac", "op4_dedup")
+MODULES = ("op1_pieces", "op2_topk", "op3_flac", "op4_dedup", "op5_mix", "op6_wavelet")
 
 
 def _collect(name: str) -> dict:
