@@ -7,7 +7,18 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_pieces", "op2_topk", "op3_flac", "op4_dedup", "op5_mix", "op6_wavelet")
+MODULES = (
+    "op1_pieces",
+    "op2_topk",
+    "op3_flac",
+    "op4_dedup",
+    "op5_mix",
+    "op6_wavelet",
+    "op7_html",
+    "op8_pii",
+    "op9_toxic",
+    "op10_secrets",
+)
 
 
 def _collect(name: str) -> dict:
