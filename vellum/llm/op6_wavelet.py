@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD, REMEMBER, BLOCK = 1 << 19, 300_000, 512
+SHARD, REMEMBER, BLOCK = 1 << 19, 600_000, 512
 MAGIC = b"VWM1"
 
 
@@ -172,32 +173,61 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts word by word, remembering words."""
+    """Encodes texts word by word. Words are remembered in two generations: a full one grows old, and what is used again returns from it."""
 
     def __init__(self, path: str, end: int):
-        self.path, self.end, self.known = path, np.array([end], np.uint32).tobytes(), {}
+        self.path, self.end = path, np.array([end], np.uint32).tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of all words into the young generation.
+
+        A comma or full stop after a letter is a token run of its own, and ASCII letters are lower-cased by the
+        tokenizer, so such words share the ids of their stems.
+        """
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new: dict[str, tuple[str, str]] = {}
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
+            stem, tail = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalpha() else (w, "")
+            new[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, tail)
+        stems = list({x for x in (part for pair in new.values() for part in pair) if x not in young and x not in old})
+        found = {x: young.get(x) or old.get(x, b"") for pair in new.values() for x in pair}
+        for i in range(0, len(stems), 20_000):
+            part = stems[i : i + 20_000]
+            for x, e in zip(part, tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)):
+                found[x] = array("I", e.ids).tobytes()
+        for w, (stem, tail) in new.items():
+            young[w] = found[stem] + found[tail]
+            young[stem] = found[stem]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as 32-bit little-endian bytes."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        self.learn({w for words in split for w in words})
+        get = self.young.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end: int) -> Encoder:
+    """One for each Python worker, which runs many tasks."""
+    return Encoder(path, end)
+
+
 def write_shards(docs: DataFrame, path: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table (pid, seq, n_tokens, data): shard files in document order, by partition and place in it."""
     path = path or default_tokenizer()
 
     def run(batches):
-        encode, pid, seq = Encoder(path, end), TaskContext.get().partitionId(), 0
+        encode, pid, seq = encoder(path, end), TaskContext.get().partitionId(), 0
         ids: list = []
         parts: list[bytes] = []
         total = 0
