@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("documents",)
+MODULES = ("documents", "rollups")
 
 
 def _collect(name: str) -> dict:

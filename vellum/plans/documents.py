@@ -8,23 +8,13 @@ from pyspark.sql import functions as F
 from vellum.functions import text
 from vellum.sources.tables import read
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .registry import Registry
 
+register = Registry()
+QUERIES, ORACLE_SQL = register.queries, register.oracles
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
 
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-@query(
+@register(
     """
     WITH f AS (SELECT doc_id, source, lang, md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 5000)) AS fp FROM documents)
     SELECT source, lang, count(*) AS n_docs
