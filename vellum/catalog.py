@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("documents", "rollups")
+MODULES = ("documents", "rollups", "queue")
 
 
 def _collect(name: str) -> dict:
