@@ -25,8 +25,13 @@ WINDOW, BITS, DIMS, SHORTEST, LONGEST = 50, 18, 8, 3, 6
 SAMPLE, EPOCHS, STEPS, BATCH, THRESHOLD, REMEMBER = 1500, 6, 250, 512, 0.7, 400_000
 
 
-def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def buckets(words: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of each word's n-grams and of the word itself, flat, and how many each word has."""
+    parts = [some_buckets(words[i : i + step]) for i in range(0, len(words), step)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def some_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     char = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     end = np.cumsum(size)
@@ -48,7 +53,7 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     key, owner = np.concatenate(found), np.concatenate(owners)
     key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
     order = np.argsort(owner, kind="stable")
-    return key[order].astype(np.int64), np.bincount(owner, minlength=len(words))
+    return key[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def windows(text: str | None) -> list[list[str]]:
@@ -73,9 +78,10 @@ class Model:
             self.known.clear()
             new = list({w for words in parts for w in words})
         if new:
-            key, size = buckets(new)
-            mean = np.add.reduceat(self.value[key].astype(np.float64), np.cumsum(size) - size) / size
-            self.known.update(zip(new, mean.tolist()))
+            for i in range(0, len(new), 8192):
+                key, size = buckets(new[i : i + 8192])
+                mean = np.add.reduceat(self.value[key].astype(np.float64), np.cumsum(size) - size) / size
+                self.known.update(zip(new[i : i + 8192], mean.tolist()))
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The most toxic window's logit and the number of windows of each text."""
@@ -101,7 +107,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, rate: float, seed: int = 5)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, (0.0, 0.0, level))
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    parts = [(np.array([index.setdefault(w, len(index)) for w in words]), y) for t, y in zip(texts, toxic.tolist()) for words in windows(t) if words]
+    parts = [(np.array([index.setdefault(w, len(index)) for w in words], np.int32), y) for t, y in zip(texts, toxic.tolist()) for words in windows(t) if words]
     key, size = buckets(list(index))
     start = np.cumsum(size) - size
     labels = np.array([y for _, y in parts])
