@@ -78,4 +78,4 @@ def contains_word(text: Column, word: str) -> Column:
 def ordered_union(*arrays: Column) -> Column:
     """Trimmed non-empty values of all arrays, first seen first."""
     parts = F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text
+from vellum.functions import vocabulary as v
+from vellum.operators import ingest, quotes
 from vellum.sources.tables import read
 
 from .registry import Registry
@@ -27,3 +29,148 @@ def m0_distinct_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.fingerprint(F.col("text")).alias("fp"))
     first = docs.groupBy("source", "fp").agg(F.min_by("lang", "doc_id").alias("lang"))
     return first.groupBy("source", "lang").agg(F.count("*").alias("n_docs"))
+
+
+FP = "md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 5000))"
+#: Words of this corpus beside the policy words, so that scores differ.
+INDICATORS = (*v.LEGAL_INDICATORS[:20], "license", "version", "ering", "auber", "mente")
+PHRASES = (*v.LEGAL_PHRASES[:4], r"licensed under (?:the|a) \w+")
+QUICK = r"license|rights|the|der|les|ci"
+
+
+def esc(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def score_sql(indicators, phrases, quick: str) -> str:
+    times = {w: f"(length(low) - length(replace(low, '{esc(w)}', ''))) // {len(w)}" for w in indicators}
+    found = " + ".join([*(f"least({n}, 1)" for n in times.values()), *(f"2.0 * len(regexp_extract_all(low, '{esc(p)}'))" for p in phrases)])
+    chars = " + ".join([*(f"({n}) * {len(w)}" for w, n in times.items()), *(f"length(array_to_string(regexp_extract_all(low, '{esc(p)}'), ''))" for p in phrases)])
+    return f"CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) >= 50 AND length(text) >= 300 AND regexp_matches(low, '{esc(quick)}') THEN least(10.0, ({found}) * ({chars}) / length(text) * 100) ELSE 0.0 END"
+
+
+def documents(spark, sf_dir, *columns):
+    return read(spark, sf_dir, "documents").select(*columns) if columns else read(spark, sf_dir, "documents")
+
+
+def simple(name: str, column, sql: str):
+    """Registers a scalar query (doc_id, value)."""
+
+    def run(spark, sf_dir):
+        return documents(spark, sf_dir).select("doc_id", column().alias("value"))
+
+    run.__name__ = name
+    run.__doc__ = f"The expression {name} of every document."
+    register(f"SELECT doc_id, {sql} AS value FROM documents")(run)
+
+
+T = lambda: F.col("text")
+simple("txt1_fingerprint", lambda: text.fingerprint(T()), FP)
+simple("txt2_normalize_value", lambda: F.md5(text.normalize_value(T())), "md5(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))))")
+simple("txt3_document_hash", lambda: text.document_hash(T(), F.col("lang")), "sha256(coalesce(text, '') || coalesce(lang, ''))")
+simple("txt6_token_estimate", lambda: text.token_estimate(T()), "greatest(1, length(text) // 4)")
+simple("txt8_garbled", lambda: text.garbled(T()), "coalesce(length(text) >= 100 AND (len(regexp_extract_all(substr(text, 1, 1024), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) / length(substr(text, 1, 1024)) > 0.08 OR len(regexp_extract_all(substr(text, 1, 1024), '[^\\x00-\\x7F]')) / length(substr(text, 1, 1024)) > 0.25), false)")
+simple("txt10_word_count", lambda: text.word_count(T()), "CAST(len(regexp_extract_all(coalesce(text, ''), '\\w+')) AS BIGINT)")
+simple("txt10_long_sentences", lambda: text.long_sentences(T()), "CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: len(regexp_extract_all(s, '\\w+')) > 35)) AS BIGINT)")
+simple("txt11_truncate", lambda: text.truncate(T()), "CASE WHEN length(text) > 220 THEN rtrim(substr(text, 1, 217)) || '...' ELSE text END")
+simple("txt12_cap", lambda: F.md5(text.cap(T(), 2000)), "md5(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000 - 13) || chr(10) || chr(10) || '[truncated]' ELSE text END)")
+simple("cls2_whole_word", lambda: text.contains_word(T(), "License"), "regexp_matches(text, '(?i)\\bLicense\\b')")
+
+
+@register(f"WITH f AS (SELECT doc_id, source, {FP} AS fp FROM documents) SELECT source, fp, min(doc_id) AS doc_id, count(*) AS n FROM f GROUP BY source, fp")
+def ded2_first_by_fingerprint(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "source", text.fingerprint(F.col("text")).alias("fp"))
+    return docs.groupBy("source", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@register(f"WITH f AS (SELECT doc_id, source, lang, {FP} AS fp FROM documents), k AS (SELECT min(doc_id) AS owner, fp FROM f GROUP BY fp) SELECT f.doc_id, k.owner, CASE WHEN f.doc_id = k.owner THEN 'insert' ELSE 'link' END AS action FROM f JOIN k USING (fp)")
+def ded3_link_or_insert(spark, sf_dir):
+    """A content seen before is linked to its first document instead of inserted."""
+    docs = documents(spark, sf_dir, "doc_id", text.fingerprint(F.col("text")).alias("fp"))
+    first = docs.groupBy("fp").agg(F.min("doc_id").alias("owner"))
+    action = F.when(F.col("doc_id") == F.col("owner"), "insert").otherwise("link")
+    return docs.join(first, "fp").select("doc_id", "owner", action.alias("action"))
+
+
+@register("SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS analyzed, greatest(0, count(*) - count(*) FILTER (quality = 1)) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def agg2_pending_documents(spark, sf_dir):
+    joined = documents(spark, sf_dir, "doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    done = F.count_if(F.col("quality") == 1)
+    return joined.groupBy("source").agg(F.count("*").alias("n"), done.alias("analyzed"), F.greatest(F.lit(0), F.count("*") - done).alias("pending"))
+
+
+@register("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
+def agg1_count_by_type(spark, sf_dir):
+    return documents(spark, sf_dir, "source", "lang").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@register("SELECT p AS product, count(*) AS n FROM (SELECT unnest(list_distinct([source, 'src' || CAST(doc_id % 20 AS VARCHAR)])) AS p FROM documents) GROUP BY p")
+def agg3_documents_per_product(spark, sf_dir):
+    """PRD-1 and AGG-3: membership by owner or list, exploded to an equi-key."""
+    product = F.explode(text.ordered_union(F.array("source"), F.array(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))))
+    return documents(spark, sf_dir, "doc_id", "source").select(product.alias("product")).groupBy("product").agg(F.count("*").alias("n"))
+
+
+@register("WITH h AS (SELECT source, sha256(coalesce(text, '') || coalesce(lang, '')) AS h FROM documents) SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS signature FROM h GROUP BY source")
+def agg24_signature(spark, sf_dir):
+    h = documents(spark, sf_dir, "source", text.document_hash(F.col("text"), F.col("lang")).alias("h"))
+    return h.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("signature"))
+
+
+@register("WITH c AS (SELECT source, count(DISTINCT lang) AS types, count(*) FILTER (lang <> 'es') AS core FROM documents GROUP BY source) SELECT source, types < 2 OR core < 3 AS thin FROM c")
+def agg23_thin_evidence(spark, sf_dir):
+    c = documents(spark, sf_dir, "source", "lang").groupBy("source").agg(F.countDistinct("lang").alias("types"), F.count_if(F.col("lang") != "es").alias("core"))
+    return c.select("source", ((F.col("types") < 2) | (F.col("core") < 3)).alias("thin"))
+
+
+@register(f"SELECT doc_id, round({score_sql(INDICATORS, PHRASES, QUICK)}, 6) AS score FROM (SELECT doc_id, text, lower(text) AS low FROM documents)")
+def txt9_content_score(spark, sf_dir):
+    return documents(spark, sf_dir, "doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK, ()), 6).alias("score"))
+
+
+GARBLED = "coalesce(length(text) >= 100 AND (len(regexp_extract_all(substr(text, 1, 1024), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) / length(substr(text, 1, 1024)) > 0.08 OR len(regexp_extract_all(substr(text, 1, 1024), '[^\\x00-\\x7F]')) / length(substr(text, 1, 1024)) > 0.25), false)"
+
+
+@register(f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 300 THEN 'too_short' WHEN {GARBLED} THEN 'garbled' WHEN {score_sql(INDICATORS, PHRASES, QUICK)} / 10 < 0.2 AND NOT doc_id % 3 = 0 THEN 'low_legal_score' WHEN NOT starts_with(lang, 'en') THEN 'locale' END AS reason FROM (SELECT *, lower(text) AS low FROM documents)")
+def prd10_admission_reason(spark, sf_dir):
+    score = ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK, ())
+    return documents(spark, sf_dir, "doc_id", ingest.skip_reason(F.col("text"), score, F.col("doc_id") % 3 == 0, F.col("lang")).alias("reason"))
+
+
+@register("SELECT doc_id FROM documents WHERE length(coalesce(text, '')) < 500")
+def prd23_short_texts(spark, sf_dir):
+    return documents(spark, sf_dir).where(F.length(F.coalesce("text", F.lit(""))) < 500).select("doc_id")
+
+
+@register("SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'text' END, CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END], lambda x: x IS NOT NULL), ',') AS missing FROM documents LEFT JOIN labels USING (doc_id)")
+def prd24_missing_fields(spark, sf_dir):
+    joined = documents(spark, sf_dir, "doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    gone = F.array_compact(F.array(F.when(F.coalesce("text", F.lit("")) == "", "text"), F.when(F.col("quality").isNull(), "quality"), F.when(F.col("toxic").isNull(), "toxic")))
+    return joined.select("doc_id", F.array_join(gone, ",").alias("missing"))
+
+
+@register("SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def jon12_label_map(spark, sf_dir):
+    return documents(spark, sf_dir, "doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+
+
+@register("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def prd22_sources_without_hits(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "source")
+    hit = docs.join(read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("source").distinct()
+    return docs.select("source").distinct().join(hit, "source", "left_anti")
+
+
+@register("SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS start_char, instr(d.text, b.text) - 1 + length(b.text) AS end_char FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def jon8_quote_containment(spark, sf_dir):
+    """JON-8 and TXT-7: documents that hold a quote verbatim, and where.
+
+    Quotes meet texts by a run of their inner words.
+    """
+    return quotes.contained(documents(spark, sf_dir, "doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
+
+
+@register("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, CAST(max(length(text)) AS BIGINT) AS longest FROM conversations GROUP BY conv_id")
+def mrg_turn_order(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max(F.length("text")).cast("long").alias("n"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("roles"), F.max("n").alias("longest"))
