@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("documents", "rollups", "queue")
+MODULES = ("documents", "rollups", "queue", "storage")
 
 
 def _collect(name: str) -> dict:
