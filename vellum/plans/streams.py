@@ -38,6 +38,7 @@ def str4_breaker(spark, sf_dir):
     return op.breaker_batch(rows, "user_id", "failed")
 
 
-@register("SELECT event_id FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL OR json_extract_string(props, '$.ref') IS NOT NULL")
+@register("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
 def fn_json_fields(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("get_json_object(props, '$.page') is not null or get_json_object(props, '$.ref') is not null").select("event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return read(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
