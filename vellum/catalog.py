@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("documents", "rollups", "queue", "storage", "streams", "pages")
+MODULES = ("documents", "rollups", "queue", "storage", "streams", "pages", "evidence")
 
 
 def _collect(name: str) -> dict:
