@@ -48,6 +48,11 @@ def test_piece_digests(spark, texts):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_decode_as_an_operator(spark, documents, texts):
+    encoded = op1_pieces.encode(documents)
+    assert {r["doc_id"]: r["decoded"] for r in op1_pieces.decode(encoded).collect()} == texts
+
+
 def test_tree_search_is_exact():
     rng = np.random.default_rng(0)
     for dims, n in ((2, 300), (16, 700)):

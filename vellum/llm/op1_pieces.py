@@ -268,27 +268,43 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
-    """(id, ids array<int>): the pieces of each whole text. check: compare every distinct word with the library."""
+def list_of_ids(vocab: Vocabulary, known: dict[str, bytes], texts: list[str | None], check: bool) -> pa.ListArray:
+    """The ids of each text; known remembers words."""
+    split = [vocab.words(t) if t else [] for t in texts]
+    new = list({w for words in split for w in words if w not in known})
+    if len(known) + len(new) > REMEMBER:
+        known.clear()
+        new = list({w for words in split for w in words})
+    known.update(zip(new, vocab.agenda(new, check)))
+    parts = [b"".join(map(known.__getitem__, words)) for words in split]
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
+
+
+def list_of_texts(vocab: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The text that each list of ids stands for."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    return pa.array(vocab.decode_bytes(flat, ends), pa.string())
+
+
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True, read_back: bool = False) -> DataFrame:
+    """(id, ids array<int>): the pieces of each whole text; with read_back also decoded, what the ids decode to.
+
+    check: compare every distinct word with the library. Both directions then run in one Python worker a task.
+    """
     model = model or default_model()
     known: dict[str, bytes] = {}
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocab = vocabulary(model)
-        texts = [vocab.words(t) if t else [] for t in batch.column(1).to_pylist()]
-        new = list({w for words in texts for w in words if w not in known})
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list({w for words in texts for w in words})
-        for w, ids in zip(new, vocab.agenda(new, check)):
-            known[w] = ids
-        parts = [b"".join(map(known.__getitem__, words)) for words in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))]))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+        ids = list_of_ids(vocab, known, batch.column(1).to_pylist(), check)
+        decoded = [list_of_texts(vocab, ids)] if read_back else []
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, *decoded], names=["id", "ids", "decoded"][: 2 + read_back])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = common.map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), one, f"id {kind}, ids array<int>", text=1)
+    schema = f"id {kind}, ids array<int>" + ", decoded string" * read_back
+    out = common.map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), one, schema, text=1)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -296,18 +312,11 @@ def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id")
     """Adds decoded string to (id, ids): the text that the ids stand for."""
     model = model or default_model()
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocab = vocabulary(model)
-        lists = batch.column(1)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        texts = vocab.decode_bytes(flat, ends)
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                yield one(batch.slice(at, 500))
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, list_of_texts(vocabulary(model), part.column(1))], names=["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
@@ -316,7 +325,7 @@ def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id")
 
 def digest(docs: DataFrame) -> DataFrame:
     """The digest columns of encode and decode for a table with doc_id and text."""
-    both = decode(encode(docs))
+    both = encode(docs, read_back=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

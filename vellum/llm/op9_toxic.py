@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, BITS, DIMS, SHORTEST, LONGEST = 50, 18, 8, 3, 6
-SAMPLE, EPOCHS, STEPS, BATCH, THRESHOLD, REMEMBER = 1500, 6, 250, 512, 0.7, 400_000
+SAMPLE, EPOCHS, STEPS, BATCH, THRESHOLD, REMEMBER = 1500, 6, 250, 512, 0.7, 250_000
 
 
 def buckets(words: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
