@@ -32,3 +32,20 @@ def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     pairs = docs.select("doc_id", F.explode(keys(F.col("text"))).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
     at = docs.select("doc_id", "text").join(pairs, "doc_id").withColumn("at", F.expr("instr(text, quote)")).where("at > 0")
     return at.select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("start_char"), (F.col("at") - 1 + F.length("quote")).cast("long").alias("end_char"))
+
+
+def flexible(quote: Column) -> Column:
+    """A pattern of a quote that lets white space, quotation marks and dashes differ."""
+    escaped = F.regexp_replace(F.trim(quote), r"([\\.+*?()\[\]{}|^$])", r"\\$1")
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "['‘’`]", "['‘’`]"), "[\"“”]", "[\"“”]"), "[-–—]", "[-–—]")
+    return F.regexp_replace(marks, r"\s+", r"\\s+")
+
+
+def offsets(text: Column, quote: Column) -> Column:
+    """(start, end, verified) of a quote in a text: verbatim, else tolerant, else nulls and not verified."""
+    at = F.call_function("instr", text, quote)
+    found = F.call_function("regexp_substr", text, flexible(quote))
+    tolerant = F.call_function("instr", text, found)
+    start = F.when(at > 0, at - 1).when(tolerant > 0, tolerant - 1)
+    size = F.when(at > 0, F.length(quote)).when(tolerant > 0, F.length(found))
+    return F.struct(start.cast("long").alias("start"), (start + size).cast("long").alias("end"), start.isNotNull().alias("verified"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import grades, url
+from vellum.functions import vocabulary as v
 from vellum.functions.coerce import SENSITIVITY
 from vellum.operators import ingest, merge, store, topics
 from vellum.sources.tables import read
@@ -84,9 +85,22 @@ def win9_variant_cap(spark, sf_dir):
     return ingest.variants(pages(spark, sf_dir), "url", "page_id").select("page_id", "variant")
 
 
-@register()
+#: Words and phrases of this corpus' addresses beside those of policies, so that scores differ.
+URL_WORDS = {**dict(list(v.URL_KEYWORDS.items())[:8]), "en": 2.0, "html": 1.5, "page": 3.0, "blog": -1.0}
+URL_PHRASES = {**dict(list(v.URL_PHRASES.items())[:3]), r"/(en|de)/": 4.0, r"page 2": 2.5}
+
+
+def url_score_sql() -> str:
+    where = f"lower({PATH}) || ' ' || regexp_replace(lower({QUERY}), '[&=]', ' ', 'g')"
+    phrase = " + ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN {x} ELSE 0.0 END" for p, x in URL_PHRASES.items())
+    word = " + ".join(f"CASE WHEN list_contains(t, '{k}') THEN {len_} * ({x}) WHEN contains(p, '{k}') AND {x} > 0 THEN 0.8 * ({x}) ELSE 0.0 END" for k, x in URL_WORDS.items() for len_ in [f"len(list_filter(t, lambda z: z = '{k}'))"])
+    out = f"CASE WHEN regexp_matches(p, '{v.AUTH_PATH}') OR regexp_matches(p, '{v.GALLERY_PATH}') THEN 0.0 ELSE greatest(0.0, {phrase} + {word}) END"
+    return f"SELECT page_id, round({out}, 6) AS score FROM (SELECT *, string_split(regexp_replace(w, '[^\\w]+|_', ' ', 'g'), ' ') AS t FROM (SELECT page_id, lower({PATH}) AS p, {where} AS w FROM pages))"
+
+
+@register(url_score_sql())
 def url5_url_scores(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", ingest.url_score(F.col("url")).alias("score"))
+    return pages(spark, sf_dir).select("page_id", F.round(ingest.url_score(F.col("url"), URL_PHRASES, URL_WORDS), 6).alias("score"))
 
 
 @register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
