@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,60 @@ def union(value: str, seq: str) -> Column:
 def signal(value: Column) -> Column:
     """yes before no before unclear."""
     return F.when(F.bool_or(value == "yes"), "yes").when(F.bool_or(value == "no"), "no").otherwise("unclear")
+
+
+def flat_union(value: str, seq: str) -> Column:
+    """Distinct elements of arrays in order of appearance."""
+    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(seq, value))), lambda x: x[value])))
+
+
+def largest(value: str, seq: str) -> Column:
+    return F.max(value)
+
+
+def any_true(value: str, seq: str) -> Column:
+    return sticky(F.col(value))
+
+
+def by_rank(order: dict[str, int]):
+    return lambda value, seq: strongest(value, order, seq)
+
+
+def one_of(valid: tuple[str, ...]):
+    return lambda value, seq: last_valid(value, seq, valid)
+
+
+def answered(value: str, seq: str) -> Column:
+    return signal(F.col(value))
+
+
+MATERIALITY = {"standard": 1, "notable": 2, "material": 3}
+SENSITIVITY = {"low": 1, "medium": 2, "high": 3, "sensitive": 4}
+REQUIRED = {"unclear": 1, "optional": 2, "required": 3}
+
+#: How each field's attributes merge when chunks of a document state the same key.
+POLICIES = {
+    "text_items": {"value": first, "materiality": by_rank(MATERIALITY)},
+    "data_collected": {"data_type": first, "sensitivity": by_rank(SENSITIVITY), "required": by_rank(REQUIRED)},
+    "data_purposes": {"data_type": first, "purposes": flat_union},
+    "retention_policies": {"data_scope": first, "duration": longest, "conditions": first},
+    "cookies_and_trackers": {"name_or_type": first, "category": first, "third_party": any_true, "opt_out_mechanism": first},
+    "third_party_details": {"recipient": first, "data_shared": flat_union, "purpose": longest, "risk_level": one_of(("low", "medium", "high"))},
+    "international_transfers": {"destination": first, "mechanism": first, "data_types": flat_union},
+    "government_access": {"authority_type": first, "conditions": first, "data_scope": first},
+    "corporate_family_sharing": {"entities": first, "data_shared": flat_union, "purpose": first},
+    "user_rights": {"right_type": first, "mechanism": first, "description": longest},
+    "ai_usage": {"usage_type": first, "description": first, "data_involved": flat_union, "opt_out_available": answered, "consequences": first},
+    "children_policy": {"minimum_age": largest, "parental_consent_required": any_true, "special_protections": longest},
+    "liability": {"scope": first, "limitation_type": first, "description": longest, "extends_beyond_product": any_true},
+    "dispute_resolution": {"mechanism": first, "class_action_waiver": any_true, "jury_trial_waiver": any_true, "venue": first, "governing_law": first, "description": longest},
+    "content_ownership": {"ownership_type": first, "scope": first, "description": first},
+    "scope_expansion": {"scope_type": first, "description": first, "entities_affected": flat_union},
+    "privacy_signals": {"data_sale": answered, "cookies": answered, "ai_training_on_user_data": answered, "breach_notification": answered, "children_data_collection": answered},
+}
+
+
+def merge_field(items: DataFrame, field: str, keys: tuple[str, ...] = ("document_id", "key"), seq: str = "seq") -> DataFrame:
+    """One row for each document and key of a field's items, by the field's policies; attributes the table lacks are left out."""
+    policies = {c: p for c, p in POLICIES[field].items() if c in items.columns}
+    return items.groupBy(*keys).agg(*[p(c, seq).alias(c) for c, p in policies.items()])

@@ -299,3 +299,39 @@ def agg21_compliance_mean(spark, sf_dir):
     scores = F.create_map(F.lit("gdpr"), F.col("o_orderkey") % 11, F.lit("ccpa"), F.col("o_orderkey") % 7)
     o = read(spark, sf_dir, "orders").select("o_custkey", F.explode(scores).alias("regulation", "v"))
     return o.groupBy("o_custkey", "regulation").agg(F.bround(F.avg("v")).cast("int").alias("mean"))
+
+
+ITEM = """item AS (SELECT l_orderkey AS document_id, 'k' || CAST(l_partkey % 3 AS VARCHAR) AS key, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS seq, 'Party ' || CAST(l_suppkey % 5 AS VARCHAR) AS recipient, [l_returnflag, l_linestatus] AS data_shared,
+  repeat('p', CAST(l_quantity AS INTEGER) % 6 + 1) AS purpose, ['low', 'medium', 'high', 'odd'][CAST(l_partkey % 4 AS INTEGER) + 1] AS risk_level, l_returnflag = 'R' AS third_party, CAST(l_quantity AS INTEGER) AS minimum_age, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'unclear' END AS opt_out_available FROM lineitem)"""
+
+
+def items(spark, sf_dir):
+    n = F.col("l_quantity").cast("int")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("k"), (F.col("l_partkey") % 3).cast("string")).alias("key"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("seq"), F.concat(F.lit("Party "), (F.col("l_suppkey") % 5).cast("string")).alias("recipient"),
+        F.array("l_returnflag", "l_linestatus").alias("data_shared"), F.repeat(F.lit("p"), n % 6 + 1).alias("purpose"), F.get(F.array(*map(F.lit, ("low", "medium", "high", "odd"))), (F.col("l_partkey") % 4).cast("int")).alias("risk_level"), (F.col("l_returnflag") == "R").alias("third_party"), n.alias("minimum_age"),
+        F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "no").otherwise("unclear").alias("opt_out_available"))
+
+
+@register(
+    f"""WITH {ITEM}, u AS (SELECT document_id, key, string_agg(DISTINCT v, ',' ORDER BY v) AS data_shared FROM (SELECT document_id, key, unnest(data_shared) AS v FROM item) GROUP BY document_id, key)
+    SELECT i.document_id, i.key, arg_min(recipient, seq) AS recipient, any_value(u.data_shared) AS data_shared, max(purpose) AS purpose, arg_max(risk_level, seq) FILTER (risk_level <> 'odd') AS risk_level FROM item i JOIN u ON u.document_id = i.document_id AND u.key = i.key GROUP BY i.document_id, i.key"""
+)
+def mrg6_third_parties(spark, sf_dir):
+    merged = merge.merge_field(items(spark, sf_dir), "third_party_details")
+    return merged.withColumn("data_shared", F.array_join(F.array_sort("data_shared"), ","))  # line items repeat a place in their order
+
+
+@register(f"WITH {ITEM} SELECT document_id, key, bool_or(third_party) AS third_party FROM item GROUP BY ALL")
+def mrg5_cookies(spark, sf_dir):
+    return merge.merge_field(items(spark, sf_dir), "cookies_and_trackers")
+
+
+@register(f"WITH {ITEM} SELECT document_id, max(minimum_age) AS minimum_age FROM item GROUP BY ALL")
+def mrg12_children(spark, sf_dir):
+    return merge.merge_field(items(spark, sf_dir), "children_policy", ("document_id",))
+
+
+@register(f"WITH {ITEM} SELECT document_id, key, CASE WHEN bool_or(opt_out_available = 'yes') THEN 'yes' WHEN bool_or(opt_out_available = 'no') THEN 'no' ELSE 'unclear' END AS opt_out_available FROM item GROUP BY ALL")
+def mrg11_ai_usage(spark, sf_dir):
+    return merge.merge_field(items(spark, sf_dir), "ai_usage")
