@@ -301,14 +301,14 @@ def agg21_compliance_mean(spark, sf_dir):
     return o.groupBy("o_custkey", "regulation").agg(F.bround(F.avg("v")).cast("int").alias("mean"))
 
 
-ITEM = """item AS (SELECT l_orderkey AS document_id, 'k' || CAST(l_partkey % 3 AS VARCHAR) AS key, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS seq, 'Party ' || CAST(l_suppkey % 5 AS VARCHAR) AS recipient, [l_returnflag, l_linestatus] AS data_shared,
+ITEM = """item AS (SELECT l_orderkey AS document_id, 'k' || CAST(l_partkey % 3 AS VARCHAR) AS key, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, 'Party ' || CAST(l_suppkey % 5 AS VARCHAR) AS recipient, [l_returnflag, l_linestatus] AS data_shared,
   repeat('p', CAST(l_quantity AS INTEGER) % 6 + 1) AS purpose, ['low', 'medium', 'high', 'odd'][CAST(l_partkey % 4 AS INTEGER) + 1] AS risk_level, l_returnflag = 'R' AS third_party, CAST(l_quantity AS INTEGER) AS minimum_age, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'unclear' END AS opt_out_available FROM lineitem)"""
 
 
 def items(spark, sf_dir):
     n = F.col("l_quantity").cast("int")
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("k"), (F.col("l_partkey") % 3).cast("string")).alias("key"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("seq"), F.concat(F.lit("Party "), (F.col("l_suppkey") % 5).cast("string")).alias("recipient"),
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("k"), (F.col("l_partkey") % 3).cast("string")).alias("key"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("seq"), F.concat(F.lit("Party "), (F.col("l_suppkey") % 5).cast("string")).alias("recipient"),
         F.array("l_returnflag", "l_linestatus").alias("data_shared"), F.repeat(F.lit("p"), n % 6 + 1).alias("purpose"), F.get(F.array(*map(F.lit, ("low", "medium", "high", "odd"))), (F.col("l_partkey") % 4).cast("int")).alias("risk_level"), (F.col("l_returnflag") == "R").alias("third_party"), n.alias("minimum_age"),
         F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "no").otherwise("unclear").alias("opt_out_available"))
 
