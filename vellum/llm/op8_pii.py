@@ -15,7 +15,6 @@ columns other than id and text are dropped (join back on the id).
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from functools import lru_cache
