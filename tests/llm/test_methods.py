@@ -238,6 +238,13 @@ def test_pages_give_their_articles(spark):
         assert r["text"] == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>|</?p>|</?h1>", " ", article))).split())
 
 
+def test_layout_words_keep_the_article():
+    page = '<body><div class="page has-sidebar"><div class="post-header banner">x</div><main><h1>T</h1><p>body</p><div class="comments">no</div></main><div class="sidebar">s</div></div></body>'
+    assert op7_html.extract(page) == "T body"
+    plain = '<div class="wrap with-menu"><h1>Title</h1><p>' + "long text " * 20 + '</p><form>f</form></div><div class="cookie-notice">cookies</div>'
+    assert op7_html.extract(plain) == "Title " + " ".join(["long text"] * 20)
+
+
 def test_base_personal_data():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -50,7 +50,7 @@ class Node:
 
     __slots__ = ("tag", "path", "parts", "noise")
 
-    def __init__(self, tag: str, path: str, noise: bool):
+    def __init__(self, tag: str, path: str, noise: int):
         self.tag, self.path, self.parts, self.noise = tag, path, [], noise
 
 
@@ -58,21 +58,42 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def declared(tag: str, attr: dict[str, str], within: bool) -> bool:
-    """Whether an element is noise by its markup; within: inside an article, where a header may hold its title."""
+def declared(tag: str, attr: dict[str, str], within: bool) -> int:
+    """2 if an element is noise by its name, role or hiding, 1 if by words of its class or id, else 0; within: inside an article, where a header may hold its title."""
     if tag in NOISE_TAGS or tag == "header" and not within:
-        return True
+        return 2
     if not attr or tag in ("html", "body", "main", "article"):
-        return False
+        return 0
     if "hidden" in attr or attr.get("aria-hidden") == "true" or attr.get("role", "").lower() in NOISE_ROLES or re.search(r"display\s*:\s*none", attr.get("style", "")):
-        return True
+        return 2
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", attr.get("class", "") + " " + attr.get("id", "")).lower()
-    return not NOISE_WORDS.isdisjoint(WORD.findall(names)) and not (within and "header" in names)
+    return int(not NOISE_WORDS.isdisjoint(WORD.findall(names)) and not (within and "header" in names))
+
+
+def settle(root: Node) -> Node:
+    """Takes back noise by words where they name a layout ("has-sidebar") around the article, or around a heading and most of the text."""
+    nodes = list(walk(root))
+    known: dict[int, tuple[bool, bool, int]] = {}
+    for node in reversed(nodes):
+        article, heading, size = False, False, 0
+        for part in node.parts:
+            if isinstance(part, str):
+                size += len(part)
+            elif part.noise < 2:
+                a, h, n = known[id(part)]
+                article, heading, size = article or a or part.tag in ("article", "main"), heading or h or part.tag == "h1", size + n
+        known[id(node)] = article, heading, size
+    whole = known[id(root)][2]
+    for node in nodes:
+        article, heading, size = known[id(node)]
+        if node.noise == 1 and (article or heading and 2 * size > whole):
+            node.noise = 0
+    return root
 
 
 def parse(html: str) -> Node:
     """The tree of a page; elements left open end with their parents, stray end tags are ignored."""
-    root = Node("", "", False)
+    root = Node("", "", 0)
     stack = [root]
     at, n = 0, len(html)
     low = None
@@ -126,7 +147,7 @@ def parse(html: str) -> Node:
             stack.append(node)
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
-    return root
+    return settle(root)
 
 
 def text_of(node: Node, drop: frozenset[str] | set[str] = frozenset(), keep: set[int] | frozenset[int] = frozenset(), out: list | None = None) -> list:
