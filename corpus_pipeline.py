@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vellum.llm import common, op1_pieces, op4_dedup, op5_mix, op8_pii, op9_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share so much of their sets of five-word shingles.
+PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +30,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return common.map_arrow(docs, clean, docs.schema, text=place).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, row: ids may be null or shared. Written once, so that every reader meets the same keys."""
+    return common.materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; rows of one id become one."""
-    kept = op4_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document, that of the smallest id (null ids last), of each group of near copies.
+
+    Rows without an id and different texts of one id are documents of their own; rows without words link with nothing,
+    and only repeated ones of one id become one.
+    """
+    rows = keyed(docs)
+    groups = op4_dedup.near_duplicates(rows, PERCENT, id_col="row")
+    own = rows.select("row", "doc_id", F.xxhash64("text").alias("digest")).join(groups, "row")
+    words = F.col("n_shingles") > 0
+    group = [F.when(words, F.col("component_id")).alias("group"), *(F.when(~words, F.col(c)).alias(f"same_{c}") for c in ("doc_id", "digest")), F.when(~words & F.col("doc_id").isNull(), F.col("row")).alias("same_row")]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("first")
+    kept = own.groupBy(*group).agg(first).select("first.row")
+    return rows.join(kept, "row").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +58,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it: none, one or two."""
-    taken, _, _ = op5_mix.mix(docs, "doc_id", op5_mix.words(F.col("text")), F.array("source"))
-    copies = taken.where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    rows = keyed(docs)
+    taken, _, _ = op5_mix.mix(rows, "row", op5_mix.words(F.col("text")), F.array("source"), order=("doc_id", "text"))
+    copies = taken.where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
+    return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ that overlap form a family (connected components over member-to-smallest-member
 all its pairs). Within a family, the whole shingle sets decide: its members are dealt to blocks, every two blocks meet
 in one task, which counts all intersections and returns a spanning forest of the links it confirms, not the links.
 Components of these give the groups. A link at the threshold is missed only if its sketches agree in no band:
-(1 - s^ROWS)^BANDS, 4e-5 at s = 0.85 and less above.
+(1 - s^rows)^bands, 4e-5 at s = 0.85 (32 bands of 8), 3e-6 at s = 0.8 (42 of 6) and less above; the rows of a band
+follow from the threshold (see band_rows).
 
 Defined results: A-Z become lower case, words are runs of other characters than white space; a text of fewer than
 five words is one shingle, one without words (or null) none, and links with nothing; rows without an id come back with
@@ -22,14 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graphs
-from .shingles import bands, shingle_sets, sketches
+from .shingles import COORDINATES, bands, shingle_sets, sketches
 
-ROWS, BANDS = 8, 32
+#: The most that a link at the threshold may escape all bands.
+MISS = 5e-5
 #: A block holds about so many members, and texts of about so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """The most rows a band can have so that a link at the threshold is missed with at most MISS."""
+    return max([r for r in range(1, 33) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISS], default=1)
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """(id, n_shingles, n_bytes, d1, d2, keys): the set's size and digest, and its band keys."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -38,7 +45,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         n = np.diff(starts)
         total = np.concatenate([[np.uint64(0)], np.cumsum(flat)])
         squares = np.concatenate([[np.uint64(0)], np.cumsum((flat ^ (flat >> np.uint64(29))) * (flat | np.uint64(1)))])
-        keys = bands(sketches(flat, starts), ROWS)[:, :BANDS].copy()
+        keys = bands(sketches(flat, starts), rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
         digest = [pa.array((x[starts[1:]] - x[starts[:-1]]).view(np.int64)) for x in (total, squares)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([len(t or b"") for t in texts], pa.int64()), *digest, lists], names=["id", "n_shingles", "n_bytes", "d1", "d2", "keys"])
@@ -111,7 +118,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: its group of near copies, and whether it is the group's smallest id."""
-    feats = common.materialize(features(docs, id_col, text_col), "features")
+    feats = common.materialize(features(docs, id_col, text_col, band_rows(percent)), "features")
     digest = ["n_shingles", "d1", "d2"]
     full = feats.where("id is not null and n_shingles > 0")
     classes = common.materialize(full.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
