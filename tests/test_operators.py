@@ -147,3 +147,14 @@ def test_streams_equal_batches(spark, tmp_path):
     q = events.ingest(live, lambda b: b.where("event_type = 'error'"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
+def test_short_quotes_are_found(spark):
+    from vellum.operators import quotes
+
+    texts = [(1, "we keep personal data, für 30 days"), (2, "no  data\nhere"), (3, ""), (4, None), (5, "one two three four five six seven eight")]
+    asked = [(1, "personal data"), (2, "a"), (3, "für 30"), (4, " data\nhere"), (5, "two three four five six"), (6, "nowhere"), (7, None), (8, ""), (9, "two three four five six seven"), (10, "  ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = quotes.contained(docs, spark.createDataFrame(asked, "item_id long, quote string")).collect()
+    expected = {(i, k, t.index(q), t.index(q) + len(q)) for i, t in texts for k, q in asked if t is not None and q is not None and q in t}
+    assert sorted(map(tuple, found)) == sorted(expected)

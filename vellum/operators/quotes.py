@@ -9,15 +9,34 @@ from pyspark.sql import functions as F
 KEY = 4
 
 
-def keys(text: Column) -> Column:
-    """Hashes of all runs of KEY words between single spaces.
+#: Characters of a key of a short quote, at most.
+GRAM = 8
+
 
-    Shifted copies of the words are zipped, so each row splits its text a few times and not once a word.
+def runs(units: Column, n: int) -> Column:
+    """Hashes of all runs of n units.
+
+    Shifted copies of the units are zipped, so each row splits its text a few times and not once a unit.
     """
-    words = F.split(text, " ")
-    shifted = [F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(KEY)]
-    runs = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(KEY)]))
-    return F.array_distinct(F.slice(runs, F.lit(1), F.greatest(F.size(words) - (KEY - 1), F.lit(0))))
+    shifted = [F.slice(units, i + 1, F.size(units)).alias(f"w{i}") for i in range(n)]
+    found = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(n)]))
+    return F.array_distinct(F.slice(found, F.lit(1), F.greatest(F.size(units) - (n - 1), F.lit(0))))
+
+
+def keys(text: Column) -> Column:
+    """Hashes of all runs of KEY words between single spaces."""
+    return runs(F.split(text, " "), KEY)
+
+
+def short_pairs(docs: DataFrame, short: DataFrame, out: DataFrame) -> DataFrame:
+    """out and (doc_id, item_id, quote) where a text holds the first GRAM characters of a quote, or all of a shorter one."""
+    size = F.least(F.length("quote"), F.lit(GRAM))
+    for (n,) in sorted(short.select(size).distinct().collect()):  # at most GRAM + 1 rows
+        key = F.xxhash64(*[F.substring("quote", i + 1, 1) for i in range(n)]) if n else F.length("quote").cast("long")
+        grams = runs(F.split("text", ""), n) if n else F.array(F.lit(0).cast("long"))
+        found = docs.where("text is not null").select("doc_id", F.explode(grams).alias("key"))
+        out = out.unionAll(found.join(short.where(size == n).select("item_id", "quote", key.alias("key")), "key").select("doc_id", "item_id", "quote"))
+    return out
 
 
 def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -25,11 +44,12 @@ def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     A quote's second to fifth words are whole words of any text that holds it, so an equi-join on runs of words finds
     the candidates, and the whole quote is compared in those texts only. Quotes of fewer than six words have no such
-    run and are not looked up.
+    run; where there are any, runs of characters find theirs.
     """
     words = F.split("quote", " ")
     keyed = quotes.where(F.size(words) >= KEY + 2).select("item_id", "quote", F.xxhash64(*[F.get(words, F.lit(i + 1)) for i in range(KEY)]).alias("key"))
     pairs = docs.select("doc_id", F.explode(keys(F.col("text"))).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
+    pairs = short_pairs(docs, quotes.where(F.size(words) < KEY + 2).where("quote is not null"), pairs)
     at = docs.select("doc_id", "text").join(pairs, "doc_id").withColumn("at", F.expr("instr(text, quote)")).where("at > 0")
     return at.select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("start_char"), (F.col("at") - 1 + F.length("quote")).cast("long").alias("end_char"))
 
