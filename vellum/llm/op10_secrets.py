@@ -4,7 +4,7 @@ Labelled credentials form a prefix tree whose states carry counts; states whose
 by no more than a Hoeffding bound, and whose successors agree likewise, are merged into a probabilistic automaton
 (state merging in red-blue order). A second automaton comes from labelled harmless strings. Symbols are a string's
 first LITERAL characters themselves and character classes after them. Every candidate (a run of MINIMUM or more
-credential characters with a digit) is scored by the difference of the two log-likelihoods per symbol; above
+credential characters) is scored by the difference of the two log-likelihoods per symbol; above
 THRESHOLD it is added as kind "format" where no base span overlaps it.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows repeat;
@@ -66,6 +66,26 @@ HARMLESS = (
     "U{4}-d{4}-d{6}",
     "l{14}d{1}",
     "=l{12}d{3}",
+    "l{18}",
+    "Ul{18}",
+    "l{28}",
+    *(f"U{{{n}}}" for n in range(16, 48, 4)),
+    "U{8}_U{8}",
+    "U{6}-U{10}",
+    "U{7}_U{6}_U{7}",
+    "l{8}-l{10}",
+    "l{5}-l{2}-l{5}-l{6}",
+    "Ul{8}-Ul{9}",
+    "l{6}_l{5}_l{7}",
+    "l{8}/l{9}",
+    "/l{5}/l{6}/l{7}",
+    "l{7}.l{6}.l{7}",
+    "l{7}=l{9}",
+    "l{6}Ul{6}Ul{6}",
+    "-{24}",
+    "={24}",
+    "_{24}",
+    ".{24}",
 )
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -234,13 +254,12 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], format
     """Candidates whose format is a credential's, outside base spans."""
     places = []
     for i, text in enumerate(texts):
-        if DIGIT.search(text):
-            for m in CANDIDATE.finditer(text):
-                a, b = m.span()
-                while b > a and text[b - 1] in ".":  # a full stop after it
-                    b -= 1
-                if b - a >= MINIMUM and DIGIT.search(text, a, b) and not any(x < b and a < y for x, y, _ in base[i]):
-                    places.append((i, a, b))
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            while b > a and text[b - 1] in ".":  # a full stop after it
+                b -= 1
+            if b - a >= MINIMUM and not any(x < b and a < y for x, y, _ in base[i]):
+                places.append((i, a, b))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for (i, a, b), s in zip(places, formats.score([texts[i][a:b] for i, a, b in places]).tolist()):
         if s > THRESHOLD:
