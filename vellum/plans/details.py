@@ -38,6 +38,15 @@ def txt7_tolerant_quotes(spark, sf_dir):
     return docs.select("doc_id", at.alias("at")).select("doc_id", "at.start", "at.end", "at.verified")
 
 
+@register()
+def txt7_tolerant_quotes_all(spark, sf_dir):
+    """The fourth to ninth words of every document, whatever white space is between them; nulls where it has none."""
+    quote = F.array_join(F.slice(F.split("text", " "), 4, 6), " ")
+    spaced = F.when(quote.rlike(r"\S"), F.regexp_replace(quote, r"\s+", "  "))
+    at = quotes.offsets(F.col("text"), spaced)
+    return read(spark, sf_dir, "documents").select("doc_id", at.alias("at")).select("doc_id", "at.start", "at.end", "at.verified")
+
+
 @register("SELECT user_id, count(v) AS samples, max(v) AS most, arg_max(v, event_id) FILTER (v IS NOT NULL) AS latest, bool_or(oom) AS oom FROM (SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN round(value, 1) END AS v, event_type = 'error' AS oom FROM events) GROUP BY user_id")
 def top12_log_signals(spark, sf_dir):
     line = F.when(F.col("event_type") == "error", F.lit("worker killed")).otherwise(F.concat(F.lit("memory: process "), F.round("value", 1).cast("string"), F.lit("MB")))
