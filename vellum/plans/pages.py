@@ -28,12 +28,25 @@ def src10_html_metadata(spark, sf_dir):
     return m.join(plain, "page_id", "left_semi")
 
 
+@register()
+def src10_html_metadata_all(spark, sf_dir):
+    """Language and number of different links of every page."""
+    return metadata(spark, sf_dir).select("page_id", "lang", F.size("links").cast("long").alias("n_links"))
+
+
 @register("SELECT link AS url, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE link NOT LIKE '%&%' GROUP BY link")
 def ded9_link_table(spark, sf_dir):
     edges = metadata(spark, sf_dir).select("page_id", F.explode("links.url").alias("url")).where("not contains(url, '&')")
     return edges.groupBy("url").agg(F.countDistinct("page_id").alias("n_pages"))
 
 
+@register()
+def ded9_link_table_all(spark, sf_dir):
+    """Pages of every link, those of several parameters too."""
+    edges = metadata(spark, sf_dir).select("page_id", F.explode("links.url").alias("url"))
+    return edges.groupBy("url").agg(F.countDistinct("page_id").alias("n_pages"))
+
+
 @register("SELECT doc_id, (list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: trim(x, ' ')), lambda x: x <> '' AND (regexp_matches(lower(x), 'privacy|terms|policy') OR length(x) < 100)))[1] AS title FROM documents")
 def src12_plain_title(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", op.plain_title(F.col("text")).alias("title"))
