@@ -36,6 +36,10 @@ FP = "md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 5000))"
 INDICATORS = (*v.LEGAL_INDICATORS[:20], "license", "version", "ering", "auber", "mente")
 PHRASES = (*v.LEGAL_PHRASES[:4], r"licensed under (?:the|a) \w+")
 QUICK = r"license|rights|the|der|les|ci"
+#: All policy words and those of this corpus.
+ALL_INDICATORS = tuple(dict.fromkeys((*v.LEGAL_INDICATORS, *INDICATORS)))
+ALL_PHRASES = tuple(dict.fromkeys((*v.LEGAL_PHRASES, *PHRASES)))
+ALL_QUICK = f"{v.QUICK_CHECK}|{QUICK}"
 
 
 def esc(s: str) -> str:
@@ -174,3 +178,22 @@ def jon8_quote_containment(spark, sf_dir):
 def mrg_turn_order(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max(F.length("text")).cast("long").alias("n"))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("roles"), F.max("n").alias("longest"))
+
+
+@register()
+def txt9_content_score_all(spark, sf_dir):
+    """The content score by every policy word."""
+    return documents(spark, sf_dir, "doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), ALL_INDICATORS, ALL_PHRASES, ALL_QUICK), 6).alias("score"))
+
+
+@register()
+def prd10_admission_reason_all(spark, sf_dir):
+    """Why a document is not admitted, its score by every policy word."""
+    score = ingest.content_score(F.col("text"), F.lit(""), ALL_INDICATORS, ALL_PHRASES, ALL_QUICK)
+    return documents(spark, sf_dir, "doc_id", ingest.skip_reason(F.col("text"), score, F.col("doc_id") % 3 == 0, F.col("lang")).alias("reason"))
+
+
+@register()
+def txt12_cap_all(spark, sf_dir):
+    """Texts cut at the default size only."""
+    return documents(spark, sf_dir, "doc_id", F.md5(text.cap(T())).alias("value"))

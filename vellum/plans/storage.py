@@ -103,6 +103,12 @@ def url5_url_scores(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.round(ingest.url_score(F.col("url"), URL_PHRASES, URL_WORDS), 6).alias("score"))
 
 
+@register()
+def url5_url_scores_all(spark, sf_dir):
+    """The score of addresses by every keyword and phrase."""
+    return pages(spark, sf_dir).select("page_id", F.round(ingest.url_score(F.col("url"), {**v.URL_PHRASES, **URL_PHRASES}, {**v.URL_KEYWORDS, **URL_WORDS}), 6).alias("score"))
+
+
 @register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def jon1_semi(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
