@@ -217,10 +217,18 @@ def test_token_files(spark, texts):
 
 
 def test_words_encode_as_in_the_text():
+    import pyarrow as pa
+
     encode = op6_wavelet.Encoder(op6_wavelet.default_tokenizer(), 2)
     library = op6_wavelet.tokenizer(op6_wavelet.default_tokenizer())
-    for text in [*odd_texts(300, "ab É'́ \n\t<|endoftext|> 1Σ", 4), "x<|endoftext|> y", "don't  we'll", "　x "]:
-        assert np.frombuffer(encode([text])[0], "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    rng = random.Random(9)
+    stems = ["İ", "I", "ß", "ẞ", "é", "e\u0301", "Σ", "ΑΣ", "don", "x", "É", "ñ", "ÿ", "Ÿ", "1", "१", "ª", "ǅ", "ﬁ", "한", "漢", "<|", "|>", "endoftext", "ENDOFTEXT"]
+    marks = [",", ".", "'", "'s", "'S", "'ll", ",,", "!?", "_", "***", "\u0307", "\u0338", "=", "<", " ", "\n", "\t", "\u00a0", "\u2028"]
+    fuzz = ["".join(rng.choice(stems if rng.random() < 0.5 else marks) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts = [*odd_texts(300, "ab É'́ \n\t<|endoftext|> 1Σ", 4), "x<|endoftext|> y", "don't  we'll", "　x ", "İ. İ, İ", "", None, "a" * 3000, *fuzz]
+    ids, count = encode(pa.array(texts, pa.string()))
+    for text, own in zip(texts, np.split(ids, np.cumsum(count)[:-1])):
+        assert own.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
 def test_style_tree_drops_repeated_branches(spark):

@@ -5,7 +5,8 @@ about SHARD tokens. A shard's wavelet matrix keeps one bit-plane for each bit of
 in the order left by stably parting the tokens by the planes before; ranks for every block of bits are rebuilt on load.
 One file answers token access, counting of an id in a range, and lookup of its k-th occurrence, without decoding.
 
-White space ends words before the tokenizer's merges, so each distinct word that a task meets is encoded once.
+White space ends words before the tokenizer's merges, so each distinct word that a task meets is encoded once (see
+Encoder).
 
 Defined results: null and empty texts hold the end id alone; rows without an id come first; repeated rows stand next
 to each other, in the order of their text; an empty table gives no rows; other columns are ignored.
@@ -13,6 +14,7 @@ to each other, in the order of their text; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -20,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD, REMEMBER, BLOCK = 1 << 19, 600_000, 512
+SHARD, REMEMBER, BLOCK, SLICE = 1 << 19, 600_000, 512, 4 << 20
 MAGIC = b"VWM1"
 
 
@@ -132,10 +135,10 @@ class WaveletMatrix:
         return i
 
 
-def pack(tokens: np.ndarray, ids: list[int | None], sizes: list[int]) -> bytes:
+def pack(tokens: np.ndarray, ids: list[int | None], sizes: np.ndarray) -> bytes:
     """A shard file: head, document ids and sizes, then the compressed planes."""
     m, press = WaveletMatrix.build(tokens), zstandard.ZstdCompressor(level=1)
-    docs = press.compress(np.array([-(2**63) if i is None else i for i in ids], "<i8").tobytes() + np.array(sizes, "<i8").tobytes())
+    docs = press.compress(np.array([-(2**63) if i is None else i for i in ids], "<i8").tobytes() + sizes.astype("<i8").tobytes())
     planes = [press.compress(p.tobytes()) for p in m.planes]
     return b"".join([MAGIC, struct.pack("<QQII", m.n, len(ids), m.width, len(docs)), struct.pack(f"<{m.width}I", *map(len, planes)), docs, *planes])
 
@@ -172,48 +175,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks at the end of a word, after a letter or digit that lower-casing leaves as it is: a token run of their own.
+TAIL = r"([a-z0-9ß-öø-ÿ])([!-/:-@\[-`{-~]+)([ \n]|$)"
+#: Words of these letters alone are one token run, so many can be encoded in one text and told apart by their ends.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+TOGETHER = 400
+#: Where lower-casing letters before the library does would not be the same: special tokens, and I under a dot.
+ODD = "<[|]|\u0307"
+
+
 class Encoder:
-    """Encodes texts word by word. Words are remembered in two generations: a full one grows old, and what is used again returns from it."""
+    """Encodes texts by their distinct words, each of which a task's worker hands to the library once.
+
+    White space ends token runs; ASCII letters are lower-cased by the tokenizer, and marks after a plain letter form a
+    run of their own, so both are taken apart before words are told apart. Texts that match ODD go to the library
+    whole. Words are remembered in two generations: a full one grows old, and what is used
+    again returns from it.
+    """
 
     def __init__(self, path: str, end: int):
-        self.path, self.end = path, np.array([end], np.uint32).tobytes()
+        self.path, self.end = path, np.array([end], np.uint32)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        vocab = tokenizer(path).get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of all words into the young generation.
-
-        A comma or full stop after a letter is a token run of its own, and ASCII letters are lower-cased by the
-        tokenizer, so such words share the ids of their stems.
-        """
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from memory or the library."""
         if len(self.young) > REMEMBER:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new: dict[str, tuple[str, str]] = {}
-        for w in words:
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-                continue
-            stem, tail = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalpha() else (w, "")
-            new[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, tail)
-        stems = list({x for x in (part for pair in new.values() for part in pair) if x not in young and x not in old})
-        found = {x: young.get(x) or old.get(x, b"") for pair in new.values() for x in pair}
-        for i in range(0, len(stems), 20_000):
-            part = stems[i : i + 20_000]
-            for x, e in zip(part, tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)):
-                found[x] = array("I", e.ids).tobytes()
-        for w, (stem, tail) in new.items():
-            young[w] = found[stem] + found[tail]
-            young[stem] = found[stem]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, as 32-bit little-endian bytes."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn({w for words in split for w in words})
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        young, old = self.young.get, self.old.get
+        found = [young(w) for w in words]
+        missing = [w for w, x in zip(words, found) if x is None]
+        if missing:
+            again = {w: x for w in missing if (x := old(w)) is not None}
+            self.young.update(again)
+            self.encode([w for w in missing if w not in again])
+            found = [young(w) for w in words]
+        return found
+
+    def encode(self, words: list[str]) -> None:
+        """Remembers the ids of new words."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        other = [w for w in words if not PLAIN.fullmatch(w)]
+        library = tokenizer(self.path)
+        joined = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for at in range(0, len(joined), 64):
+            part = joined[at : at + 64]
+            for own, e in zip(part, library.encode_batch_fast([" ".join(p) for p in part], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) != len(own):
+                    other += own
+                    continue
+                raw, last = ids.tobytes(), 0
+                for w, b in zip(own, (stop * 4).tolist()):
+                    self.young[w] = raw[last:b]
+                    last = b
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            for w, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)):
+                self.young[w] = array("I", e.ids).tobytes()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, an end id after each, and how many each has."""
+        texts = texts.fill_null("")
+        special = pc.match_substring_regex(texts, ODD)
+        plain = pc.if_else(special, "", texts) if pc.any(special).as_py() else texts
+        apart = pc.replace_substring_regex(pc.ascii_lower(plain), TAIL, r"\1 \2\3")
+        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        known = [*self.learn(words.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end.tobytes()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint32)
+        at = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False), at, len(known) - 1)
+        n = size[index]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(start[index] - upto + n, n) + np.arange(int(n.sum()))]
+        count = np.diff(upto[at + np.arange(len(at))], prepend=0)
+        if len(texts) and pc.any(special).as_py():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+                whole = tokenizer(self.path).encode(texts[i].as_py(), add_special_tokens=False)
+                parts[i] = np.concatenate([np.array(whole.ids, np.uint32), self.end])
+            ids, count = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, count
 
 
 @lru_cache(maxsize=1)
@@ -229,22 +277,24 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = 2, id_col:
     def run(batches):
         encode, pid, seq = encoder(path, end), TaskContext.get().partitionId(), 0
         ids: list = []
-        parts: list[bytes] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         total = 0
 
         def shard() -> pa.RecordBatch:
-            data = pack(np.frombuffer(b"".join(parts), "<u4"), ids, [len(p) // 4 for p in parts])
+            data = pack(np.concatenate(parts), ids, np.concatenate(sizes))
             return pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_tokens": pa.array([total], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for part in common.slices(batch, 1):
-                for i, tokens in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids.append(i)
-                    parts.append(tokens)
-                    total += len(tokens) // 4
-                    if total >= SHARD:
-                        yield shard()
-                        ids, parts, total, seq = [], [], 0, seq + 1
+            for part in common.slices(batch, 1, SLICE):
+                tokens, count = encode(part.column(1))
+                ids += part.column(0).to_pylist()
+                sizes.append(count)
+                parts.append(tokens)
+                total += len(tokens)
+                if total >= SHARD:
+                    yield shard()
+                    ids, sizes, parts, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
 
