@@ -87,3 +87,20 @@ def test_redaction_keeps_columns(spark):
     found = op8_pii.redact(df)
     assert found.columns == df.columns
     assert [r["text"] for r in found.orderBy("doc_id").collect()] == ["mail <EMAIL> now", None]
+
+
+def test_topk_rounds_and_overflow(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(-9, 9, (400, 3)).tolist()
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in op2_topk.top_k(df, F.col("vec_id") % 50 == 0, scale=1, shard_rows=20).collect():  # 20 shards, three rounds
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 400, 50):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in range(400) if j != q)[:5]
+        assert sorted(found[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    far = spark.createDataFrame([(i, [1e12, 1e12]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        op2_topk.top_k(far, F.lit(True), scale=256).collect()

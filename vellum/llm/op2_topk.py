@@ -1,16 +1,17 @@
 """Exact top-k search by inner product over KD-trees, one tree for each shard of the vectors.
 
 Components become integers, floor(scale * x). Vectors are dealt to shards by a hash of their id; each shard's tree
-splits at the median of its widest dimension, down to small leaves, and keeps the tight bounding box of every node.
-For a query, the score of any vector in a box is at most sum(max(q * low, q * high)). A query first searches one
-shard; the kth best score found there goes with it to all other shards, where boxes below it are cut at once, and the
-remaining leaves are visited in order of falling bound until the bound is below the kth best score. Queries meet
-shards in blocks: one task holds one tree and at most some thousand queries.
+splits at the median of its widest dimension, down to leaves that one matrix product scores, and keeps the tight
+bounding box of every node. For a query, the score of any vector in a box is at most sum(max(q * low, q * high)). A
+query first searches one shard, then WIDEN times as many in each round; the kth best score so far goes with it, so
+boxes below it are cut at once, and the remaining leaves are visited in order of falling bound until the bound is below
+the kth best score. Queries meet shards in blocks: one task holds one tree and at most some thousand queries.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without an id take no part;
 vectors of different lengths never meet; rows with the query's id are no candidates for it; repeated candidate rows
 count as often as they occur, identical repeated query rows are answered once; ties go to the smaller id; fewer than
-k candidates give fewer rows; an empty table gives none. Other columns are ignored. Scores must fit 64 bits.
+k candidates give fewer rows; an empty table gives none. Other columns are ignored. Components or scores
+beyond 64 bits raise.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 
 from . import common
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 4096, 48
+SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS, WIDEN = 16_384, 4096, 1024, 8
 
 
 def integers(vector: Column, scale: int) -> Column:
@@ -68,8 +69,10 @@ def search(tree: dict, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray,
     give way to their children. Leaves are then visited in order of falling bound, each raising the kth score.
     """
     n, big = len(ids), np.int64(-(2**63 - 1))
-    exact = np.abs(vectors).max(initial=0).astype(float) * max(1.0, np.abs(tree["vectors"]).max(initial=0).astype(float)) * max(1, vectors.shape[1]) < 2**52
-    kind = np.float64 if exact else object  # products within 2**52 are exact in BLAS
+    largest = int(np.abs(vectors).max(initial=0)) * max(1, int(np.abs(tree["vectors"]).max(initial=0))) * max(1, vectors.shape[1])
+    if largest >= 2**63:
+        raise OverflowError("a score may not fit 64 bits")
+    kind = np.float64 if largest < 2**52 else object  # products within 2**52 are exact in BLAS
     q, v = vectors.astype(kind), tree["vectors"].astype(kind)
     bound = np.maximum(q, 0) @ tree["high"].astype(kind).T + np.minimum(q, 0) @ tree["low"].astype(kind).T
     kth = floor.copy()
@@ -100,13 +103,25 @@ def search(tree: dict, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray,
             a, b = tree["first"][node], tree["last"][node]
             who = active[rows]
             score = (q[who] @ v[a:b].T).astype(np.int64)
-            cand = np.broadcast_to(tree["ids"][a:b], score.shape)
-            score = np.where(cand == ids[who, None], big, score)
-            score = np.concatenate([best_score[who], score], 1)
-            cand = np.concatenate([best_id[who], cand], 1)
-            top = np.lexsort((cand, -score), axis=1)[:, :k] if score.shape[1] > k else np.lexsort((cand, -score), axis=1)
-            best_score[who] = np.take_along_axis(score, top, 1)
-            best_id[who] = np.take_along_axis(cand, top, 1)
+            cand = tree["ids"][a:b]
+            # own rows are few: those queries whose id is in the leaf
+            order = np.argsort(cand, kind="stable")
+            low, high = np.searchsorted(cand[order], ids[who]), np.searchsorted(cand[order], ids[who], side="right")
+            for i in np.flatnonzero(high > low).tolist():
+                score[i, order[low[i] : high[i]]] = big
+            least = kth[who]
+            if b - a > k:
+                least = np.maximum(least, np.partition(score, b - a - k, axis=1)[:, b - a - k])
+            i, j = np.nonzero((score >= least[:, None]) & (score > big))
+            # the survivors with what each query had, best first
+            i = np.concatenate([i, np.repeat(np.arange(len(who)), k)])
+            found = np.concatenate([score[i[: len(j)], j], best_score[who].ravel()])
+            named = np.concatenate([cand[j], best_id[who].ravel()])
+            order = np.lexsort((named, -found, i))
+            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            order = order[place < k]
+            best_score[who] = found[order].reshape(-1, k)
+            best_id[who] = named[order].reshape(-1, k)
             kth[who] = np.maximum(kth[who], best_score[who, k - 1])
     found = (best_score > big) & (best_score >= floor[:, None])
     row = np.broadcast_to(np.arange(n)[:, None], found.shape)[found]
@@ -164,17 +179,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     trees = common.materialize(build_trees(dealt.select("dim", "shard", "id", "v")), "trees")
     trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = fit.where("asks").withColumn("q", F.xxhash64("id", "v")).dropDuplicates(["id", "q"]).withColumn("block", F.pmod(F.col("q"), F.lit(blocks)).cast("int"))
+    queries = common.materialize(queries, "queries")
     least = F.lit(-(2**63)).cast("long")
     home = F.pmod(F.xxhash64("q"), F.lit(shards)).cast("int")
     shape = ["dim", "shard", "block", "id", "q", "v", "floor"]
-    first = common.materialize(visit(trees, queries.withColumns({"shard": home, "floor": least}).select(shape), k), "home")
-    if shards > 1:
-        known = first.groupBy("query_id", "q").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        rest = queries.join(known, (queries.id == known.query_id) & (queries.q == known.q), "left").select(queries["*"], F.coalesce("kth", least).alias("floor"))
-        rest = rest.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))
-        first = first.unionByName(visit(trees, rest.select(shape), k))
     order = W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, done, size = None, 0, 1
+    while done < shards:
+        # the next shards after home, one in the first round, then more and more
+        asks = queries.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(done), F.lit(min(done + size, shards) - 1)), lambda i: F.pmod(home + i, F.lit(shards)))))
+        if found is None:
+            asks = asks.withColumn("floor", least)
+        else:
+            known = found.groupBy("query_id", "q").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+            asks = asks.join(known.select(F.col("query_id").alias("id"), "q", "kth"), ["id", "q"], "left").withColumn("floor", F.coalesce("kth", least))
+        more = visit(trees, asks.select(shape), k)
+        every = more if found is None else found.drop("rank").unionByName(more)
+        found = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        done, size = done + size, size * WIDEN
+        if done < shards:
+            found = common.materialize(found, "found")
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
