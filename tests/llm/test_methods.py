@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import graphs, op1_pieces, op2_topk, op3_flac, op4_dedup, op5_mix, op6_wavelet, op7_html, op8_pii, op9_toxic, op10_secrets, shingles
+from vellum.llm import common, graphs, op1_pieces, op2_topk, op3_flac, op4_dedup, op5_mix, op6_wavelet, op7_html, op8_pii, op9_toxic, op10_secrets, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,37 +130,94 @@ def test_sketch_estimates_similarity():
     assert rng is not None
 
 
-def test_dedup_against_brute_force(spark, texts):
-    rng = random.Random(8)
-    pool = dict(texts)
-    base = " ".join(f"w{i}" for i in range(120))
-    for i in range(40):  # a family around the threshold
-        w = base.split()
-        for _ in range(i % 5):
-            w[rng.randrange(len(w))] = f"z{rng.randrange(999)}"
-        pool[10_000 + i] = " ".join(w)
-    sets = {i: set_of(t) for i, t in pool.items()}
-    root = {i: i for i in pool}
+def groups_of(pool, percent=85):
+    """Components by comparing all pairs of sets; pool: (id, text) pairs, ids may be shared."""
+    sets = [(i, set_of(t)) for i, t in pool]
+    root = {i: i for i, _ in pool}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sorted(pool), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    docs = spark.createDataFrame(list(pool.items()), "doc_id long, text string")
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if a == b or x and y and 100 * len(x & y) >= percent * len(x | y):
+            u, v = find(a), find(b)
+            root[max(u, v)] = min(u, v)
+    return {i: find(i) for i in root}
+
+
+def family(rng, n, base, first):
+    """n texts around the threshold: up to five of 120 words changed, some of them changed on."""
+    out, texts = [], [base.split()]
+    for i in range(n):
+        w = list(rng.choice(texts))
+        for _ in range(i % 6):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(999)}"
+        if i % 4 == 0:
+            texts.append(w)
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+def test_dedup_against_brute_force(spark, texts):
+    rng = random.Random(8)
+    pool = [*texts.items(), *family(rng, 40, " ".join(f"w{i}" for i in range(120)), 10_000)]
+    found = groups_of(pool)
+    docs = spark.createDataFrame(pool, "doc_id long, text string")
     for r in op4_dedup.near_duplicates(docs).collect():
         i = r["doc_id"]
-        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), find(i) == i)
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(set_of(dict(pool)[i])), found[i], found[i] == i)
+
+
+def test_dedup_in_small_blocks_with_hot_keys_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(op4_dedup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = random.Random(5)
+    pool = [x for k in range(3) for x in family(rng, 40, " ".join(f"w{k}x{i}" for i in range(120)), 100 * k)]
+    pool += [(7, " ".join(f"u{i}" for i in range(50))), (205, pool[3][1]), (300, " ".join(f"u{i}" for i in range(50)))] + [(500 + i, "a b c d e f g") for i in range(9)]
+    found = groups_of(pool)
+    docs = spark.createDataFrame(pool, "doc_id long, text string")
+    rows = op4_dedup.near_duplicates(docs).collect()
+    assert len(rows) == len(pool) and found[300] == found[7]
+    assert all(r["component_id"] == found[r["doc_id"]] for r in rows)
+
+
+def test_outsiders_of_a_bucket_are_compared():
+    links = op4_dedup.linked([b"a b c d e f", b"a b c d e f g", b"x y z", b"x y z"], np.array([0, 1, 0, 1]), 60)
+    assert sorted(zip(*(x.tolist() for x in links))) == [(0, 1), (2, 3)]
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    found = dict(graphs.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert all(found[i] == 0 for i in range(31)) and all(found[i] == 100 for i in range(100, 140))
+    for hot in (common.HOT_ROWS, 2):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        with common.Scratch(spark) as tables:
+            found = dict(graphs.components(spark.createDataFrame(edges, "a long, b long"), tables).collect())
+            assert all(found[i] == 0 for i in range(31)) and all(found[i] == 100 for i in range(100, 140))
+            assert graphs.components(spark.createDataFrame([(3, 3)], "a long, b long"), tables).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with common.Scratch(spark) as tables:
+        tables.write(spark.range(5), "gone")
+        old = tables.paths["gone"]
+        tables.write(spark.range(6), "gone")
+        kept = tables.write(spark.range(7), "kept")
+        new, stays = tables.paths["gone"], tables.paths["kept"]
+        assert not os.path.exists(old) and os.path.exists(new)
+        tables.keep("kept")
+    assert not os.path.exists(new) and os.path.exists(stays) and kept.count() == 7
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2, 3, None, None])], "k long, i long")
+    lookup = rows.where("k <> 3 and k is not null").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "k * 10 as v", "n")
+    found = sorted((r["i"], r["v"]) for r in common.spread_join(rows, lookup, ["k"], 13).collect())
+    assert found == [(i, 10) for i in range(9)] + [(9, 20), (10, None), (11, None), (12, None)]
 
 
 def test_flow_prefers_first_passes():

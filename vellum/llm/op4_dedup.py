@@ -1,25 +1,31 @@
 """Near-duplicate documents: fast similarity sketches, banding and exact verification.
 
 Texts become sets of five-word shingles. Equal sets form a class, whose smallest id stands for it; only these go on.
-Their sketches (see shingles.sketches) are cut into bands; classes that agree in a band share a bucket, and buckets
-that overlap form a family (connected components over member-to-smallest-member edges, so a bucket never turns into
-all its pairs). Within a family, the whole shingle sets decide: its members are dealt to blocks, every two blocks meet
-in one task, which counts all intersections and returns a spanning forest of the links it confirms, not the links.
-Components of these give the groups. A link at the threshold is missed only if its sketches agree in no band:
-(1 - s^rows)^bands, 4e-5 at s = 0.85 (32 bands of 8), 3e-6 at s = 0.8 (42 of 6) and less above; the rows of a band
-follow from the threshold (see band_rows).
+Their sketches (see shingles.sketches) are cut into bands; classes that agree in a band share a bucket. Whole sets
+decide what links, in two steps, so that a bucket never turns into all its pairs:
+
+1. Every member of a bucket is compared with the bucket's smallest one. What links is one group (components), however
+   many members it has.
+2. A bucket whose other members are still of more than one group is open. In open buckets, the outsiders, those not in
+   the bucket's largest group, are compared with all its members. Open buckets that overlap are handled together
+   (families); outsiders and members are dealt to blocks, and every two blocks meet in one task, which returns a
+   spanning forest of the links it confirms, not the links.
+
+Both give the components of all links between members of a bucket, since members of one group need no comparison. A
+link at the threshold is missed only if its sketches agree in no band: (1 - s^rows)^bands, 4e-5 at s = 0.85 (32 bands
+of 8), 3e-6 at s = 0.8 (42 of 6) and less above; the rows of a band follow from the threshold (see band_rows).
 
 Defined results: A-Z become lower case, words are runs of other characters than white space; a text of fewer than
 five words is one shingle, one without words (or null) none, and links with nothing; rows without an id come back with
 a null component, kept false, and link nothing; repeated rows link with one another; rows that share an id count as
-one document; other columns are ignored.
+one document, which links with whatever one of its texts links with; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, graphs
@@ -73,7 +79,7 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def linked(texts: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts (one of either side; within side 0 if all are) whose sets link, by exact intersection sizes."""
+    """Pairs of texts, one of side 0 and one of side 1, whose sets link, by exact intersection sizes."""
     flat, starts = shingle_sets(texts)
     n, size = len(texts), np.diff(starts)
     owner = np.repeat(np.arange(n), size)
@@ -85,63 +91,102 @@ def linked(texts: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarr
     owner, place = owner[place >= 0], place[place >= 0]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    common_ = np.zeros((len(left), len(right)), np.float32)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    both = np.zeros((len(left), len(right)), np.float32)
     step = 4096
     for a in range(0, len(often), step):
         i, j = np.searchsorted(place, [a, a + step])
         grid = np.zeros((n, step), np.float32)
         grid[owner[i:j], place[i:j] - a] = 1
-        common_ += grid[left] @ grid[right].T
-    common_ = np.rint(common_).astype(np.int64)
-    hit = 100 * common_ >= percent * (size[left][:, None] + size[right][None, :] - common_)
+        both += grid[left] @ grid[right].T
+    both = np.rint(both).astype(np.int64)
+    hit = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
     hit &= (size[left] > 0)[:, None]
     a, b = np.nonzero(hit)
-    a, b = left[a], right[b]
-    keep = a < b if not (side == 1).any() else a != b
-    return a[keep], b[keep]
+    return left[a], right[b]
 
 
-def confirm(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members (family, x, y, side, id, text), grouped by two blocks x and y of a family."""
+def confirm(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) between sides 0 and 1 of members (keys, side, id, text): a spanning forest for each group of keys."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def one(part: pa.Table) -> pa.Table:
         ids = part["id"].to_pylist()
         a, b = linked(part["text"].cast(pa.binary()).to_pylist(), part["side"].to_numpy(), percent)
-        rows = forest([(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist())])
+        rows = forest([(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist()) if ids[i] != ids[j]])
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
 
-    return members.groupBy("family", "x", "y").applyInArrow(one, "a long, b long")
+    return members.groupBy(*keys).applyInArrow(one, "a long, b long")
+
+
+def blocks(key: str) -> Column:
+    """How many blocks the rows (n_bytes) of a key make."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias(key)
+
+
+def dealt(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def star_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (a, b, n_bytes of a): the members a of each b meet it in blocks, each with its own copy of b."""
+    some = pairs.groupBy("b").agg(blocks("parts"), F.count("*").alias("n"))
+    members = common.spread_join(pairs.withColumnRenamed("a", "id"), some, ["b"], pairs.count()).select("b", dealt("parts").alias("part"), "id", F.lit(1).alias("side"))
+    heads = members.select("b", "part").distinct().select("b", "part", F.col("b").alias("id"), F.lit(0).alias("side"))
+    return confirm(members.unionByName(heads).join(texts, "id"), ["b", "part"], percent)
+
+
+def open_links(keys: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, tables: common.Scratch, percent: int) -> DataFrame:
+    """Links between members (key, id) of a bucket that are of different groups by labels (id, label)."""
+    own = tables.write(keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    total = own.count()
+    groups = own.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    state = groups.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("groups"), F.min("first").alias("head"), F.sum("n").alias("n"))
+    state = tables.write(state.where("groups > 1").select("key", F.col("most.label").alias("main"), "head", "n"), "open")
+    inside = common.spread_join(own, state, ["key"], total).where("main is not null").select("id", (F.col("label") != F.col("main")).alias("outside"), "head")
+    inside = tables.write(inside.groupBy("id", "head").agg(F.max("outside").alias("outside")), "inside")
+    families = graphs.components(inside.select(F.col("id").alias("a"), F.col("head").alias("b")), tables, "families")
+    members = inside.groupBy("id").agg(F.max("outside").alias("outside")).join(families, inside.id == families.node).join(sizes, "id")
+    members = tables.write(members.select("id", F.col("component").alias("family"), "outside", "n_bytes"), "members")
+    of_all = members.groupBy("family").agg(blocks("ys"), F.count("*").alias("n"))
+    of_out = members.where("outside").groupBy("family").agg(blocks("xs"))
+    placed = common.spread_join(members, of_all.join(of_out, "family"), ["family"], total)
+    right = placed.select("family", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), dealt("ys").alias("y"), "id", F.lit(1).alias("side"))
+    left = placed.where("outside").select("family", dealt("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), "id", F.lit(0).alias("side"))
+    return confirm(left.unionByName(right).join(texts, "id"), ["family", "x", "y"], percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: its group of near copies, and whether it is the group's smallest id."""
-    feats = common.materialize(features(docs, id_col, text_col, band_rows(percent)), "features")
-    digest = ["n_shingles", "d1", "d2"]
-    full = feats.where("id is not null and n_shingles > 0")
-    classes = common.materialize(full.groupBy(*digest).agg(F.min("id").alias("rep")), "classes")
-    # band keys of the representatives, in buckets of more than one
-    reps = full.join(classes.select(F.col("rep").alias("id"), *digest), ["id", *digest]).dropDuplicates(["id", *digest])
-    keys = common.materialize(reps.select("id", "n_bytes", F.explode("keys").alias("key")), "keys")
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
-    heads = common.materialize(heads, "heads")
-    edges = common.materialize(keys.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "edges")
-    families = common.materialize(graphs.components(edges, "families"), "family")
-    sized = families.join(reps.select(F.col("id").alias("node"), "n_bytes"), "node")
-    blocks = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    blocks = common.materialize(blocks.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
-    placed = families.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    own = placed.join(texts, placed.node == texts.id).select(F.col("component").alias("family"), "block", "blocks", "id", "text")
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = own.withColumn("other", meets).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "text")
-    links = common.materialize(confirm(own, percent), "links")
-    groups = graphs.components(links, "groups")
-    labels = classes.join(groups, classes.rep == groups.node, "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
-    labels = common.materialize(labels, "labels")
-    out = feats.select("id", *digest).join(labels, digest, "left")
+    with common.Scratch(docs.sparkSession) as tables:
+        feats = tables.write(features(docs, id_col, text_col, band_rows(percent)), "features")
+        digest = ["n_shingles", "d1", "d2"]
+        full = feats.where("id is not null and n_shingles > 0")
+        classes = tables.write(full.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+        # band keys of the representatives, in buckets of more than one
+        reps = full.join(classes.select(F.col("rep").alias("id"), *digest), ["id", *digest]).dropDuplicates(["id", *digest])
+        reps = tables.write(reps.select("id", "n_bytes", "keys"), "reps")
+        keys = reps.select("id", F.explode("keys").alias("key"))
+        heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("head < last")
+        heads = tables.write(heads.select("key", "head", "n"), "heads")
+        shared = tables.write(common.spread_join(keys, heads, ["key"], reps.count() * (COORDINATES // band_rows(percent))).where("id <> head"), "shared")
+        sizes = reps.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes"))
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+        pairs = shared.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+        pairs = tables.write(pairs.join(sizes, pairs.a == sizes.id).select("a", "b", "n_bytes"), "pairs")
+        # rows that share an id are one document, whatever their texts
+        several = full.groupBy("id").agg(F.min(F.struct(*digest)).alias("x"), F.max(F.struct(*digest)).alias("y")).where("x <> y").select("id")
+        several = full.join(several, "id", "left_semi").join(classes, digest).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+        links = tables.write(star_links(pairs, texts, percent).unionAll(several), "star")
+        groups = graphs.components(links, tables, "star-groups")
+        more = open_links(shared.select("key", "id"), groups.select(F.col("node").alias("id"), F.col("component").alias("label")), texts, sizes, tables, percent)
+        links = tables.write(links.unionAll(more), "links")
+        groups = graphs.components(links, tables, "groups")
+        labels = classes.join(groups, classes.rep == groups.node, "left").select(*digest, F.coalesce("component", "rep").alias("component_id"), "n")
+        labels = tables.write(labels, "labels")
+        out = feats.select("id", "n_shingles", *[F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col(c)).alias(c) for c in digest[1:]])
+        out = common.spread_join(out, labels, digest, feats.count())
+        tables.keep("features", "labels")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
