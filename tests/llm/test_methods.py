@@ -338,6 +338,72 @@ def test_field_on_fresh_variants():
         assert spans == ([found] if found else [])
 
 
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(6)
+    k = len(op8_pii.TAGS)
+    field = op8_pii.Field({}, np.zeros((0, k)), rng.normal(size=(k, k)))
+    chains = [rng.normal(size=(n, k)) * 2 for n in (1, 2, 3, 4, 4, 1)]
+    for chain, got in zip(chains, field.viterbi(chains)):
+        def value(tags):
+            move = sum(field.pair[a, b] + op8_pii.LEGAL[a, b] for a, b in zip(tags, tags[1:]))
+            return op8_pii.START[tags[0]] + move + sum(chain[t, x] for t, x in enumerate(tags))
+
+        assert tuple(got.tolist()) == max(itertools.product(range(k), repeat=len(chain)), key=value)
+
+
+def test_long_stretches_decode_as_whole_ones(monkeypatch):
+    field, rng = op8_pii.train(), random.Random(12)
+    lines = [t for toks, _, _ in op8_pii.examples(seed=5)[:160] for t in [" ".join(toks)]]
+    text = " 7 ".join(rng.sample(lines, 120))
+    whole = op8_pii.added_spans([text], [[]], field)
+    monkeypatch.setattr(op8_pii, "LONG", 50)
+    monkeypatch.setattr(op8_pii, "PART", 37)
+    assert op8_pii.added_spans([text], [[]], field) == whole and len(whole[0]) > 20
+
+
+def test_memory_on_number_rich_texts():
+    import tracemalloc
+
+    rng = random.Random(1)
+    field = op8_pii.train()
+    text = " ".join(str(rng.randrange(10, 99)) for _ in range(5_000_000 // 3))
+    short = ["call 555 now"] * 400
+    tracemalloc.start()
+    base = [op8_pii.base_spans(t) for t in [text[:300_000], *short]]
+    op8_pii.added_spans([text[:300_000], *short], base, field)
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert small < 60 << 20
+    assert op8_pii.base_spans(text) == [] and op8_pii.base_spans("1" * 5_000_000) == []
+    tags, starts, ends = field.long_viterbi(text, 0, 600_000)
+    assert len(tags) == len(starts) == 200_000 and ends[-1] <= 600_000
+
+
+def test_field_on_held_out_obfuscations():
+    """Lines of other wording than the labelled ones, with fresh names and digits: precision and recall of added spans."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    lines = []
+    for _ in range(60):
+        lines.append((f"you can mail {{}} or visit us at the office", f"{name()} at {name()} dot com"))
+        lines.append((f"questions go to {{}} , not to me", f"{name()} (at) {name()} (dot) org"))
+        lines.append((f"please call {{}} when you arrive", f"({digits(3)}) {digits(3)}-{digits(4)}"))
+        lines.append((f"her phone {{}} was off all day", f"{digits(3)}-{digits(3)}-{digits(4)}"))
+        lines.append((f"they met at the dot com fair in {digits(4)} with {digits(3)} guests", None))
+        lines.append((f"the train left at {digits(1)} and came at {digits(2)} , {digits(3)} km later", None))
+    right = found = wanted = 0
+    field = op8_pii.train()
+    for frame, secret in lines:
+        text = frame.format(secret) if secret else frame
+        want = {(text.index(secret), text.index(secret) + len(secret))} if secret else set()
+        got = {(a, b) for a, b, _ in op8_pii.added_spans([text], [op8_pii.base_spans(text)], field)[0]}
+        right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
+    assert right / found > 0.95 and right / wanted > 0.9
+    story = "the. Is tireen at. Oferthdest esly. Th anst"
+    assert op8_pii.added_spans([story], [[]], field) == [[]]
+
+
 def test_toxicity_learns_subwords():
     rng = random.Random(3)
     fine = ["the", "day", "was", "long", "and", "quiet", "over", "river", "stone", "green"]

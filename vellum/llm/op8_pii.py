@@ -6,8 +6,10 @@ com", a telephone number without '+', a card number in parts). Its tokens are wo
 features are shapes of a token and its neighbours and trigger words just before it. It is trained here by adaptive
 gradient steps on the forward-backward likelihood of LABELLED, whose digits and names are varied by a seeded
 generator. Tasks decode, by Viterbi over batches in numpy, the stretches of REACH tokens around each token with a
-digit, '@' or a spelled-out address sign; other tokens have no label that could begin. A decoded span counts if it
-fulfils its kind's check (VALID) and overlaps no base span.
+digit, '@' or a spelled-out address sign; other tokens have no label that could begin. Stretches of like length are
+decoded together, at most GRID tokens at once; a longer stretch is decoded in parts that hand on the scores of the
+tags, which gives the same tags as the whole. A decoded span counts if it fulfils its kind's check (see valid) and
+overlaps no base span.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows repeat;
 columns other than id and text are dropped (join back on the id).
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 REACH, EPOCHS, VARIANTS = 6, 8, 6
+#: Tokens decoded at once, characters of a stretch that is decoded in parts, tokens of a part, and its context.
+GRID, LONG, PART, MARGIN = 1 << 15, 1 << 14, 4096, 16
 
 #: Labelled lines, a span as [kind:text]; 9 stands for any digit, Xx for any name.
 LABELLED = (
@@ -86,6 +92,14 @@ VALID = {"email": (0, 10_000), "ip": (4, 12), "card": (14, 19), "phone": (9, 15)
 TRIGGERS = frozenset("call phone tel telephone fax ring mobile number card visa amex credit mail email e contact write ip host server address ping".split())
 SIGNS = re.compile(r"[0-9@]|\b(?:at|dot)\b")
 DIGITS = re.compile(r"[0-9]+")
+#: Runs of digits from their start, without backtracking: what could begin inside a run could begin with it.
+FOUR = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+")
+APART = str.maketrans("", "", " -")
+#: A spelled-out address, put together.
+AT = re.compile(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE)
+DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+", re.IGNORECASE)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -116,25 +130,14 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns: leftmost, not overlapping within a kind, failing matches dropped."""
     out = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
-    runs = [m.span() for m in DIGITS.finditer(text)]
-    i = 0
-    while i + 3 < len(runs):  # four runs with a dot between
-        four = runs[i : i + 4]
-        if all(text[b] == "." and c == b + 1 for (_, b), (c, _) in zip(four, four[1:])):
-            if all(int(text[a:b]) <= 255 if b - a < 10 else not text[a : b - 3].strip("0") and int(text[b - 3 : b]) <= 255 for a, b in four):
-                out.append((four[0][0], four[3][1], "ip"))
-            i += 4
-        else:
-            i += 1
-    i = 0
-    while i < len(runs):  # runs with a space or hyphen between
-        j, n = i, runs[i][1] - runs[i][0]
-        while j + 1 < len(runs) and runs[j + 1][0] == runs[j][1] + 1 and text[runs[j][1]] in " -":
-            j += 1
-            n += runs[j][1] - runs[j][0]
-        if 14 <= n <= 19 and luhn("".join(text[a:b] for a, b in runs[i : j + 1])):
-            out.append((runs[i][0], runs[j][1], "card"))
-        i = j + 1
+    for m in FOUR.finditer(text):
+        if all(len(x := part.lstrip("0")) < 4 and int(x or "0") <= 255 for part in m.groups()):
+            out.append((m.start(), m.end(), "ip"))
+    for m in CHAIN.finditer(text):
+        if m.end() - m.start() <= 37:  # 19 digits and 18 separators
+            digits = m[0].translate(APART)
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), m.end(), "card"))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -187,15 +190,17 @@ class Field:
         return np.stack([self.unary[i].sum(0) if i else np.zeros(len(TAGS)) for i in ids]) if ids else np.zeros((0, len(TAGS)))
 
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each chain of potentials; chains of a batch advance together."""
+        """The best tags of each chain of potentials; chains advance together, in grids of at most about GRID tokens."""
         order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        for at in range(0, len(order), 2048):
-            own = order[at : at + 2048]
-            size = np.array([len(chains[i]) for i in own])
-            most, tags = int(size.max(initial=0)), len(TAGS)
+        at = 0
+        while at < len(order):
+            most, tags = len(chains[order[at]]), len(TAGS)
             if not most:
-                continue
+                break
+            own = order[at : at + max(1, GRID // most)]
+            at += len(own)
+            size = np.array([len(chains[i]) for i in own])
             grid = np.zeros((most, len(own), tags))
             for b, i in enumerate(own):
                 grid[: size[b], b] = chains[i]
@@ -217,6 +222,46 @@ class Field:
                 out[i] = best[: size[b], b]
         return out
 
+    def long_viterbi(self, text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tags, starts and ends of the tokens of one long stretch, part by part.
+
+        Features look at most MARGIN tokens to either side; a part's last scores begin the next part, and a byte a tag
+        and token is kept to walk back.
+        """
+        find = TOKEN.finditer(text, a, b)
+        held = list(islice(find, PART + MARGIN))
+        before: list[re.Match] = []
+        score, backs, starts, ends = None, [], [], []
+        move = self.pair + LEGAL
+        while held:
+            own, after = held[:PART], held[PART:]
+            around = [*before, *held]
+            gaps = [m.start() == a or text[m.start() - 1].isspace() for m in around]
+            rows = features([m[0] for m in around], gaps)[len(before) : len(before) + len(own)]
+            grid = self.potentials(rows)
+            back = np.zeros((len(own), len(TAGS)), np.int8)
+            for t in range(len(own)):
+                if score is None:
+                    score = grid[t] + START
+                else:
+                    step = score[:, None] + move
+                    back[t] = step.argmax(0)
+                    score = step.max(0) + grid[t]
+            score = score - score.max()
+            backs.append(back)
+            starts.append(np.fromiter((m.start() for m in own), np.int64, len(own)))
+            ends.append(np.fromiter((m.end() for m in own), np.int64, len(own)))
+            before = own[-MARGIN:]
+            held = [*after, *islice(find, PART)]
+        if score is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        back = np.concatenate(backs)
+        tags, tag = np.zeros(len(back), np.int8), int(score.argmax())
+        for t in range(len(back) - 1, -1, -1):
+            tags[t] = tag
+            tag = back[t, tag]
+        return tags, np.concatenate(starts), np.concatenate(ends)
+
 
 #: An inside tag follows a tag of its kind only.
 LEGAL = np.array([[-1e4 if b[0] == "I" and a[1:] != b[1:] else 0.0 for b in TAGS] for a in TAGS])
@@ -336,38 +381,75 @@ def valid(kind: str, text: str) -> bool:
     if not low <= len(digits) <= high or "\n" in text:
         return False
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text)) and bool(re.search(r"\.|\bdot\b", text)) and len(text.split()) <= 12
+        return ADDRESS.fullmatch(DOT.sub(".", AT.sub("@", text))) is not None
     if kind == "ip":
         parts = DIGITS.findall(text)
-        return len(parts) == 4 and all(int(p) < 256 for p in parts)
+        return len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
     if kind == "phone":
         return len(DIGITS.findall(text)) > 1 or len(digits) <= 11
     return luhn(digits)
 
 
+class Taken:
+    """Whether a place of a text overlaps one of its spans."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts = sorted(a for a, _, _ in spans)
+        self.ends = list(accumulate((b for _, b, _ in sorted(spans)), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+
+def runs_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """(first token, token after the last, kind) of each tagged span."""
+    out = []
+    for t in np.flatnonzero(tags).tolist():
+        if TAGS[tags[t]][0] == "B":
+            kind, u = TAGS[tags[t]][2:], t + 1
+            while u < len(tags) and TAGS[tags[u]] == f"I-{kind}":
+                u += 1
+            out.append((t, u, kind))
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], field: Field) -> list[list[tuple[int, int, str]]]:
     """Spans that the field adds to each text."""
-    places, chains = [], []
-    for i, text in enumerate(texts):
-        for a, b in stretches(text) if text else []:
-            toks, starts, gaps = tokens_of(text[a:b], a)
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    taken = [Taken(spans) for spans in base]
+
+    def add(i: int, a: int, b: int, kind: str) -> None:
+        if b - a <= 200 and valid(kind, texts[i][a:b]) and not taken[i].overlaps(a, b):
+            out[i].append((a, b, kind))
+
+    def decode(some: list[tuple[int, int, int]]) -> None:
+        places, chains = [], []
+        for i, a, b in some:
+            toks, starts, gaps = tokens_of(texts[i][a:b], a)
             if any(t[0].isdigit() or t == "@" for t in toks) or ("at" in toks and "dot" in toks):
                 chains.append(field.potentials(features(toks, gaps)))
                 places.append((i, toks, starts))
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, toks, starts), tags in zip(places, field.viterbi(chains)):
-        t = 0
-        while t < len(tags):
-            if TAGS[tags[t]][0] == "B":
-                kind, u = TAGS[tags[t]][2:], t + 1
-                while u < len(tags) and TAGS[tags[u]] == f"I-{kind}":
-                    u += 1
-                a, b = starts[t], starts[u - 1] + len(toks[u - 1])
-                if valid(kind, texts[i][a:b]) and not any(x < b and a < y for x, y, _ in base[i]):
-                    out[i].append((a, b, kind))
-                t = u
-            else:
-                t += 1
+        for (i, toks, starts), tags in zip(places, field.viterbi(chains)):
+            for t, u, kind in runs_of(tags):
+                add(i, starts[t], starts[u - 1] + len(toks[u - 1]), kind)
+
+    some, held = [], 0
+    for i, text in enumerate(texts):
+        for a, b in stretches(text) if text else []:
+            if b - a > LONG:
+                tags, starts, ends = field.long_viterbi(text, a, b)
+                for t, u, kind in runs_of(tags):
+                    add(i, int(starts[t]), int(ends[u - 1]), kind)
+                continue
+            some.append((i, a, b))
+            held += b - a
+            if held > 4 * LONG:
+                decode(some)
+                some, held = [], 0
+    decode(some)
+    for spans in out:
+        spans.sort()
     return out
 
 
