@@ -418,6 +418,25 @@ def test_toxicity_learns_subwords():
     assert unseen[0] > 0.7 > unseen[1] and unseen[2] == unseen[3] < 0.7
 
 
+def test_toxicity_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = op9_toxic.op9_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["toxic"] == y] for y in (0, 1))
+    auc = np.mean([np.mean((np.array(good) < b) + 0.5 * (np.array(good) == b)) for b in bad])
+    hit = [r for r in rows if r["predicted"]]
+    assert auc > 0.88 and sum(r["toxic"] for r in hit) / len(hit) > 0.85 and sum(r["toxic"] for r in hit) / len(bad) > 0.55
+
+
+def test_toxicity_of_one_label_and_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, "fine day" if i % 2 else "gronk off") for i in range(30)] + [(1, "zz"), (None, "x")], "doc_id long, text string")
+    ones = spark.createDataFrame([(i, 1) for i in range(30)] * 2, "doc_id long, toxic int")
+    texts, y, rate = op9_toxic.sample(docs, ones, "toxic", 8)
+    assert len(texts) == 8 and rate == 1.0 and y.tolist() == [1] * 8
+    scores = op9_toxic.fit(texts, y, rate).score(["anything", None])
+    assert scores[0] == scores[1] > 0.9
+    assert op9_toxic.fit([], np.zeros(0, np.int64), 0.0).score(["x"])[0] < 0.01
+
+
 def test_toxicity_rows(spark, texts):
     rows = op9_toxic.op9_toxicity(spark, SF).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)

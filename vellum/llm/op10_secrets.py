@@ -3,9 +3,10 @@
 Labelled credentials form a prefix tree whose states carry counts; states whose outgoing and ending frequencies differ
 by no more than a Hoeffding bound, and whose successors agree likewise, are merged into a probabilistic automaton
 (state merging in red-blue order). A second automaton comes from labelled harmless strings. Symbols are a string's
-first LITERAL characters themselves and character classes after them. Every candidate (a run of MINIMUM or more
-credential characters) is scored by the difference of the two log-likelihoods per symbol; above
-THRESHOLD it is added as kind "format" where no base span overlaps it.
+first LITERAL characters themselves and character classes after them. Every candidate, a run of MINIMUM or more
+credential characters or the value of a base span, is scored by the difference of the two log-likelihoods per symbol.
+Base spans stay whatever their score, which comes with them; a run above THRESHOLD is added as kind "format" where no
+base span overlaps it.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows repeat;
 columns other than id and text are dropped (join back on the id).
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .op8_pii import coded
+from .op8_pii import Taken, coded
 
 KINDS = ("assign", "access", "hex", "format")
-MINIMUM, LITERAL, ALPHA, THRESHOLD, VARIANTS, FLOOR = 16, 4, 0.05, 0.25, 30, 1e-4
+MINIMUM, LITERAL, ALPHA, THRESHOLD, VARIANTS, FLOOR = 12, 4, 0.05, 0.25, 30, 1e-4
 
 #: Labelled formats: U upper case, l lower case, d digit, x hex digit, b upper case or digit, m any letter or digit,
 #: s those and - or _; {n} repeats; other characters stand for themselves.
@@ -55,6 +56,14 @@ HARMLESS = (
     "d{4}-d{2}-d{2}.d{2}",
     "d{16}",
     "d{3}.d{3}.d{3}.d{3}",
+    "d{2}.d{2}.d{2}.d{2}",
+    "d{2}.d{3}.d{2}.d{3}",
+    "d{2}.d{2}.d{3}.d{2}",
+    "d{2}.d{3}.d{3}.d{3}",
+    "d{3}.d{2}.d{3}.d{2}",
+    "d{3}.d{3}.d{2}.d{2}",
+    "d{1}.d{3}.d{3}.d{3}",
+    "d{12}",
     "l{7}_l{6}_d{2}",
     "l{5}-l{6}-l{4}-d{4}",
     "/l{4}/l{6}/l{8}.l{3}",
@@ -92,18 +101,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MINIMUM)
-DIGIT = re.compile(r"[0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns: leftmost, not overlapping within a kind, failing matches dropped."""
+    return [(a, b, kind) for a, b, kind, _ in valued(text)]
+
+
+def valued(text: str) -> list[tuple[int, int, str, str]]:
+    """The base spans with their values: what an assignment assigns, else the whole span."""
     out = []
     if "=" in text or ":" in text:
-        out += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        out += [(*m.span(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
-        out += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
-    if DIGIT.search(text) or HEX.search(text):
-        out += [(*m.span(), "hex") for m in HEX.finditer(text)]
+        out += [(*m.span(), "access", m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    out += [(*m.span(), "hex", m[0]) for m in HEX.finditer(text)]
     return out
 
 
@@ -250,36 +262,50 @@ def train(seed: int = 11) -> Formats:
     return Formats(*[[spell(p, rng) for p in table for _ in range(VARIANTS)] for table in (CREDENTIALS, HARMLESS)])
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Runs of credential characters outside base spans; full stops after a run are not its own."""
+    taken, out = Taken(base), []
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        b = a + len(m[0].rstrip("."))
+        if b - a >= MINIMUM and not taken.overlaps(a, b):
+            out.append((a, b))
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], formats: Formats) -> list[list[tuple[int, int, str]]]:
     """Candidates whose format is a credential's, outside base spans."""
-    places = []
-    for i, text in enumerate(texts):
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            while b > a and text[b - 1] in ".":  # a full stop after it
-                b -= 1
-            if b - a >= MINIMUM and not any(x < b and a < y for x, y, _ in base[i]):
-                places.append((i, a, b))
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    return [[(a, b, kind) for a, b, kind, _ in own] for own in scored_runs(texts, base, formats)]
+
+
+def scored_runs(texts: list[str], base: list[list[tuple[int, int, str]]], formats: Formats) -> list[list[tuple[int, int, str, float]]]:
+    places = [(i, a, b) for i, text in enumerate(texts) for a, b in candidates(text, base[i])]
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     for (i, a, b), s in zip(places, formats.score([texts[i][a:b] for i, a, b in places]).tolist()):
         if s > THRESHOLD:
-            out[i].append((a, b, "format"))
+            out[i].append((a, b, "format", s))
     return out
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base string, spans string): the base spans and all spans of each whole text."""
+    """(id, base string, spans string, found): the base spans and all spans of each whole text, found with scores."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
+    form = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        base = [base_spans(t) for t in texts]
-        more = added_spans(texts, base, shared.value)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([coded(b, KINDS) for b in base], pa.string()), pa.array([coded(b + m, KINDS) for b, m in zip(base, more)], pa.string())], names=["id", "base", "spans"])
+        own = [valued(t) for t in texts]
+        score = iter(shared.value.score([v for x in own for _, _, _, v in x]).tolist())
+        base = [[(a, b, kind, next(score)) for a, b, kind, _ in x] for x in own]
+        plain = [[x[:3] for x in b] for b in base]
+        more = scored_runs(texts, plain, shared.value)
+        spans = [p + [x[:3] for x in m] for p, m in zip(plain, more)]
+        found = [[dict(zip(("start", "end", "kind", "score"), x)) for x in sorted(b + m)] for b, m in zip(base, more)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([coded(b, KINDS) for b in plain], pa.string()), pa.array([coded(x, KINDS) for x in spans], pa.string()), pa.array(found, form)], names=["id", "base", "spans", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return common.map_arrow(own, one, f"id {kind}, base string, spans string", text=1).withColumnRenamed("id", id_col)
+    return common.map_arrow(own, one, f"id {kind}, base string, spans string, found array<struct<start: long, end: long, kind: string, score: double>>", text=1).withColumnRenamed("id", id_col)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

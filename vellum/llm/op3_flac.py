@@ -462,7 +462,9 @@ def decode(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    read = decode(encode(docs)).withColumn("payload", F.aggregate("pcm", F.lit(b""), lambda a, x: F.concat(a, x["data"])))
+    # the blocks put together at once: hexadecimal strings can be joined, binaries only in pairs
+    whole = F.unhex(F.array_join(F.transform("pcm", lambda x: F.hex(x["data"])), ""))
+    read = decode(encode(docs)).withColumn("payload", whole)
     return read.select(
         "doc_id",
         "n_bytes",

@@ -1,14 +1,15 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks at its ends), so misspelt and unseen words share vectors with
-known ones. A window of WINDOW words averages the vectors of its distinct words; a linear softmax over the average tells toxic
-from clean windows. Embeddings and softmax are trained together on the windows of a bounded sample of labelled
+known ones. A window of about WINDOW words averages the vectors of its distinct words; a linear softmax over the
+average tells toxic from clean windows, and the logit of a window of few words is shrunk (SHRINK). Embeddings and softmax are trained together on the windows of a bounded sample of labelled
 documents (SAMPLE of each label, the smallest by a hash of the id). A document's score comes from its most toxic
 window and its number of windows, by a logistic curve fitted to the sample at the labels' own rate. Since the softmax
 is linear, tasks need one number for each n-gram bucket: the model that travels has 2^BITS of them.
 
 Defined results: null and empty texts are scored as a text without evidence; unlabelled rows, labels that are null and
-rows without an id are never learned from; with labels of one kind only, every score is that kind's rate; held_out is
+rows without an id are never learned from; of a document's labels the largest counts, of its
+texts the smallest; with labels of one kind only, every score is that kind's rate; held_out is
 null without an id; repeated rows repeat; columns other than id and text are dropped.
 """
 
@@ -23,6 +24,8 @@ from . import common
 
 WINDOW, BITS, DIMS, SHORTEST, LONGEST = 50, 18, 8, 3, 6
 SAMPLE, EPOCHS, STEPS, BATCH, THRESHOLD, REMEMBER = 1500, 6, 250, 512, 0.7, 250_000
+#: A window of so many distinct words counts half.
+SHRINK = 50
 
 
 def buckets(words: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +60,11 @@ def some_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(text: str | None) -> list[list[str]]:
-    """The distinct words of each WINDOW words; a text without words has one empty window."""
+    """The distinct words of windows of equal length, near WINDOW words; a text without words has one empty window."""
     words = text.lower().split() if text else []
-    return [list(dict.fromkeys(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)] or [[]]
+    n = max(1, round(len(words) / WINDOW))
+    cuts = [len(words) * i // n for i in range(n + 1)]
+    return [list(dict.fromkeys(words[a:b])) for a, b in zip(cuts, cuts[1:])]
 
 
 class Model:
@@ -90,8 +95,10 @@ class Model:
         parts = [words for x in split for words in x]
         self.remember(parts)
         value = np.array([x for words in parts for x in map(self.known.__getitem__, words)], np.float64)
-        owner = np.repeat(np.arange(len(parts)), [len(words) for words in parts])
-        logit = np.bincount(owner, value, len(parts)) / WINDOW + self.bias
+        size = np.array([len(words) for words in parts])
+        owner = np.repeat(np.arange(len(parts)), size)
+        logit = np.bincount(owner, value, len(parts)) / np.maximum(size, 1) + self.bias
+        logit *= size / (size + SHRINK)  # few words are little evidence
         return np.maximum.reduceat(logit, np.cumsum(count) - count), count
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -127,14 +134,14 @@ def fit(texts: list[str | None], toxic: np.ndarray, rate: float, seed: int = 5)
             n = size[used]
             rows = key[np.repeat(start[used] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             vec = np.add.reduceat(table[rows], np.cumsum(n) - n) / n[:, None]
-            mean = np.add.reduceat(vec[place], np.cumsum(count) - count) / WINDOW
+            mean = np.add.reduceat(vec[place], np.cumsum(count) - count) / count[:, None]
             z = mean @ soft + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), labels[own]] -= 1
             p *= weight[own, None]
-            back = p @ soft.T / WINDOW
+            back = p @ soft.T / count[:, None]
             by_word = np.zeros((len(used), DIMS), np.float32)
             repeated = np.repeat(back, count, axis=0)
             for d in range(DIMS):
@@ -165,13 +172,14 @@ def fit(texts: list[str | None], toxic: np.ndarray, rate: float, seed: int = 5)
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str | None], np.ndarray, float]:
     """Texts and labels of at most limit documents of each label that may be learned from, and the share of label 1."""
-    own = labels.where(f"doc_id is not null and {label} in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", F.col(label).alias("y"))
+    own = labels.where(f"doc_id is not null and {label} in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = dict(own.groupBy("y").count().collect())
     if not counts:
         return [], np.zeros(0, np.int64), 0.0
     order = F.xxhash64("doc_id")
     chosen = own.where("y = 1").orderBy(order, "doc_id").limit(limit).unionAll(own.where("y = 0").orderBy(order, "doc_id").limit(limit))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * limit rows
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * limit ids
+    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), counts.get(1, 0) / sum(counts.values())
 
