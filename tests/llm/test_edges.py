@@ -27,7 +27,7 @@ def table(spark, rows=ROWS):
 
 
 def mixed(docs):
-    return op5_mix.mix(docs, "doc_id", op5_mix.words(F.col("text")), F.array("source"))[0]
+    return op5_mix.mix(docs, "doc_id", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"))[0]
 
 
 def shards(docs):

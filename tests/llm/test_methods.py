@@ -220,11 +220,55 @@ def test_spread_join(spark, monkeypatch):
     assert found == [(i, 10) for i in range(9)] + [(9, 20), (10, None), (11, None), (12, None)]
 
 
-def test_flow_prefers_first_passes():
-    taken = op5_mix.flow({"a": 100, "b": 50, "ab": 30}, {"a": ["a"], "b": ["b"], "ab": ["a", "b"]}, {"a": 110, "b": 70})
-    assert taken == {"a": 100, "b": 50, "ab": 30}
-    taken = op5_mix.flow({"a": 100, "ab": 30}, {"a": ["a"], "ab": ["a", "b"]}, {"a": 150, "b": 40})
-    assert sum(taken.values()) == 190 and taken["ab"] <= 60 and taken["a"] <= 200
+def cheapest(unique, room, quota):
+    """Largest flow of least cost by trying all integer amounts."""
+    cells, best = list(room), None
+    for amounts in itertools.product(*(range(room[c] + 1) for c in cells)):
+        if any(sum(x for x, (_, s) in zip(amounts, cells) if s == t) > n for t, n in quota.items()):
+            continue
+        cost = 0
+        for p, n in unique.items():
+            got = sum(x for x, (q, _) in zip(amounts, cells) if q == p)
+            cost += min(got, n) + 3 * min(max(got - n, 0), n) + 5 * max(got - 2 * n, 0)
+        key = (-sum(amounts), cost)
+        best = min(best or key, key)
+    return best
+
+
+def test_flow_is_the_cheapest_largest():
+    rng = random.Random(7)
+    for _ in range(60):
+        room = {("a", "a"): rng.randrange(5), ("b", "b"): rng.randrange(5), ("ab", "a"): rng.randrange(5), ("ab", "b"): rng.randrange(5)}
+        unique = {p: rng.randrange(1, 4) for p in ("a", "b", "ab")}
+        quota = {"a": rng.randrange(8), "b": rng.randrange(8)}
+        got = op5_mix.flow(unique, room, quota)
+        cost = 0
+        for p, n in unique.items():
+            own = sum(x for (q, _), x in got.items() if q == p)
+            cost += min(own, n) + 3 * min(max(own - n, 0), n) + 5 * max(own - 2 * n, 0)
+        assert all(0 <= got[c] <= room[c] for c in room)
+        assert (-sum(got.values()), cost) == cheapest(unique, room, quota)
+
+
+def test_mix_spares_texts_that_two_sources_hold(spark):
+    """Both sources want all they have of other texts before a text that the other source takes too."""
+    rows = [(i, "a" if i % 2 else "b", f"own words of {i} stand here") for i in range(200)]
+    rows += [(200 + i, "a" if i % 2 else "b", f"shared text {i // 2} has six words") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out, sizes, target = op5_mix.mix(docs, "doc_id", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"), share=0.75, weights=(1,))
+    taken = {r["doc_id"]: r["taken"] for r in out.collect()}
+    assert sizes == {"a": 1200, "b": 1200} and target == {"a": 900.0, "b": 900.0}
+    own, both = sum(taken[i] for i in range(200)), sum(taken[i] for i in range(200, 400))
+    assert own == 1200 and both == 600  # each shared text once, not twice
+    alone = op5_mix.mix(docs, "doc_id", op5_mix.words(F.col("text")), F.col("source"), share=0.75, weights=(1,))[0]
+    assert sum(r["taken"] for r in alone.collect() if r["doc_id"] >= 200) > 700
+
+
+def test_mix_of_too_many_patterns_meets_its_targets(spark, documents, monkeypatch):
+    monkeypatch.setattr(op5_mix, "MOST", 25)
+    out, sizes, target = op5_mix.mix(documents, "doc_id", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"))
+    by = {r["source"]: r for r in out.groupBy("source").agg(F.sum("taken").alias("n"), F.max("size").alias("most")).collect()}
+    assert all(abs(by[s]["n"] - target[s]) <= by[s]["most"] for s in sizes)
 
 
 def test_targets_share_the_excess():
