@@ -59,7 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it: none, one or two."""
     rows = keyed(docs)
-    taken, _, _ = op5_mix.mix(rows, "row", op5_mix.words(F.col("text")), F.array("source"), order=("doc_id", "text"))
+    taken, _, _ = op5_mix.mix(rows, "row", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"), order=("doc_id", "text"))
     copies = taken.where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
     return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
