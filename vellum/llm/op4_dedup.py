@@ -133,7 +133,7 @@ def star_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     some = pairs.groupBy("b").agg(blocks("parts"), F.count("*").alias("n"))
     members = common.spread_join(pairs.withColumnRenamed("a", "id"), some, ["b"], pairs.count()).select("b", dealt("parts").alias("part"), "id", F.lit(1).alias("side"))
     heads = members.select("b", "part").distinct().select("b", "part", F.col("b").alias("id"), F.lit(0).alias("side"))
-    return confirm(members.unionByName(heads).join(texts, "id"), ["b", "part"], percent)
+    return confirm(members.unionByName(heads).join(texts.hint("merge"), "id"), ["b", "part"], percent)
 
 
 def open_links(keys: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, tables: common.Scratch, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def open_links(keys: DataFrame, labels: DataFrame, texts: DataFrame, sizes: Data
     placed = common.spread_join(members, of_all.join(of_out, "family"), ["family"], total)
     right = placed.select("family", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), dealt("ys").alias("y"), "id", F.lit(1).alias("side"))
     left = placed.where("outside").select("family", dealt("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), "id", F.lit(0).alias("side"))
-    return confirm(left.unionByName(right).join(texts, "id"), ["family", "x", "y"], percent)
+    return confirm(left.unionByName(right).join(texts.hint("merge"), "id"), ["family", "x", "y"], percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,14 +174,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
         pairs = shared.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
         pairs = tables.write(pairs.join(sizes, pairs.a == sizes.id).select("a", "b", "n_bytes"), "pairs")
+        # the texts of all candidates, gathered once
+        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        texts = tables.write(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
         # rows that share an id are one document, whatever their texts
         several = full.groupBy("id").agg(F.min(F.struct(*digest)).alias("x"), F.max(F.struct(*digest)).alias("y")).where("x <> y").select("id")
         several = full.join(several, "id", "left_semi").join(classes, digest).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
         links = tables.write(star_links(pairs, texts, percent).unionAll(several), "star")
         groups = graphs.components(links, tables, "star-groups")
         more = open_links(shared.select("key", "id"), groups.select(F.col("node").alias("id"), F.col("component").alias("label")), texts, sizes, tables, percent)
-        links = tables.write(links.unionAll(more), "links")
-        groups = graphs.components(links, tables, "groups")
+        more = tables.write(more, "more")
+        if not more.isEmpty():  # groups that they join
+            joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
+            groups = graphs.components(joined, tables, "groups")
         labels = classes.join(groups, classes.rep == groups.node, "left").select(*digest, F.coalesce("component", "rep").alias("component_id"), "n")
         labels = tables.write(labels, "labels")
         out = feats.select("id", "n_shingles", *[F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col(c)).alias(c) for c in digest[1:]])
