@@ -332,26 +332,66 @@ def test_words_encode_as_in_the_text():
         assert own.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
+def texts_of(spark, rows, **more):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in op7_html.main_text(pages, **more).collect()}
+
+
 def test_style_tree_drops_repeated_branches(spark):
     rows = [(i, f"http://site.org/{i}", f"<body><div class='top'><p>Same words on every page</p></div><div class='body'><p>Page {i} tells its own story {i * 7}</p></div></body>") for i in range(12)]
     rows.append((99, "http://other.org/", "<body><div class='top'><p>Only here</p></div></body>"))
-    found = {r["page_id"]: r["text"] for r in op7_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = texts_of(spark, rows)
     assert found[3] == "Page 3 tells its own story 21" and found[99] == "Only here"
 
 
-def test_pages_give_their_articles(spark):
-    for r in op7_html.op7_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        import html
+def test_pages_give_their_articles_by_the_tree(spark):
+    import html
 
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    off = spark.createDataFrame([], "host string, drop array<string>")
+    without = {r["page_id"]: r["text"] for r in op7_html.main_text(pages, off).collect()}
+    for r in op7_html.op7_main_text(spark, SF).join(pages.select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         assert r["text"] == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>|</?p>|</?h1>", " ", article))).split())
+        assert r["text"] != without[r["page_id"]]  # with the tree switched off, menus and adverts stay
+
+
+def test_repeated_boxes_in_articles_go_and_unique_ones_stay(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Story {0} has {1} words of its own.</p><div class='share'><p>Share this with friends</p></div><div class='legal'><p>Case {1} was filed in {0}.</p></div><h2>Summary</h2><p>In short: {1}.</p><section class='comments'><p>Reader {1} says no.</p></section></article></body>"
+    found = texts_of(spark, [(i, f"https://a.org/{i}", page.format(i, i * i + 7)) for i in range(20)])
+    assert found[4] == "Title 4 Story 4 has 23 words of its own. Case 23 was filed in 4. Summary In short: 23."
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><div class='ad'>Buy {}</div><article><h1>T</h1><p>One story.</p></article><footer>f</footer></body>"
+    assert set(texts_of(spark, [(i, "https://a.org/x", page.format(i % 3)) for i in range(30)]).values()) == {"T One story."}
+    assert set(texts_of(spark, [(i, "https://a.org/x", "<body><div><p>One story.</p></div></body>") for i in range(30)]).values()) == {"One story."}
 
 
-def test_layout_words_keep_the_article():
+def test_a_story_beside_cards_stays(spark):
+    page = "<body><div class='story'><h1>Head {0}</h1><p>A long story about {0} and {1}, told at length.</p></div><article><p>Card {1}</p></article></body>"
+    found = texts_of(spark, [(i, f"https://a.org/{i}", page.format(i, i * 3)) for i in range(10)])
+    assert found[2] == "Head 2 A long story about 2 and 6, told at length. Card 6"
+
+
+def test_lists_of_links_outside_articles_go(spark):
+    page = "<body><ul>" + "".join(f"<li><a href='/{{0}}{k}'>Link {k} of {{0}}</a></li>" for k in range(5)) + "</ul><article><p>Text {0} with <a href='/'>a link</a> inside.</p></article></body>"
+    found = texts_of(spark, [(i, f"https://a.org/{i}", page.format(i)) for i in range(9)])
+    assert found[5] == "Text 5 with a link inside."
+
+
+def test_layout_words_keep_the_article(spark):
     page = '<body><div class="page has-sidebar"><div class="post-header banner">x</div><main><h1>T</h1><p>body</p><div class="comments">no</div></main><div class="sidebar">s</div></div></body>'
-    assert op7_html.extract(page) == "T body"
     plain = '<div class="wrap with-menu"><h1>Title</h1><p>' + "long text " * 20 + '</p><form>f</form></div><div class="cookie-notice">cookies</div>'
-    assert op7_html.extract(plain) == "Title " + " ".join(["long text"] * 20)
+    found = texts_of(spark, [(1, "http://a/", page), (2, "http://b/", plain)])
+    assert found == {1: "T body", 2: "Title " + " ".join(["long text"] * 20)}
+
+
+def test_large_and_broken_pages(spark):
+    deep = "<div>" * 20_000 + "deep" + "<p>x<b><i>" * 3000
+    long = "<article>" + "<p>many words here</p>" * 30_000
+    found = texts_of(spark, [(1, "http://a/", deep), (2, "http://b/", long), (3, "http://c/", "<" * 50_000), (4, "http://d/", "<p a='" + "x" * 50_000)])
+    assert found[1].startswith("deep x x") and found[2] == " ".join(["many words here"] * 30_000)
 
 
 def test_base_personal_data():
