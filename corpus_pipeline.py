@@ -1,7 +1,9 @@
 """A corpus from raw documents: toxicity, near duplicates, personal data, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, in their order; other columns are dropped, whatever
+their names. In every stage null and empty texts count alike unless said otherwise, texts are taken whole whatever
+their length, and an empty table gives an empty one. Rows are never told apart by doc_id, which may be null or shared.
 """
 
 from __future__ import annotations
@@ -17,7 +19,12 @@ PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; it learns from the labelled rows of the stage's own input."""
+    """Documents that the toxicity model does not reject; it learns from the labelled rows of the stage's own input.
+
+    Null and empty texts are scored as texts without evidence. Rows without an id are scored, not learned from. Without
+    labels of both kinds, every document has that kind's rate as its score. A score at the threshold is rejected;
+    repeated rows share their score, so all stay or all go.
+    """
     model = op9_toxic.train(docs, common.table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast(model)
     place = docs.columns.index("text")
@@ -38,8 +45,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id (null ids last), of each group of near copies.
 
-    Rows without an id and different texts of one id are documents of their own; rows without words link with nothing,
-    and only repeated ones of one id become one.
+    Rows without an id and different texts of one id are documents of their own; rows without words (null, empty, white
+    space) link with nothing, and only repeated ones of one id become one. Of repeated rows one stays; among rows of
+    the smallest id, that of the smaller text hash does.
     """
     rows = keyed(docs)
     groups = op4_dedup.near_duplicates(rows, PERCENT, id_col="row")
@@ -52,12 +60,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by the names of their kinds; n_chars follows the new text."""
+    """Personal data replaced by the names of their kinds; n_chars follows the new text.
+
+    Null texts stay null, with null n_chars; empty ones stay empty. Every row stays, repeated rows and rows without an
+    id too. Where spans overlap, the first names the whole.
+    """
     return op8_pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of it: none, one or two."""
+    """As many copies of each document as the mix takes of it: none, one or two.
+
+    Texts without words have size 0 and are never taken. A null source is a source of its own. Repeated rows stand next
+    to each other in the seeded order and are taken one by one; rows without an id are ordered by their text.
+    """
     rows = keyed(docs)
     taken, _, _ = op5_mix.mix(rows, "row", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"), order=("doc_id", "text"))
     copies = taken.where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
@@ -65,7 +81,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text, and digests of them and of what they decode to."""
+    """The pieces of each text, and digests of them and of what they decode to.
+
+    Null and empty texts have no pieces and decode to the empty text. One row for each row, repeated or without an id.
+    """
     both = op1_pieces.encode(docs, read_back=True)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
@@ -84,9 +103,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.Scratch(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            docs = tables.write(stage(spark, docs, sf_dir), name)
+        tables.keep(name)  # the last stage reads it
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict:
