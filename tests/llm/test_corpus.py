@@ -1,5 +1,9 @@
 """The pipeline's stages on rows that ids do not tell apart, and near copies between 0.80 and 0.85."""
 
+import hashlib
+
+import pytest
+
 import corpus_pipeline as c
 from vellum.llm import op4_dedup, shingles
 
@@ -51,3 +55,48 @@ def test_mixing_takes_rows_without_or_with_shared_ids(spark):
     for r in c.mixing(spark, docs, "").collect():
         found[r["text"]] = found.get(r["text"], 0) + 1
     assert set(found) == {t for _, t in rows} and set(found.values()) == {1, 2}  # 1.5 passes of one source
+
+
+LONG = "many words " * 30_000
+EDGES = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (4, "one two"), (None, "no id here"), (5, LONG), (6, "mail a.b@c.de now"), (6, "another text of six")]
+
+
+def run_stage(spark, stage, rows):
+    """The stage's rows for a table with columns of clashing names."""
+    docs = table(spark, rows).withColumns({x: F.lit("q") for x in ("row", "id", "size", "taken", "copies", "score", "component_id", "ids", "spans", "key")})
+    out = dict(c.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+    if stage != "token_ids":
+        assert out.columns == list(c.COLUMNS)
+    return sorted((str(r["doc_id"]), str(r["text"]) if stage != "token_ids" else str(r["n_tokens"])) for r in out.collect())
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in c.STAGES])
+def test_stages_on_empty_tables(spark, stage):
+    assert run_stage(spark, stage, []) == []
+
+
+def test_toxicity_keeps_clean_edges(spark):
+    assert run_stage(spark, "toxicity", EDGES) == sorted((str(i), str(t)) for i, t in EDGES)
+
+
+def test_near_duplicates_of_edges(spark):
+    rows = [(i, t) for i, t in EDGES if (i, t) != (4, "one two")] + [(4, "one two")]
+    assert run_stage(spark, "near_duplicates", EDGES) == sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_personal_data_of_edges(spark):
+    want = [(i, "mail <EMAIL> now" if t and "@" in t else t) for i, t in EDGES]
+    assert run_stage(spark, "personal_data", EDGES) == sorted((str(i), str(t)) for i, t in want)
+
+
+def test_mixing_of_edges(spark):
+    found = run_stage(spark, "mixing", EDGES)
+    assert {x for x in found} <= {(str(i), str(t)) for i, t in EDGES if t and t.strip()}
+    assert all(found.count(x) <= 4 for x in found) and sum(len(t.split()) for _, t in found) <= 2 * 60_014
+
+
+def test_token_ids_of_edges(spark):
+    found = run_stage(spark, "token_ids", EDGES)
+    assert len(found) == len(EDGES) and ("1", "0") in found and ("2", "0") in found
+    empty = c.token_ids(spark, table(spark, [(1, None)]), "").first()
+    assert empty["ids_sha256"] == empty["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
