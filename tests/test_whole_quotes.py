@@ -9,3 +9,15 @@ def test_tolerant_quotes_of_all_documents(spark, tmp_path):
     found = {r["doc_id"]: (r["start"], r["end"], r["verified"]) for r in catalog.queries()["txt7_tolerant_quotes_all"](spark, str(tmp_path)).collect()}
     none = (None, None, False)
     assert found == {1: (6, 19, True), 2: (6, 16, True), 3: none, 4: none, 5: none, 6: (9, 26, True), 7: (6, 10, True)}
+
+
+def test_many_quotes_meet_in_a_join(spark, monkeypatch):
+    from vellum.operators import quotes
+
+    docs = spark.createDataFrame([(i, f"start of text {i} has some more words that follow here") for i in range(30)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"of text {i} has some more words") for i in range(0, 30, 3)], "item_id long, quote string")
+    rows = lambda: sorted(map(tuple, quotes.contained(docs, asked).select("doc_id", "item_id", "start_char").collect()))
+    few = rows()
+    monkeypatch.setattr(quotes, "MOST_KEYS", 2)
+    assert rows() == few == [(i, i, 6) for i in range(0, 30, 3)]
+    assert quotes.contained(docs, asked.limit(0)).count() == 0

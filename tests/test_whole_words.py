@@ -9,8 +9,8 @@ from vellum.plans import documents as d
 
 def score(text):
     low = text.lower()
-    times = {w: low.count(w) for w in d.ALL_INDICATORS}
-    hits = {p: [m[0] for m in re.finditer(p, low)] for p in d.ALL_PHRASES}
+    times = {w: low.count(w) for w in d.INDICATORS}
+    hits = {p: [m[0] for m in re.finditer(p, low)] for p in d.PHRASES}
     found = sum(n > 0 for n in times.values()) + 2 * sum(map(len, hits.values()))
     chars = sum(n * len(w) for w, n in times.items()) + sum(len(x) for h in hits.values() for x in h)
     return round(min(10, found * chars / len(text) * 100), 6)
@@ -34,3 +34,15 @@ def test_url_scores_by_all_keywords(spark, tmp_path):
     spark.createDataFrame([(i, f"http://h.org/{k}") for i, k in enumerate(late)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     found = dict(catalog.queries()["url5_url_scores_all"](spark, str(tmp_path)).collect())
     assert all(found[i] > 0 for i in range(len(late)))
+
+
+def test_longest_pattern_and_counts(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import ingest
+
+    words = ("data", "data protection", "dat", "aba", "term", "terms", "x.y")
+    text = "data protection of data, dat ababa terms term x.y xzy dataprotection"
+    assert [m[1] for m in re.finditer(f"(?=({ingest.longest_pattern(sorted(words))}))", "data protection dat x.y")] == ["data protection", "dat", "x.y"]
+    row = spark.createDataFrame([(text,)], "t string").select(*ingest.occurrences(F.col("t"), words)).first()
+    assert tuple(row) == (sum(w in text for w in words), sum(text.count(w) * len(w) for w in words))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,19 +21,61 @@ def total(parts: list[Column]) -> Column:
     return out
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def longest_pattern(words: list[str]) -> str:
+    """A pattern of the longest of the words at a place: common beginnings are tried once."""
+    if words == [""]:
+        return ""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    rest = "|".join(re.escape(c) + longest_pattern(ws) for c, ws in after.items())
+    rest = rest if len(after) == 1 and "" not in words else f"(?:{rest})"
+    return rest + "?" if "" in words else rest
+
+
+def occurrences(low: Column, words: tuple[str, ...]) -> tuple[Column, Column]:
+    """(different words that occur, letters of all occurrences) of a list of words anywhere in a text, in one pass.
+
+    A pattern finds the longest word that begins at each place; words that are its beginnings occur there too. Words
+    that can overlap themselves are counted on their own.
+    """
+    own = [w for w in words if any(w[:i] == w[-i:] for i in range(1, len(w)))]
+    rest = sorted((w for w in words if w not in own), key=lambda w: (-len(w), w))
+    heads = {w: [x for x in rest if w.startswith(x)] for w in rest}
+    begins = F.create_map(*[x for w, hs in heads.items() for x in (F.lit(w), F.array(*map(F.lit, hs)))])
+    letters = F.create_map(*[F.lit(x) for w, hs in heads.items() for x in (w, sum(map(len, hs)))])
+    first = "".join(sorted({re.escape(w[0]) for w in rest}))
+    places = F.regexp_extract_all(low, F.lit(f"(?=[{first}])(?=({longest_pattern(rest)}))"), F.lit(1))
+    count = lambda p: F.struct(
+        F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(p), lambda w: begins[w])))).alias("found"),
+        F.aggregate(p, F.lit(0), lambda n, w: n + letters[w]).alias("letters"),
+    )
+    both = let(places, count)
+    times = [F.regexp_count(low, F.lit(r"\Q" + w + r"\E")) for w in own]
+    return both["found"] + sum((F.least(n, F.lit(1)) for n in times), F.lit(0)), both["letters"] + sum((n * len(w) for n, w in zip(times, own)), F.lit(0))
+
+
 def content_score(content: Column, title: Column, indicators=v.LEGAL_INDICATORS, phrases=v.LEGAL_PHRASES, quick: str = v.QUICK_CHECK, title_words=v.TITLE_KEYWORDS) -> Column:
     """Score from 0 to 10 of a text's policy words, weighed by their density, and of its title.
 
     The long list of words is looked up only in texts that are long enough and pass the quick pattern.
     """
-    low = F.lower(content)
-    times = [F.regexp_count(low, F.lit(r"\Q" + w + r"\E")) for w in indicators]
-    found = total([F.least(n, F.lit(1)) for n in times]) + total([2.0 * F.regexp_count(low, F.lit(p)) for p in phrases])
-    chars = total([n * len(w) for n, w in zip(times, indicators)]) + total([F.coalesce(F.length(F.array_join(F.regexp_extract_all(low, F.lit(p), F.lit(0)), "")), F.lit(0)) for p in phrases])
+
+    def score(low: Column) -> Column:
+        words, letters = occurrences(low, tuple(indicators))
+        said = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in phrases]))
+        hits = lambda h: (words + 2.0 * F.size(h)) * (letters + F.length(F.array_join(h, "")))
+        return let(said, hits)
+
     bonus = total([F.when(F.lower(F.coalesce(title, F.lit(""))).contains(w), 3.0).otherwise(0.0) for w in title_words])
-    score = F.least(F.lit(10.0), found * chars / F.length(content) * 100 + bonus)
-    enough = (F.size(F.split(F.trim(content), r"\s+")) >= 50) & (F.length(content) >= SHORTEST) & low.rlike(quick)
-    return F.when(enough, score).otherwise(0.0)
+    enough = (F.size(F.split(F.trim(content), r"\s+")) >= 50) & (F.length(content) >= SHORTEST) & F.lower(content).rlike(quick)
+    return F.when(enough, F.least(F.lit(10.0), let(F.lower(content), score) / F.length(content) * 100 + bonus)).otherwise(0.0)
 
 
 def url_score(address: Column, phrases=v.URL_PHRASES, keywords=v.URL_KEYWORDS) -> Column:

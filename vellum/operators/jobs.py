@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.sources.sinks import settled
+
 RUNNING = ("crawling", "analyzing", "generating")
 MOST_ATTEMPTS, STALE_MINUTES, BREAKER = 12, 30, 5
 HARD_CODES = (401, 403, 407, 451)
@@ -96,9 +98,10 @@ def quota(rows: DataFrame, key: str, ts: str, limit: int) -> DataFrame:
 def stagger(rows: DataFrame, buckets: int, order: list[str], per_day: int = 20) -> DataFrame:
     """The day of each row when per_day run a day, in order.
 
-    Row numbers over the whole table come from counts of ranges of the order, so no task sorts everything.
+    Row numbers over the whole table come from counts of ranges of the order, so no task sorts everything. The ranges
+    are checkpointed, for their bounds are sampled anew each time they are computed.
     """
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id())
+    ranged = settled(rows.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id()))
     inside = F.row_number().over(W.partitionBy("part").orderBy(*order))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))

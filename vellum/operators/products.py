@@ -13,8 +13,18 @@ RISK_WORDS = ("sell", "share", "track", "third part", "retain", "arbitration", "
 
 def validated(rows: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): rows to append and those refused."""
-    marked = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    return marked.where("_ok").drop("_ok"), marked.where("not _ok").drop("_ok")
+    both = marked(rows, ok)
+    return both.where("_ok").drop("_ok"), both.where("not _ok").drop("_ok")
+
+
+def marked(rows: DataFrame, ok: Column) -> DataFrame:
+    """The rows with _ok, whether they may be appended."""
+    return rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+
+
+def ended(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Tasks (id) whose job (id, status) is known and runs no more."""
+    return tasks.join(jobs, "id", "left").where("status is not null and status not in ('crawling', 'analyzing', 'generating')")
 
 
 def admit_url(address: Column, depth: Column, allowed: Column, denied: Column, deepest: int = 5) -> Column:

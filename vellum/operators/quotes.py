@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 KEY = 4
 
 
+#: As many keys of quotes are looked up in place; more meet the texts' keys in a join.
+MOST_KEYS = 4096
 #: Characters of a key of a short quote, at most.
 GRAM = 8
 
@@ -48,7 +50,11 @@ def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """
     words = F.split("quote", " ")
     keyed = quotes.where(F.size(words) >= KEY + 2).select("item_id", "quote", F.xxhash64(*[F.get(words, F.lit(i + 1)) for i in range(KEY)]).alias("key"))
-    pairs = docs.select("doc_id", F.explode(keys(F.col("text"))).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
+    few = [r["key"] for r in keyed.select("key").distinct().limit(MOST_KEYS + 1).collect()]
+    own = keys(F.col("text"))
+    if len(few) <= MOST_KEYS:  # only runs that some quote has leave the text
+        own = F.array_intersect(own, F.lit(few) if few else F.array().cast("array<bigint>"))
+    pairs = docs.select("doc_id", F.explode(own).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
     pairs = short_pairs(docs, quotes.where(F.size(words) < KEY + 2).where("quote is not null"), pairs)
     at = docs.select("doc_id", "text").join(pairs, "doc_id").withColumn("at", F.expr("instr(text, quote)")).where("at > 0")
     return at.select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("start_char"), (F.col("at") - 1 + F.length("quote")).cast("long").alias("end_char"))

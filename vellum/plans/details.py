@@ -29,13 +29,19 @@ def cls13_filed_names(spark, sf_dir):
 WORDS = "array_to_string(string_split(text, ' ')[4:9], ' ')"
 
 
-@register(f"SELECT doc_id, CASE WHEN q <> '' THEN instr(text, q) - 1 END AS start, CASE WHEN q <> '' THEN instr(text, q) - 1 + length(q) END AS \"end\", q <> '' AS verified FROM (SELECT doc_id, text, {WORDS} AS q FROM documents WHERE len(string_split(text, ' ')) >= 9 AND NOT contains({WORDS}, chr(10)) AND NOT contains({WORDS}, '  '))")
+#: A quote of double spaces, and the pattern in which its white space, quotation marks and dashes may differ.
+SPACED = f"CASE WHEN regexp_matches({WORDS}, '\\S') THEN regexp_replace({WORDS}, '\\s+', '  ', 'g') END"
+MARKS = ("['‘’`]", "[\"“”]", "[-–—]")
+LOOSE = r"regexp_replace(trim(q), '([\\.+*?()\[\]{}|^$])', '\\\1', 'g')"
+for m in MARKS:
+    LOOSE = "regexp_replace({}, '{}', '{}', 'g')".format(LOOSE, *[m.replace("'", "''")] * 2)
+LOOSE = rf"regexp_replace({LOOSE}, '\s+', '\\s+', 'g')"
+
+
+@register(f"""SELECT doc_id, pos - 1 AS start, pos - 1 + length(f) AS "end", pos IS NOT NULL AS verified FROM (SELECT doc_id, f, CASE WHEN f <> '' THEN instr(text, f) END AS pos FROM (SELECT doc_id, text, CASE WHEN contains(text, q) THEN q ELSE regexp_extract(text, {LOOSE}) END AS f FROM (SELECT doc_id, text, {SPACED} AS q FROM documents)))""")
 def txt7_tolerant_quotes(spark, sf_dir):
-    """Six words of each text, quoted with other white space, found again at their place."""
-    quote = F.array_join(F.slice(F.split("text", " "), 4, 6), " ")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", quote.alias("q")).where(F.size(F.split("text", " ")) >= 9).where("not contains(q, '\n') and not contains(q, '  ')")
-    at = quotes.offsets(F.col("text"), F.regexp_replace("q", " ", "  "))
-    return docs.select("doc_id", at.alias("at")).select("doc_id", "at.start", "at.end", "at.verified")
+    """The fourth to ninth words of every document, quoted with other white space and found again; nulls where it has none."""
+    return txt7_tolerant_quotes_all(spark, sf_dir)
 
 
 @register()

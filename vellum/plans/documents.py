@@ -32,14 +32,10 @@ def m0_distinct_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FP = "md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 5000))"
-#: Words of this corpus beside the policy words, so that scores differ.
-INDICATORS = (*v.LEGAL_INDICATORS[:20], "license", "version", "ering", "auber", "mente")
-PHRASES = (*v.LEGAL_PHRASES[:4], r"licensed under (?:the|a) \w+")
-QUICK = r"license|rights|the|der|les|ci"
-#: All policy words and those of this corpus.
-ALL_INDICATORS = tuple(dict.fromkeys((*v.LEGAL_INDICATORS, *INDICATORS)))
-ALL_PHRASES = tuple(dict.fromkeys((*v.LEGAL_PHRASES, *PHRASES)))
-ALL_QUICK = f"{v.QUICK_CHECK}|{QUICK}"
+#: The policy words, and words of this corpus, so that scores differ.
+INDICATORS = tuple(dict.fromkeys((*v.LEGAL_INDICATORS, "license", "version", "ering", "auber", "mente")))
+PHRASES = tuple(dict.fromkeys((*v.LEGAL_PHRASES, r"licensed under (?:the|a) \w+")))
+QUICK = f"{v.QUICK_CHECK}|license|rights|the|der|les|ci"
 
 
 def esc(s: str) -> str:
@@ -77,7 +73,7 @@ simple("txt8_garbled", lambda: text.garbled(T()), "coalesce(length(text) >= 100
 simple("txt10_word_count", lambda: text.word_count(T()), "CAST(len(regexp_extract_all(coalesce(text, ''), '\\w+')) AS BIGINT)")
 simple("txt10_long_sentences", lambda: text.long_sentences(T()), "CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: len(regexp_extract_all(s, '\\w+')) > 35)) AS BIGINT)")
 simple("txt11_truncate", lambda: text.truncate(T()), "CASE WHEN length(text) > 220 THEN rtrim(substr(text, 1, 217)) || '...' ELSE text END")
-simple("txt12_cap", lambda: F.md5(text.cap(T(), 2000)), "md5(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000 - 13) || chr(10) || chr(10) || '[truncated]' ELSE text END)")
+simple("txt12_cap", lambda: F.md5(text.cap(T())), "md5(CASE WHEN length(text) > 150000 THEN substr(text, 1, 150000 - 13) || chr(10) || chr(10) || '[truncated]' ELSE text END)")
 simple("cls2_whole_word", lambda: text.contains_word(T(), "License"), "regexp_matches(text, '(?i)\\bLicense\\b')")
 
 
@@ -115,10 +111,13 @@ def agg3_documents_per_product(spark, sf_dir):
     return documents(spark, sf_dir, "doc_id", "source").select(product.alias("product")).groupBy("product").agg(F.count("*").alias("n"))
 
 
-@register("WITH h AS (SELECT source, sha256(coalesce(text, '') || coalesce(lang, '')) AS h FROM documents) SELECT source, sha256(string_agg(h, '|' ORDER BY h)) AS signature FROM h GROUP BY source")
+@register("WITH h AS (SELECT source, sha256(coalesce(text, '') || coalesce(lang, '')) AS h FROM documents), b AS (SELECT source, substr(h, 1, 4) AS bucket, sha256(string_agg(h, '|' ORDER BY h)) AS d FROM h GROUP BY ALL) SELECT source, sha256(string_agg(bucket || ':' || d, '|' ORDER BY bucket)) AS signature FROM b GROUP BY source")
 def agg24_signature(spark, sf_dir):
+    """A signature of all hashes of a source in two levels: a digest for each of 65,536 ranges, then one of those, so a source of any size is no single value."""
     h = documents(spark, sf_dir, "source", text.document_hash(F.col("text"), F.col("lang")).alias("h"))
-    return h.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "|"), 256).alias("signature"))
+    digest = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "|"), 256)
+    ranges = h.groupBy("source", F.substring("h", 1, 4).alias("bucket")).agg(digest("h").alias("d"))
+    return ranges.groupBy("source").agg(digest(F.concat_ws(":", "bucket", "d")).alias("signature"))
 
 
 @register("WITH c AS (SELECT source, count(DISTINCT lang) AS types, count(*) FILTER (lang <> 'es') AS core FROM documents GROUP BY source) SELECT source, types < 2 OR core < 3 AS thin FROM c")
@@ -183,13 +182,13 @@ def mrg_turn_order(spark, sf_dir):
 @register()
 def txt9_content_score_all(spark, sf_dir):
     """The content score by every policy word."""
-    return documents(spark, sf_dir, "doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), ALL_INDICATORS, ALL_PHRASES, ALL_QUICK), 6).alias("score"))
+    return documents(spark, sf_dir, "doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK), 6).alias("score"))
 
 
 @register()
 def prd10_admission_reason_all(spark, sf_dir):
     """Why a document is not admitted, its score by every policy word."""
-    score = ingest.content_score(F.col("text"), F.lit(""), ALL_INDICATORS, ALL_PHRASES, ALL_QUICK)
+    score = ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK)
     return documents(spark, sf_dir, "doc_id", ingest.skip_reason(F.col("text"), score, F.col("doc_id") % 3 == 0, F.col("lang")).alias("reason"))
 
 

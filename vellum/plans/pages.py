@@ -19,13 +19,13 @@ def metadata(spark, sf_dir):
     return op.html_metadata(read(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@register("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) = len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)))")
+HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+
+
+@register(f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(list_distinct({HREFS})) AS BIGINT) AS n_links FROM pages")
 def src10_html_metadata(spark, sf_dir):
-    """Language and links of pages whose links are all different, by the HTML reader."""
-    m = metadata(spark, sf_dir).select("page_id", "lang", F.size("links").cast("long").alias("n_links"))
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    plain = read(spark, sf_dir, "pages").where(F.size(hrefs) == F.size(F.array_distinct(hrefs))).select("page_id")
-    return m.join(plain, "page_id", "left_semi")
+    """Language and number of different links of every page, by the HTML reader."""
+    return src10_html_metadata_all(spark, sf_dir)
 
 
 @register()
@@ -34,10 +34,9 @@ def src10_html_metadata_all(spark, sf_dir):
     return metadata(spark, sf_dir).select("page_id", "lang", F.size("links").cast("long").alias("n_links"))
 
 
-@register("SELECT link AS url, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE link NOT LIKE '%&%' GROUP BY link")
+@register(f"SELECT replace(link, '&amp;', '&') AS url, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest({HREFS}) AS link FROM pages) GROUP BY 1")
 def ded9_link_table(spark, sf_dir):
-    edges = metadata(spark, sf_dir).select("page_id", F.explode("links.url").alias("url")).where("not contains(url, '&')")
-    return edges.groupBy("url").agg(F.countDistinct("page_id").alias("n_pages"))
+    return ded9_link_table_all(spark, sf_dir)
 
 
 @register()

@@ -22,8 +22,9 @@ QUERIES, ORACLE_SQL = register.queries, register.oracles
 
 @register("SELECT count(*) FILTER (length(coalesce(text, '')) >= 200) AS accepted, count(*) FILTER (length(coalesce(text, '')) < 200) AS rejected FROM documents")
 def snk1_validated_append(spark, sf_dir):
-    good, bad = op.validated(read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), F.col("n") >= 200)
-    return good.agg(F.count("*").alias("accepted")).withColumn("k", F.lit(1)).groupBy("k").agg(F.max("accepted").alias("accepted")).join(bad.withColumn("k", F.lit(1)).groupBy("k").agg(F.count("*").alias("rejected")), "k").select("accepted", "rejected")
+    """What a validated append takes and refuses, counted in one pass."""
+    marked = op.marked(read(spark, sf_dir, "documents").select(F.length("text").alias("n")), F.col("n") >= 200)
+    return marked.agg(F.count_if("_ok").alias("accepted"), F.count_if(~F.col("_ok")).alias("rejected"))
 
 
 @register("SELECT product, string_agg(seed, ',' ORDER BY seed) AS seeds FROM (SELECT DISTINCT source AS product, 'https://' || source || '.org/' || lang AS seed FROM documents) GROUP BY product")
@@ -33,10 +34,11 @@ def snk5_added_seeds(spark, sf_dir):
     return d.groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("seed")), ",").alias("seeds"))
 
 
-@register("SELECT count(*) FILTER (t IS NULL) AS added, count(*) FILTER (s IS NOT NULL AND t IS NOT NULL) AS replaced, count(*) FILTER (s IS NULL) AS removed FROM (SELECT o_orderkey AS s FROM orders WHERE o_orderkey % 2 = 0) FULL JOIN (SELECT o_orderkey AS t FROM orders WHERE o_orderkey % 3 = 0) ON s = t")
+@register("SELECT count(*) FILTER (t IS NULL) AS added, count(*) FILTER (s IS NOT NULL AND t IS NOT NULL) AS replaced, count(*) FILTER (s IS NULL) AS removed FROM (SELECT o_orderkey AS s FROM orders WHERE o_orderstatus <> 'P') FULL JOIN (SELECT o_orderkey AS t FROM orders WHERE o_orderpriority <> '1-URGENT') ON s = t")
 def snk8_promotion_counts(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey")
-    return op.promotion(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "o_orderkey")
+    """What replacing the published orders (all but urgent ones) by the settled ones would change."""
+    o = read(spark, sf_dir, "orders")
+    return op.promotion(o.where("o_orderstatus <> 'P'").select("o_orderkey"), o.where("o_orderpriority <> '1-URGENT'").select("o_orderkey"), "o_orderkey")
 
 
 @register("SELECT user_id AS job, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS fetched, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM events GROUP BY user_id")
@@ -131,11 +133,10 @@ def agg22_mean_of_map(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.bround(mean).cast("int").alias("risk"))
 
 
-@register("SELECT source, string_agg(CAST(doc_id AS VARCHAR) || '=' || md5(lang), ',' ORDER BY doc_id) AS hashes FROM documents GROUP BY source")
+@register("SELECT source, doc_id, md5(min(lang)) AS hash FROM documents GROUP BY source, doc_id")
 def agg25_source_hashes(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.md5("lang").alias("h"))
-    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "h")))
-    return d.groupBy("source").agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["doc_id"].cast("string"), F.lit("="), p["h"])), ",").alias("hashes"))
+    """The map of document hashes of each product, a row an entry: a source may hold any number of documents."""
+    return read(spark, sf_dir, "documents").groupBy("source", "doc_id").agg(F.md5(F.min("lang")).alias("hash"))
 
 
 @register(
@@ -155,15 +156,16 @@ def cls8_yes_no_unclear(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", coerce.yes_no_unclear(raw).alias("answer"))
 
 
-@register(f"SELECT page_id AS id, product_id, CASE WHEN p1 IS NOT NULL THEN 'exact' WHEN p2 IS NOT NULL THEN 'base' END AS tier FROM (SELECT p.page_id, coalesce(a.m, b.m) AS product_id, a.m AS p1, b.m AS p2 FROM (SELECT page_id, regexp_replace(lower({HOST}), '^www\\.', '') AS d FROM pages WHERE page_id % 2 = 1) p LEFT JOIN (SELECT regexp_replace(lower({HOST}), '^www\\.', '') AS d, min(page_id) AS m FROM pages WHERE page_id % 10 = 0 GROUP BY 1) a ON a.d = p.d LEFT JOIN (SELECT array_to_string(string_split(lower({HOST}), '.')[-2:], '.') AS b, min(page_id) AS m FROM pages WHERE page_id % 10 = 0 GROUP BY 1) b ON b.b = array_to_string(string_split(p.d, '.')[-2:], '.'))")
+@register(f"SELECT page_id AS id, product_id, CASE WHEN p1 IS NOT NULL THEN 'exact' WHEN p2 IS NOT NULL THEN 'base' END AS tier FROM (SELECT p.page_id, coalesce(a.m, b.m) AS product_id, a.m AS p1, b.m AS p2 FROM (SELECT page_id, regexp_replace(lower({HOST}), '^www\\.', '') AS d FROM pages) p LEFT JOIN (SELECT regexp_replace(lower({HOST}), '^www\\.', '') AS d, min(page_id) AS m FROM pages WHERE {SCHEME} = 'https' GROUP BY 1) a ON a.d = p.d LEFT JOIN (SELECT array_to_string(string_split(lower({HOST}), '.')[-2:], '.') AS b, min(page_id) AS m FROM pages WHERE {SCHEME} = 'https' GROUP BY 1) b ON b.b = array_to_string(string_split(p.d, '.')[-2:], '.'))")
 def jon11_domain_match(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", url.host(F.col("url")).alias("domain"))
-    return op.domain_match(p.where("page_id % 2 = 1").withColumnRenamed("page_id", "id"), p.where("page_id % 10 = 0").withColumnRenamed("page_id", "product_id"))
+    """The product of every page, the first secure page of a domain standing for its product."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.col("url"), url.host(F.col("url")).alias("domain"))
+    return op.domain_match(p.select(F.col("page_id").alias("id"), "domain"), p.where("url like 'https://%'").select(F.col("page_id").alias("product_id"), "domain"))
 
 
-@register(f"WITH {JOBS} SELECT j.id, coalesce('https://' || c_name, 'none') AS url FROM jobs j LEFT JOIN customer ON 'p' || c_custkey = j.product_slug AND c_custkey % 2 = 0 WHERE j.status = 'completed'")
+@register(f"WITH {JOBS} SELECT j.id, coalesce('https://' || c_name, 'none') AS url FROM jobs j LEFT JOIN customer ON 'p' || c_custkey = j.product_slug WHERE j.status = 'completed'")
 def jon13_recrawl_urls(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("product_slug"), F.concat(F.lit("https://"), "c_name").alias("base"))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("product_slug"), F.concat(F.lit("https://"), "c_name").alias("base"))
     return jobs(spark, sf_dir).where("status = 'completed'").join(c, "product_slug", "left").select("id", F.coalesce("base", F.lit("none")).alias("url"))
 
 
@@ -174,12 +176,11 @@ def jon15_notifications(spark, sf_dir):
     return done.join(subs, "product_slug").select("id", "subscriber").orderBy("subscriber", "id").limit(500)
 
 
-@register(f"WITH {JOBS} SELECT t.event_id AS id FROM (SELECT event_id FROM events WHERE event_id % 4 = 0) t LEFT JOIN jobs j ON j.id = t.event_id AND j.id % 8 = 0 WHERE j.status IS NOT NULL AND j.status NOT IN ('crawling', 'analyzing', 'generating')")
+@register(f"WITH {JOBS} SELECT t.event_id AS id FROM events t LEFT JOIN (SELECT * FROM jobs WHERE value >= 20) j ON j.id = t.event_id WHERE j.status IS NOT NULL AND j.status NOT IN ('crawling', 'analyzing', 'generating')")
 def jon16_tasks_to_stop(spark, sf_dir):
-    """Running tasks whose job has ended; a task whose job is unknown goes on."""
-    tasks = read(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("event_id").alias("id"))
-    known = jobs(spark, sf_dir).where("id % 8 = 0").select("id", "status")
-    return tasks.join(known, "id", "left").where("status is not null and status not in ('crawling', 'analyzing', 'generating')").select("id")
+    """Tasks whose job has ended, a task an event; those whose job is unknown (of small value) go on."""
+    known = jobs(spark, sf_dir).where("value >= 20").select("id", "status")
+    return op.ended(read(spark, sf_dir, "events").select(F.col("event_id").alias("id")), known).select("id")
 
 
 @register("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")

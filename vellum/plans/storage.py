@@ -86,8 +86,8 @@ def win9_variant_cap(spark, sf_dir):
 
 
 #: Words and phrases of this corpus' addresses beside those of policies, so that scores differ.
-URL_WORDS = {**dict(list(v.URL_KEYWORDS.items())[:8]), "en": 2.0, "html": 1.5, "page": 3.0, "blog": -1.0}
-URL_PHRASES = {**dict(list(v.URL_PHRASES.items())[:3]), r"/(en|de)/": 4.0, r"page 2": 2.5}
+URL_WORDS = {**v.URL_KEYWORDS, "en": 2.0, "html": 1.5, "page": 3.0, "blog": -1.0}
+URL_PHRASES = {**v.URL_PHRASES, r"/(en|de)/": 4.0, r"page 2": 2.5}
 
 
 def url_score_sql() -> str:
@@ -95,7 +95,7 @@ def url_score_sql() -> str:
     phrase = " + ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN {x} ELSE 0.0 END" for p, x in URL_PHRASES.items())
     word = " + ".join(f"CASE WHEN list_contains(t, '{k}') THEN {len_} * ({x}) WHEN contains(p, '{k}') AND {x} > 0 THEN 0.8 * ({x}) ELSE 0.0 END" for k, x in URL_WORDS.items() for len_ in [f"len(list_filter(t, lambda z: z = '{k}'))"])
     out = f"CASE WHEN regexp_matches(p, '{v.AUTH_PATH}') OR regexp_matches(p, '{v.GALLERY_PATH}') THEN 0.0 ELSE greatest(0.0, {phrase} + {word}) END"
-    return f"SELECT page_id, round({out}, 6) AS score FROM (SELECT *, string_split(regexp_replace(w, '[^\\w]+|_', ' ', 'g'), ' ') AS t FROM (SELECT page_id, lower({PATH}) AS p, {where} AS w FROM pages))"
+    return f"SELECT page_id, CAST(round({out}, 6) AS DOUBLE) AS score FROM (SELECT *, string_split(regexp_replace(w, '[^\\w]+|_', ' ', 'g'), ' ') AS t FROM (SELECT page_id, lower({PATH}) AS p, {where} AS w FROM pages))"
 
 
 @register(url_score_sql())
@@ -114,14 +114,14 @@ def jon1_semi(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@register("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@register("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 1000)")
 def jon7_orphans(spark, sf_dir):
-    return store.orphans(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    return store.orphans(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").where("c_acctbal >= 1000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
 
 
-@register("SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@register("SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 1000)")
 def agg39_orphan_count(spark, sf_dir):
-    known = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    known = read(spark, sf_dir, "customer").where("c_acctbal >= 1000").select(F.col("c_custkey").alias("o_custkey"))
     return read(spark, sf_dir, "orders").join(known, "o_custkey", "left_anti").agg(F.count("*").alias("n"))
 
 
@@ -169,17 +169,19 @@ def set1_ordered_union(spark, sf_dir):
     return seen.groupBy("o_custkey").agg(F.array_join(merge.union("o_orderpriority", "seq"), ",").alias("priorities"))
 
 
-@register("SELECT c_custkey, CASE WHEN n.name <> '' THEN n.name ELSE o.name END AS name FROM (SELECT c_custkey, c_name AS name FROM customer) o LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE upper(c_name) END AS name FROM customer WHERE c_custkey % 3 = 0) n ON n.k = c_custkey")
+@register("SELECT c_custkey, CASE WHEN n.name <> '' THEN n.name ELSE o.name END AS name FROM (SELECT c_custkey, c_name AS name FROM customer) o LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE upper(c_name) END AS name FROM customer WHERE c_acctbal < 5000) n ON n.k = c_custkey")
 def snk2_guarded_update(spark, sf_dir):
-    old = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    new = old.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.upper("name")).alias("name"))
+    c = read(spark, sf_dir, "customer")
+    old = c.select("c_custkey", F.col("c_name").alias("name"))
+    new = c.where("c_acctbal < 5000").withColumnRenamed("c_name", "name").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.upper("name")).alias("name"))
     return store.guarded_update(old, new, "c_custkey", ["name"])
 
 
-@register("SELECT coalesce(n.k, o.k) AS k, coalesce(n.status, o.status) AS status, CASE WHEN o.k IS NULL THEN 'new' ELSE o.origin END AS origin FROM (SELECT o_orderkey AS k, o_orderstatus AS status, 'old' AS origin FROM orders WHERE o_orderkey % 2 = 0) o FULL JOIN (SELECT o_orderkey AS k, 'X' AS status FROM orders WHERE o_orderkey % 3 = 0) n ON o.k = n.k")
+@register("SELECT coalesce(n.k, o.k) AS k, coalesce(n.status, o.status) AS status, CASE WHEN o.k IS NULL THEN 'new' ELSE o.origin END AS origin FROM (SELECT o_orderkey AS k, o_orderstatus AS status, 'old' AS origin FROM orders WHERE o_orderpriority <> '1-URGENT') o FULL JOIN (SELECT o_orderkey AS k, 'X' AS status FROM orders WHERE o_orderstatus <> 'P') n ON o.k = n.k")
 def snk4_upsert(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    return store.upsert(o.where("k % 2 = 0").withColumn("origin", F.lit("old")), o.where("k % 3 = 0").withColumn("status", F.lit("X")), "k", {"origin": F.lit("new")})
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    old = o.where("o_orderpriority <> '1-URGENT'").select("k", "status", F.lit("old").alias("origin"))
+    return store.upsert(old, o.where("status <> 'P'").select("k", F.lit("X").alias("status")), "k", {"origin": F.lit("new")})
 
 
 @register("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'F' THEN 'status' END, CASE WHEN o_orderkey % 5 = 0 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS changed FROM orders WHERE (o_orderkey % 2 = 0 AND o_orderstatus <> 'F') OR o_orderkey % 5 = 0")
@@ -219,14 +221,14 @@ def win1_history(spark, sf_dir):
 
 
 @register(
-    f"""WITH p AS (SELECT page_id AS id, url, {CANON} AS canonical, lower({HOST}) AS host, page_id % 7 AS content FROM pages), k AS (SELECT * FROM p WHERE id % 2 = 0), n AS (SELECT * FROM p WHERE id % 2 = 1)
+    f"""WITH p AS (SELECT page_id AS id, url, {CANON} AS canonical, lower({HOST}) AS host, page_id % 7 AS content FROM pages), k AS (SELECT * FROM p WHERE starts_with(url, 'https://')), n AS (SELECT * FROM p)
     SELECT n.id, coalesce(a.m, b.m, c.m) AS match, CASE WHEN a.m IS NOT NULL THEN 'url' WHEN b.m IS NOT NULL THEN 'canonical' WHEN c.m IS NOT NULL THEN 'content' END AS tier
     FROM n LEFT JOIN (SELECT url, min(id) AS m FROM k GROUP BY url) a ON a.url = n.url LEFT JOIN (SELECT canonical, min(id) AS m FROM k GROUP BY canonical) b ON b.canonical = n.canonical
     LEFT JOIN (SELECT host, content, min(id) AS m FROM k GROUP BY host, content) c ON c.host = n.host AND c.content = n.content"""
 )
 def jon10_three_tiers(spark, sf_dir):
     p = pages(spark, sf_dir).select(F.col("page_id").alias("id"), "url", url.canonicalize(F.col("url")).alias("canonical"), url.host(F.col("url")).alias("host"), (F.col("page_id") % 7).alias("content"))
-    return store.three_tiers(p.where("id % 2 = 1"), p.where("id % 2 = 0"), "url", "canonical", ["host", "content"])
+    return store.three_tiers(p, p.where("url like 'https://%'"), "url", "canonical", ["host", "content"])
 
 
 @register("SELECT conv_id, role, arg_max(text, length(text) * 100000 - turn) AS longest FROM conversations GROUP BY conv_id, role")

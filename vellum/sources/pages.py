@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Pages of about so many characters are read before their rows go on.
+READ_CHARS = 1 << 20
 HTML_SCHEMA = "title string, description string, lang string, canonical string, headings array<string>, links array<struct<url: string, text: string>>"
 
 
@@ -74,12 +78,20 @@ def html_metadata(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, title, description, lang, canonical, headings, links): what a page's markup says; links once, the first of each."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([{"id": i, **read_page(p)} for i, p in zip(pdf["id"], pdf["html"])], columns=["id", "title", "description", "lang", "canonical", "headings", "links"])
+        for batch in batches:
+            held, size = [], 0
+            for i, page in zip(batch.column(0), batch.column(1)):
+                held.append({"id": i.as_py(), **read_page(page.as_py())})
+                size += len(page.as_py() or "")
+                if size > READ_CHARS:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     kind = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return own.mapInPandas(run, f"id {kind}, {HTML_SCHEMA}").withColumnRenamed("id", id_col)
+    schema = to_arrow_schema(StructType.fromDDL(f"id {kind}, {HTML_SCHEMA}"))
+    return own.mapInArrow(run, f"id {kind}, {HTML_SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def markdown_title(text: Column) -> Column:

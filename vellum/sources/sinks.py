@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
@@ -17,3 +19,14 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorife
 def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Replaces a table; df must not read the path that it overwrites."""
     df.write.format(kind).mode("overwrite").save(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-vellum-"))
+    return df.checkpoint()
