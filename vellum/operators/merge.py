@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.text import normalize_value
+
 
 def strongest(value: str, order: dict[str, int], seq: str) -> Column:
     """The value of the highest rank, the first among equals."""
@@ -85,14 +87,53 @@ POLICIES = {
     "user_rights": {"right_type": first, "mechanism": first, "description": longest},
     "ai_usage": {"usage_type": first, "description": first, "data_involved": flat_union, "opt_out_available": answered, "consequences": first},
     "children_policy": {"minimum_age": largest, "parental_consent_required": any_true, "special_protections": longest},
-    "liability": {"scope": first, "limitation_type": first, "description": longest, "extends_beyond_product": any_true},
-    "dispute_resolution": {"mechanism": first, "class_action_waiver": any_true, "jury_trial_waiver": any_true, "venue": first, "governing_law": first, "description": longest},
+    "liability": {"scope": first, "limitation_type": first, "description": first, "extends_beyond_product": any_true},
+    "dispute_resolution": {"mechanism": first, "class_action_waiver": any_true, "jury_trial_waiver": any_true, "venue": first, "governing_law": first, "description": first},
     "content_ownership": {"ownership_type": first, "scope": first, "description": first},
     "scope_expansion": {"scope_type": first, "description": first, "entities_affected": flat_union},
     "privacy_signals": {"data_sale": answered, "cookies": answered, "ai_training_on_user_data": answered, "breach_notification": answered, "children_data_collection": answered},
 }
 
 
+#: Kinds that a field knows, and the one that stands for others.
+KINDS = {
+    "liability": ("limitation_type", ("cap", "waiver", "exclusion", "indemnification"), "waiver"),
+    "dispute_resolution": ("mechanism", ("arbitration", "litigation", "mediation", "other"), "other"),
+    "content_ownership": ("ownership_type", ("license_to_company", "user_retains", "company_owns", "ai_training_rights", "likeness_rights", "other"), "other"),
+    "scope_expansion": ("scope_type", ("cross_entity", "survival_clause", "unilateral_modification", "binding_heirs", "physical_world", "other"), "other"),
+}
+#: What tells items of a field apart, beside their kind.
+PARTS = {
+    "text_items": ("value",),
+    "data_collected": ("data_type",),
+    "data_purposes": ("data_type",),
+    "retention_policies": ("data_scope",),
+    "cookies_and_trackers": ("name_or_type",),
+    "third_party_details": ("recipient",),
+    "international_transfers": ("destination",),
+    "government_access": ("authority_type", "conditions"),
+    "user_rights": ("right_type",),
+    "ai_usage": ("usage_type", "description"),
+    "liability": ("scope",),
+    "dispute_resolution": ("venue", "governing_law"),
+    "content_ownership": ("scope",),
+    "scope_expansion": ("description",),
+}
+
+
+def keyed(items: DataFrame, field: str) -> DataFrame:
+    """A field's items with their key and a known kind; items whose key is empty go."""
+    if field in KINDS:
+        name, known, other = KINDS[field]
+        kind = F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
+        items = items.withColumn(name, F.when(kind.isin(*known), kind).otherwise(other))
+    if field == "corporate_family_sharing":
+        key = F.when(F.size("entities") > 0, F.array_join(F.array_sort("entities"), ",")).otherwise(F.coalesce(F.nullif(F.col("purpose"), F.lit("")), F.lit("unnamed")))
+    else:
+        key = F.concat_ws(":", *([F.col(KINDS[field][0])] if field in KINDS else []), *[normalize_value(F.col(c)) for c in PARTS[field]])
+    return items.withColumn("key", normalize_value(key)).where("key <> ''")
+
+
 def merge_field(items: DataFrame, field: str, keys: tuple[str, ...] = ("document_id", "key"), seq: str = "seq") -> DataFrame:
     """One row for each document and key of a field's items, by the field's policies; attributes the table lacks are left out."""
     policies = {c: p for c, p in POLICIES[field].items() if c in items.columns}

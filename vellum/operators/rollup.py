@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text
@@ -98,3 +99,10 @@ def strongest_attributes(findings: DataFrame, most: int = MOST_ATTRIBUTES) -> Da
     levels = findings.where("materiality is not null").select(*KEY, "materiality", rank(F.col("materiality"), MATERIALITY).alias("rank")).distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rank"), "materiality"))), lambda x: x["materiality"])
     return levels.groupBy(*KEY).agg(F.slice(ordered, 1, most).alias("attributes"))
+
+
+def keypoint_evidence(points: DataFrame, evidence: DataFrame, most: int = 3) -> DataFrame:
+    """(document_id, keypoint, seq, place): the first spans of evidence (document_id, value, seq) whose value a key point of the document holds, whatever its case."""
+    held = points.join(evidence, "document_id").where(F.lower("keypoint").contains(F.lower(F.trim("value"))) & (F.trim("value") != ""))
+    order = W.partitionBy("document_id", "keypoint").orderBy("seq")
+    return held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("document_id", "keypoint", "seq", "place")
