@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TRACKING_PARAMETERS = ("gclid", "gbraid", "wbraid", "dclid", "fbclid", "msclkid", "yclid", "twclid", "ttclid", "igshid", "li_fat_id", "rdt_cid", "_ga", "_gl", "mc_cid", "mc_eid", "mkt_tok", "_hsenc", "_hsmi", "vero_id", "vero_conv", "oly_anon_id", "oly_enc_id", "ef_id", "s_kwcid", "rel")
 LANGUAGE_CODES = ("ar", "cs", "da", "de", "en", "es", "fi", "fr", "hu", "id", "it", "ja", "ko", "ms", "nl", "no", "pl", "ro", "ru", "sv", "th", "tr", "vi")
 LANGUAGE_PARAMETERS = ("lang", "language", "hl")
-TWO_PART_SUFFIXES = ("co.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
+TWO_PART_SUFFIXES = ("co.uk", "com.au", "co.nz", "co.jp", "com.br", "co.in")
 
 PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 

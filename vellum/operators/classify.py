@@ -58,3 +58,12 @@ def regions(text: Column, marks: dict[str, str], head: int = 3000) -> Column:
 def visible(doc_type: Column, tier: Column) -> Column:
     """Free users see core types only."""
     return (tier != "free") | doc_type.isin(*CORE_TYPES)
+
+
+def substantive(text: Column, words: tuple[str, ...], shortest: int = 300, head: int = 2000, least: int = 3) -> Column:
+    """Whether a text has the length and enough of the words that a policy's body has."""
+    low = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, head))
+    hits = F.lit(0)
+    for w in words:
+        hits = hits + low.contains(w).cast("int")
+    return (F.length(F.coalesce(text, F.lit(""))) >= shortest) & (hits >= least)

@@ -81,3 +81,15 @@ def three_tiers(incoming: DataFrame, known: DataFrame, exact: str, canonical: st
     out = incoming.join(first([exact], "m1"), [exact], "left").join(first([canonical], "m2"), [canonical], "left").join(first(content, "m3"), content, "left")
     tier = F.when(F.col("m1").isNotNull(), "url").when(F.col("m2").isNotNull(), "canonical").when(F.col("m3").isNotNull(), "content")
     return out.select("id", F.coalesce("m1", "m2", "m3").alias("match"), tier.alias("tier"))
+
+
+def set_field(rows: DataFrame, values: DataFrame, key: str, name: str) -> DataFrame:
+    """One field of the rows set from (key, name) where there is a value; all other fields and rows stay."""
+    new = values.select(key, F.col(name).alias("_new"))
+    return rows.join(new, key, "left").withColumn(name, F.coalesce("_new", name)).drop("_new")
+
+
+def upsert_action(old: Column, new: Column, metadata: Column) -> Column:
+    """update where an incoming text and its metadata hash to something else; an empty text never overwrites."""
+    digest = lambda x: F.sha2(F.concat(F.coalesce(x, F.lit("")), F.coalesce(metadata, F.lit(""))), 256)
+    return F.when(F.coalesce(new, F.lit("")) == "", "skip").when(digest(new) == digest(old), "skip").otherwise("update")

@@ -115,7 +115,14 @@ def cls1_type_by_words(spark, sf_dir):
 STOP = {"en": ("the", "and", "of", "to", "that"), "de": ("der", "die", "und", "von", "mit"), "fr": ("le", "la", "de", "et", "que"), "es": ("el", "los", "de", "y", "que")}
 
 
-@register()
+def language_sql() -> str:
+    tokens = "regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 1000)), '[^\\p{L}]+')"
+    hits = [f"len(list_filter({tokens}, lambda t: t IN ({', '.join(repr(w) for w in words)})))" for words in STOP.values()]
+    best = f"greatest({', '.join(hits)})"
+    return f"CASE WHEN {best} < 3 THEN 'en' " + " ".join(f"WHEN {h} = {best} THEN '{name}'" for name, h in zip(STOP, hits)) + " END"
+
+
+@register(f"SELECT doc_id, lang, {language_sql()} AS guess FROM documents")
 def cls4_language(spark, sf_dir):
     """The language by common words, beside the one recorded."""
     guess = F.coalesce(classify.language(F.col("text"), STOP), F.lit("en"))
@@ -147,7 +154,12 @@ def txt5_chunks(spark, sf_dir):
     return c.select("doc_id", "seq", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@register()
+@register(
+    """WITH k AS (SELECT doc_id, text, CASE WHEN length(text) > 800 THEN 'long' WHEN regexp_matches(text, '(?i)\\blicense\\b') THEN 'license' END AS known FROM documents),
+    w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS word FROM k WHERE known IS NULL) GROUP BY ALL),
+    b AS (SELECT doc_id, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(word) DESC, word) AS place FROM w) WHERE place = 1)
+    SELECT doc_id, coalesce(known, word) AS label FROM k LEFT JOIN b USING (doc_id)"""
+)
 def udf2_filled_labels(spark, sf_dir):
     """Rules label most documents, the offline provider the rest; only those rows reach it."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "text")
