@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import grades, text, url
+from vellum.functions import grades, names, text, url
 from vellum.functions import vocabulary as v
 from vellum.operators import classify, merge, rollup, store, topics
 from vellum.operators import readmodels as op
@@ -329,3 +329,58 @@ def agg35_merged_extractions(spark, sf_dir):
     i = items(spark, sf_dir, "value", "materiality", "destination", "mechanism", "data_types", "right_type", "description")
     parts = [merge.merge_field(merge.keyed(i, f), f).select("document_id", F.lit(f).alias("field")) for f in FIELDS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("document_id", "field").agg(F.count("*").alias("n"))
+
+
+#: Site names as pages give them: the host's own name with what sites add to it.
+TAILS = (" Blog", " Legal Group", " — Privacy Policy", "®", ", Inc.", " Transparency Center", " Cloud View", "", " | Help Center")
+LABEL = f"string_split(lower({HOST}), '.')[-2]"
+RAW = f"CASE WHEN page_id % 11 = 0 THEN 'Privacy Policy' WHEN page_id % 11 = 1 THEN 'Aug 2022' ELSE upper(substr({LABEL}, 1, 1)) || substr({LABEL}, 2) || {[*TAILS]}[CAST(page_id % {len(TAILS)} AS INTEGER) + 1] END"
+IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+EDGE = f"regexp_replace({{}}, '{names.EDGES}', '', 'g')"
+
+
+def brand_sql(name: str) -> str:
+    """The cleaned name, by the same patterns."""
+    out = EDGE.format(f"trim(regexp_replace({name}, '\\s+', ' ', 'g'), ' ')")
+    for marks in ("[,.]+$", "[®™©℠]+$", "[,.]+$"):
+        out = EDGE.format(f"regexp_replace({out}, '{marks}', '')")
+    return out
+
+
+BRANDS = f"""
+raw AS (SELECT page_id, lower({HOST}) AS host, {LABEL} AS slug, {RAW} AS name FROM pages),
+cut AS (SELECT *, {brand_sql('name')} AS w FROM raw),
+parts AS (SELECT *, regexp_split_to_array(w, '{names.BREAKS}') AS p FROM cut),
+kept AS (SELECT *, list_filter(p, lambda x: x <> '' AND lower(x) NOT IN {IN(names.SECTIONS)}) AS k FROM parts),
+own AS (SELECT *, CASE WHEN len(k) > 0 AND len(k) < len(p) THEN {EDGE.format("array_to_string(k, ' - ')")} ELSE w END AS o FROM kept),
+cleaned AS (SELECT *, regexp_replace({EDGE.format(f"CASE WHEN regexp_matches(o, '{names.ONLY_ENDINGS}') THEN '' ELSE regexp_replace(o, '{names.ENDINGS}', '') END")}, '[,.]+$', '') AS brand FROM own),
+tokens AS (SELECT *, regexp_replace(lower(brand), '[^a-z0-9]', '', 'g') AS token, regexp_replace(lower(slug), '[^a-z0-9]', '', 'g') AS key, regexp_split_to_array(lower(brand), '\\s+') AS words FROM cleaned),
+brands AS (SELECT page_id, host, name, brand, length(brand) BETWEEN 2 AND 60 AND lower(brand) NOT IN {IN(names.PLACEHOLDERS)} AND NOT contains(brand, '://') AND NOT starts_with(brand, 'www.') AND NOT regexp_matches(brand, '^[0-9.]*[0-9][0-9.]*$') AND NOT regexp_matches(brand, '{names.DATE}') AND NOT regexp_matches(brand, '^[A-Z]{{2}}$')
+  AND len(words) <= 2 AND NOT (len(words) > 1 AND len(list_filter(words, lambda x: x IN {IN(names.DESCRIPTIVE)})) > 0)
+  AND token <> '' AND key <> '' AND (contains(token, key) OR contains(key, token) OR (length(key) >= 4 AND regexp_matches(token, array_to_string(string_split(key, ''), '.*')))) AS ok FROM tokens)"""
+
+
+def brands(spark, sf_dir):
+    host = url.host(F.col("url"))
+    label = F.element_at(F.split(host, r"\."), -2)
+    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("page_id") % len(TAILS)).cast("int"))
+    name = F.when(F.col("page_id") % 11 == 0, "Privacy Policy").when(F.col("page_id") % 11 == 1, "Aug 2022").otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 100), tail))
+    p = read(spark, sf_dir, "pages").select("page_id", host.alias("host"), label.alias("slug"), name.alias("name"))
+    p = p.withColumn("brand", names.clean(F.col("name")))
+    return p.withColumn("ok", names.acceptable(F.col("brand"), F.col("slug")))
+
+
+@register(f"WITH {BRANDS} SELECT page_id, brand, ok FROM brands")
+def txt14_brand_names(spark, sf_dir):
+    """The cleaned site name of every page, and whether it may be the product's name."""
+    return brands(spark, sf_dir).select("page_id", "brand", "ok")
+
+
+@register(f"WITH {BRANDS}, votes AS (SELECT host, brand, count(*) AS n, min(page_id) AS s FROM brands WHERE ok GROUP BY ALL), best AS (SELECT host, brand FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, s) AS place FROM votes) WHERE place = 1), now AS (SELECT host, arg_min(brand, page_id) AS name, arg_min(ok, page_id) AS ok FROM brands GROUP BY host) SELECT host, name, CASE WHEN NOT ok THEN b.brand END AS corrected FROM now LEFT JOIN best b USING (host)")
+def prd26_corrected_names(spark, sf_dir):
+    """Products whose name is bad, and what their documents' names say instead."""
+    b = brands(spark, sf_dir)
+    votes = b.where("ok").groupBy("host", "brand").agg(F.count("*").alias("n"), F.min("page_id").alias("s"))
+    best = votes.groupBy("host").agg(F.max_by("brand", F.struct("n", -F.col("s"))).alias("best"))
+    now = b.groupBy("host").agg(F.min_by(F.struct("brand", "ok"), "page_id").alias("x"))
+    return now.join(best, "host", "left").select("host", F.col("x.brand").alias("name"), F.when(~F.col("x.ok"), F.col("best")).alias("corrected"))
