@@ -39,6 +39,13 @@ def hydrate(items: DataFrame, findings: DataFrame) -> DataFrame:
     return keyed.join(own, ["product_id", "category", "normalized_value", "document_id"], "left").groupBy("product_id", "category", "value").agg(F.coalesce(F.sum("evidence"), F.lit(0)).alias("n_evidence"))
 
 
+def hydrate_documents(documents: DataFrame, findings: DataFrame) -> DataFrame:
+    """As hydrate, for items whose documents are rows (rollup.item_documents) with the item's value."""
+    keys = ["product_id", "category", "normalized_value", "document_id"]
+    own = findings.groupBy(*keys).agg(F.sum("evidence").alias("evidence"))
+    return documents.select(*keys, "value").join(own, keys, "left").groupBy("product_id", "category", "value").agg(F.coalesce(F.sum("evidence"), F.lit(0)).alias("n_evidence"))
+
+
 def contained_quotes(quotes: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Quotes with whether an allowed quote of the same key contains them; keys make it an equi-join."""
     a = allowed.select(key, F.col("quote").alias("by"))

@@ -36,6 +36,16 @@ def aggregated(findings: DataFrame) -> DataFrame:
     return findings.groupBy(*KEY).agg(F.min_by("value", "seq").alias("value"), in_order("document_id").alias("documents"), F.sum("evidence").alias("n_evidence"))
 
 
+def item_documents(findings: DataFrame) -> DataFrame:
+    """The documents of each item, a row each with the place of its first appearance: an item of a large product is no single row."""
+    return findings.groupBy(*KEY, "document_id").agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"), F.count("materiality").alias("n_attributes"), F.sum("evidence").alias("n_evidence"))
+
+
+def item_totals(documents: DataFrame) -> DataFrame:
+    """The first value of each item of item_documents and how many documents, attributes and spans of evidence it has."""
+    return documents.groupBy(*KEY).agg(F.min_by("value", "seq").alias("value"), F.count("*").alias("n_documents"), F.sum("n_attributes").alias("n_attributes"), F.sum("n_evidence").alias("n_evidence"))
+
+
 def children_key(value: Column) -> Column:
     """allowed or restricted for statements about children; other values as they are."""
     age = F.regexp_extract(value, r"minimum age:\s*([0-9]+)", 1)

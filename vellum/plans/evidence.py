@@ -84,8 +84,9 @@ def srt6_best_citations(spark, sf_dir):
 def jon3_hydrated_rollup(spark, sf_dir):
     """JON-3: stored items meet their findings again."""
     f = finding_rows(spark, sf_dir)
-    items = rollup.items(f).withColumn("member_values", F.array("normalized_value"))
-    return evidence.hydrate(items, f)
+    own = rollup.item_documents(f)
+    stored = own.drop("value").join(rollup.item_totals(own).select(*rollup.KEY, "value"), rollup.KEY)
+    return evidence.hydrate_documents(stored, f)
 
 
 @register("SELECT DISTINCT d.l_orderkey AS document_id, d.quote, contains(a.quote, d.quote) AS ok FROM (SELECT l_orderkey, 'flag ' || l_returnflag AS quote FROM lineitem) d JOIN (SELECT l_orderkey, 'seen flag ' || min(l_returnflag) || ' here' AS quote FROM lineitem GROUP BY l_orderkey) a USING (l_orderkey)")

@@ -80,16 +80,20 @@ def fnd1_material_findings(spark, sf_dir):
 
 
 @register(
-    f"""WITH {FINDINGS}, d AS (SELECT product_id, category, normalized_value, document_id, min(seq) AS seq, arg_min(value, seq) AS value, count(materiality) AS n FROM findings GROUP BY ALL)
-    SELECT product_id, category, normalized_value, arg_min(value, seq) AS value, array_to_string(list(document_id ORDER BY seq), ',') AS document_ids, CAST(sum(n) AS BIGINT) AS n_attributes FROM d GROUP BY product_id, category, normalized_value"""
+    f"""WITH {FINDINGS}, d AS (SELECT product_id, category, normalized_value, document_id, min(seq) AS seq, count(materiality) AS n_attributes FROM findings GROUP BY ALL),
+    i AS (SELECT product_id, category, normalized_value, arg_min(value, seq) AS value FROM findings GROUP BY ALL)
+    SELECT product_id, category, normalized_value, value, document_id, seq, n_attributes FROM d JOIN i USING (product_id, category, normalized_value)"""
 )
 def agg9_rollup_items(spark, sf_dir):
-    return rollup.items(findings(spark, sf_dir)).withColumn("document_ids", F.array_join(F.col("document_ids").cast("array<string>"), ","))
+    """Items with their documents in the order of seq, a row for each document."""
+    own = rollup.item_documents(findings(spark, sf_dir))
+    first = rollup.item_totals(own).select(*rollup.KEY, "value")
+    return own.drop("value").join(first, rollup.KEY).select(*rollup.KEY, "value", "document_id", "seq", "n_attributes")
 
 
-@register(f"WITH {FINDINGS} SELECT product_id, category, normalized_value, arg_min(value, seq) AS value, array_to_string(list(document_id ORDER BY seq), ',') AS documents, CAST(sum(evidence) AS BIGINT) AS n_evidence FROM findings GROUP BY product_id, category, normalized_value")
+@register(f"WITH {FINDINGS} SELECT product_id, category, normalized_value, arg_min(value, seq) AS value, count(DISTINCT document_id) AS n_documents, CAST(sum(evidence) AS BIGINT) AS n_evidence FROM findings GROUP BY product_id, category, normalized_value")
 def agg10_aggregated_findings(spark, sf_dir):
-    return rollup.aggregated(findings(spark, sf_dir)).withColumn("documents", F.array_join(F.col("documents").cast("array<string>"), ","))
+    return rollup.item_totals(rollup.item_documents(findings(spark, sf_dir))).drop("n_attributes")
 
 
 @register(f"WITH {FINDINGS}, {CONFLICTS} SELECT * FROM conflicts")
