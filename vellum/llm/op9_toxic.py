@@ -170,18 +170,27 @@ def fit(texts: list[str | None], toxic: np.ndarray, rate: float, seed: int = 5)
     return Model(model.value, model.bias, (float(theta[0] / scale), float(theta[1]), float(theta[2])))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str | None], np.ndarray, float]:
-    """Texts and labels of at most limit documents of each label that may be learned from, and the share of label 1."""
+def chosen(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[DataFrame | None, float]:
+    """(doc_id, y, text) of at most limit documents of each label that may be learned from, and the share of label 1."""
     own = labels.where(f"doc_id is not null and {label} in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = dict(own.groupBy("y").count().collect())
     if not counts:
-        return [], np.zeros(0, np.int64), 0.0
+        return None, 0.0
     order = F.xxhash64("doc_id")
-    chosen = own.where("y = 1").orderBy(order, "doc_id").limit(limit).unionAll(own.where("y = 0").orderBy(order, "doc_id").limit(limit))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * limit ids
-    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), counts.get(1, 0) / sum(counts.values())
+    few = own.where("y = 1").orderBy(order, "doc_id").limit(limit).unionAll(own.where("y = 0").orderBy(order, "doc_id").limit(limit))
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most 2 * limit ids
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), counts.get(1, 0) / sum(counts.values())
+
+
+def in_order(rows: list[tuple]) -> tuple[list[str | None], np.ndarray]:
+    rows = sorted(rows, key=lambda r: (r[0], r[2] or ""))
+    return [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str | None], np.ndarray, float]:
+    """Texts and labels of at most limit documents of each label, and the share of label 1."""
+    found, rate = chosen(docs, labels, label, limit)
+    return *in_order([tuple(r) for r in found.select("doc_id", "y", "text").collect()] if found is not None else []), rate
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +206,21 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Model:
-    return fit(*sample(docs, labels, label, limit))
+    """The model of a bounded sample, fitted by one task: only the model reaches the driver."""
+    found, rate = chosen(docs, labels, label, limit)
+    if found is None:
+        return fit([], np.zeros(0, np.int64), rate)
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        model = fit(*in_order(rows), rate)
+        yield pa.RecordBatch.from_pydict({"value": pa.array([model.value.tobytes()], pa.binary()), "bias": [model.bias], "curve": pa.array([list(model.curve)], pa.list_(pa.float64()))})
+
+    one = found.select("doc_id", "y", "text").repartition(1)  # at most 2 * limit rows
+    made = one.mapInArrow(run, "value binary, bias double, curve array<double>").collect()
+    if not made:
+        return fit([], np.zeros(0, np.int64), rate)
+    return Model(np.frombuffer(bytes(made[0]["value"]), np.float32), made[0]["bias"], tuple(made[0]["curve"]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
