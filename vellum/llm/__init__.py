@@ -18,6 +18,7 @@ MODULES = (
     "op8_pii",
     "op9_toxic",
     "op10_secrets",
+    "op13_phrases",
 )
 
 
