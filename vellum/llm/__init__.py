@@ -18,6 +18,8 @@ MODULES = (
     "op8_pii",
     "op9_toxic",
     "op10_secrets",
+    "op11_tries",
+    "op12_curve",
     "op13_phrases",
 )
 
