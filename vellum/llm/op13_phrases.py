@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters whose windows are counted together, and rows in a batch handed back.
-BUFFER, ROWS = 16 << 20, 1 << 16
+BUFFER, ROWS = 5 << 20, 1 << 16
 #: Heads with more than a HOT-th of the windows of about SAMPLE documents have their last words dealt to DEALT tasks.
 HOT, SAMPLE, DEALT = 512, 1_000, 64
 #: Pieces end at these; one of them stands for all, since no word holds it.
