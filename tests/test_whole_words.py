@@ -9,6 +9,8 @@ from vellum.plans import documents as d
 
 def score(text):
     low = text.lower()
+    if not re.search(d.QUICK, low):
+        return 0.0
     times = {w: low.count(w) for w in d.INDICATORS}
     hits = {p: [m[0] for m in re.finditer(p, low)] for p in d.PHRASES}
     found = sum(n > 0 for n in times.values()) + 2 * sum(map(len, hits.values()))
@@ -19,7 +21,7 @@ def score(text):
 def test_scores_by_all_words(spark, tmp_path):
     rest = d.v.LEGAL_INDICATORS[20:]
     text = " ".join(f"{w} zq zq zq zq zq zq zq zq zq zq zq zq zq zq zq" for w in rest)
-    texts = [text, " ".join(["zq " * 2000, rest[-1], "the"]), "zq" * 80_000]
+    texts = [text, " ".join(["zq " * 2000, rest[-1], "rights"]), "zq" * 80_000]
     spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     q, at = catalog.queries(), str(tmp_path)
     found = dict(q["txt9_content_score_all"](spark, at).collect())
@@ -36,13 +38,12 @@ def test_url_scores_by_all_keywords(spark, tmp_path):
     assert all(found[i] > 0 for i in range(len(late)))
 
 
-def test_longest_pattern_and_counts(spark):
+def test_counts_of_words(spark):
     from pyspark.sql import functions as F
 
     from vellum.operators import ingest
 
     words = ("data", "data protection", "dat", "aba", "term", "terms", "x.y")
     text = "data protection of data, dat ababa terms term x.y xzy dataprotection"
-    assert [m[1] for m in re.finditer(f"(?=({ingest.longest_pattern(sorted(words))}))", "data protection dat x.y")] == ["data protection", "dat", "x.y"]
     row = spark.createDataFrame([(text,)], "t string").select(*ingest.occurrences(F.col("t"), words)).first()
     assert tuple(row) == (sum(w in text for w in words), sum(text.count(w) * len(w) for w in words))

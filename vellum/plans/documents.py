@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions import policies as p
 from vellum.functions import text
 from vellum.functions import vocabulary as v
-from vellum.operators import ingest, quotes
+from vellum.operators import classify, ingest, quotes
+from vellum.sources.bindings import POLICIES, policy_documents
 from vellum.sources.tables import read
 
 from .registry import Registry
@@ -32,10 +34,61 @@ def m0_distinct_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FP = "md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 5000))"
-#: The policy words, and words of this corpus, so that scores differ.
-INDICATORS = tuple(dict.fromkeys((*v.LEGAL_INDICATORS, "license", "version", "ering", "auber", "mente")))
-PHRASES = tuple(dict.fromkeys((*v.LEGAL_PHRASES, r"licensed under (?:the|a) \w+")))
-QUICK = f"{v.QUICK_CHECK}|license|rights|the|der|les|ci"
+INDICATORS, PHRASES, QUICK = v.LEGAL_INDICATORS, v.LEGAL_PHRASES, v.QUICK_CHECK
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+def sql_hits(low: str, words, head: int | None = None) -> str:
+    """How many words of a list a lowered text holds, or its beginning."""
+    return f"len(list_filter({sql_list(words)}, lambda w: contains({f'substr({low}, 1, {head})' if head else low}, w)))"
+
+
+def type_of(what: str) -> str:
+    """The cascade of document types over columns low, url, title, text and score: the type, or the stage that decides."""
+    about = "lower(title) || ' '"
+    by_url = "CASE " + " ".join(f"WHEN {sql_hits('lower(url)', w)} > 0 THEN '{t}'" for t, w in p.URL_HEADS.items()) + " END"
+    by_about = "CASE " + " ".join(f"WHEN len(list_filter({sql_list(w)}, lambda k: regexp_matches({about}, '\\b' || k || '\\b'))) > 0 THEN '{t}'" for t, w in p.TITLE_WORDS.items()) + " END"
+    counts = [sql_hits("low", w, 2000) for w in classify.TYPE_WORDS.values()]
+    best = f"greatest({', '.join(counts)})"
+    by_words = "CASE " + " ".join(f"WHEN {c} = {best} THEN '{t}'" for t, c in zip(classify.TYPE_WORDS, counts)) + " END"
+    way = "regexp_extract(lower(url), '^[^?#]*')"
+    stages = [
+        (f"({sql_hits('low', p.LEGAL_MARKS)} > 0 OR length(text) > 500) AND ({by_url}) IS NOT NULL", by_url, "url"),
+        (f"length(text) > 300 AND (regexp_matches({way}, '{p.POLICY_PATH}') OR length(text) > 2000 AND score > 0.4) AND ({by_about}) IS NOT NULL", by_about, "about"),
+        (f"{best} >= 3 AND length(text) > 500 AND {sql_hits('low', p.STRUCTURE, 2000)} > 0", by_words, "words"),
+        ("length(text) < 200", "'other'", "short"),
+        (f"{sql_hits('low', p.NAVIGATION, 500)} > 0 AND length(text) < 1000", "'other'", "menu"),
+    ]
+    return "CASE " + " ".join(f"WHEN {cond} THEN " + (t if what == "type" else f"'{stage}'") for cond, t, stage in stages) + (" END" if what == "type" else " ELSE 'undecided' END")
+
+
+def regions_of(i: int) -> str:
+    """Regions, or their confidence, over columns low, url and title."""
+
+    def codes(text: str, table: dict) -> str:
+        rows = "[" + ", ".join("{'w': '" + w.replace("'", "''") + "', 'c': " + sql_list(c) + "::VARCHAR[]}" for w, c in table.items()) + "]"
+        return f"flatten(list_transform(list_filter({rows}, lambda x: contains({text}, x.w)), lambda x: x.c))"
+
+    def ordered(values: str) -> str:
+        return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+    start = "substr(low, 1, 3000)"
+    ruled = "flatten([" + ", ".join(f"CASE WHEN regexp_matches({start}, '{r}') THEN {sql_list(c)} ELSE []::VARCHAR[] END" for r, c in p.JURISDICTIONS.items()) + "])"
+    by_url, by_text = codes("lower(url)", p.REGION_PATHS), f"list_concat({codes(start, p.region_words())}, {ruled})"
+    steps = [(f"len({by_url}) > 0", ordered(by_url), "0.80"), (f"{sql_hits('lower(title)', p.REGION_META)} > 0", "['EU']", "0.75"), (f"len({by_text}) > 0", ordered(by_text), "0.85")]
+    return "CASE " + " ".join(f"WHEN {x[0]} THEN {x[1 + i]}" for x in steps) + f" ELSE {("['global']", '0.70')[i]} END"
+
+
+def locale_of(i: int) -> str:
+    """The locale, or its confidence, over columns doc_id, low, url and lang."""
+    steps = [("doc_id % 9 = 0", "'pt-BR'", "0.95"), ("doc_id % 11 = 0 AND lang <> ''", "lang", "0.85"), ("doc_id % 13 = 0", "'nl-NL'", "0.75")]
+    steps += [(f"regexp_matches(lower(url), '{r}')", f"'{x}'", "0.80") for r, x in p.LOCALE_PATHS.items()]
+    steps += [(f"{sql_hits('low', p.ENGLISH_SIGNS, 1000)} >= 3", "'en-US'", "0.70")] + [(f"{sql_hits('low', w, 1000)} >= 2", f"'{x}'", "0.70") for x, w in p.FOREIGN_SIGNS.items()]
+    return "CASE " + " ".join(f"WHEN {x[0]} THEN {x[1 + i]}" for x in steps) + f" ELSE {("'en-US'", '0.5')[i]} END"
+
 
 
 def esc(s: str) -> str:
@@ -126,18 +179,45 @@ def agg23_thin_evidence(spark, sf_dir):
     return c.select("source", ((F.col("types") < 2) | (F.col("core") < 3)).alias("thin"))
 
 
-@register(f"SELECT doc_id, round({score_sql(INDICATORS, PHRASES, QUICK)}, 6) AS score FROM (SELECT doc_id, text, lower(text) AS low FROM documents)")
+@register(f"WITH {POLICIES} SELECT doc_id, round({score_sql(INDICATORS, PHRASES, QUICK)}, 6) AS score FROM (SELECT doc_id, text, lower(text) AS low FROM policies)")
 def txt9_content_score(spark, sf_dir):
-    return documents(spark, sf_dir, "doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK, ()), 6).alias("score"))
+    return policy_documents(spark, sf_dir).select("doc_id", F.round(ingest.content_score(F.col("text"), F.lit(""), title_words=()), 6).alias("score"))
 
 
 GARBLED = "coalesce(length(text) >= 100 AND (len(regexp_extract_all(substr(text, 1, 1024), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) / length(substr(text, 1, 1024)) > 0.08 OR len(regexp_extract_all(substr(text, 1, 1024), '[^\\x00-\\x7F]')) / length(substr(text, 1, 1024)) > 0.25), false)"
 
 
-@register(f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 300 THEN 'too_short' WHEN {GARBLED} THEN 'garbled' WHEN {score_sql(INDICATORS, PHRASES, QUICK)} / 10 < 0.2 AND NOT doc_id % 3 = 0 THEN 'low_legal_score' WHEN NOT starts_with(lang, 'en') THEN 'locale' END AS reason FROM (SELECT *, lower(text) AS low FROM documents)")
+@register(f"WITH {POLICIES} SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 300 THEN 'too_short' WHEN {GARBLED} THEN 'garbled' WHEN {score_sql(INDICATORS, PHRASES, QUICK)} / 10 < 0.2 AND NOT doc_id % 3 = 0 THEN 'low_legal_score' WHEN NOT starts_with(lang, 'en') THEN 'locale' WHEN ({type_of('stage')}) IN ('short', 'menu') THEN 'not_policy' END AS reason FROM (SELECT *, lower(text) AS low, {score_sql(INDICATORS, PHRASES, QUICK)} / 10 AS score FROM (SELECT *, lower(text) AS low FROM policies))")
 def prd10_admission_reason(spark, sf_dir):
-    score = ingest.content_score(F.col("text"), F.lit(""), INDICATORS, PHRASES, QUICK, ())
-    return documents(spark, sf_dir, "doc_id", ingest.skip_reason(F.col("text"), score, F.col("doc_id") % 3 == 0, F.col("lang")).alias("reason"))
+    """Length, garbled text, policy score, locale, then whether it is a policy at all."""
+    scored = classify.with_signs(policy_documents(spark, sf_dir).withColumn("description", F.lit(""))).withColumn("score", ingest.content_score(F.col("text"), F.lit(""), title_words=()))
+    kind = classify.document_type(F.col("signs"), F.col("text"), F.col("url"), F.col("score") / 10)
+    return scored.select("doc_id", ingest.skip_reason(F.col("text"), F.col("score"), F.col("doc_id") % 3 == 0, F.col("lang"), policy=kind["is_policy"]).alias("reason"))
+
+
+@register(f"WITH {POLICIES} SELECT doc_id, {type_of('type')} AS type, {type_of('stage')} AS stage FROM (SELECT *, lower(text) AS low, {score_sql(INDICATORS, PHRASES, QUICK)} / 10 AS score FROM (SELECT *, lower(text) AS low FROM policies))")
+def cls1_document_type(spark, sf_dir):
+    """The whole cascade: address, title, words of the beginning, length, menus."""
+    scored = classify.with_signs(policy_documents(spark, sf_dir).withColumn("description", F.lit(""))).withColumn("score", ingest.content_score(F.col("text"), F.lit(""), title_words=()))
+    return scored.select("doc_id", classify.document_type(F.col("signs"), F.col("text"), F.col("url"), F.col("score") / 10).alias("t")).select("doc_id", "t.type", "t.stage")
+
+
+@register(f"WITH {POLICIES} SELECT doc_id, array_to_string(r, ',') AS regions, c AS confidence FROM (SELECT doc_id, {regions_of(0)} AS r, CAST({regions_of(1)} AS DOUBLE) AS c FROM (SELECT *, lower(text) AS low FROM policies))")
+def cls5_document_regions(spark, sf_dir):
+    """Regions by address, metadata, then frameworks, phrases and jurisdictions."""
+    docs = classify.with_signs(policy_documents(spark, sf_dir).withColumn("description", F.lit("")))
+    r = classify.document_regions(F.col("signs"), F.col("text"))
+    return docs.select("doc_id", r.alias("r")).select("doc_id", F.array_join("r.regions", ",").alias("regions"), F.col("r.confidence").alias("confidence"))
+
+
+@register(f"WITH {POLICIES} SELECT doc_id, {locale_of(0)} AS locale, CAST({locale_of(1)} AS DOUBLE) AS confidence FROM (SELECT *, lower(text) AS low FROM policies)")
+def cls4_document_locale(spark, sf_dir):
+    """Locale by metadata (here every ninth page's Open Graph and every eleventh's language), address, then signs; else the fallback."""
+    docs = classify.with_signs(policy_documents(spark, sf_dir).withColumn("description", F.lit("")))
+    og, own = F.when(F.col("doc_id") % 9 == 0, F.lit("pt-BR")), F.when(F.col("doc_id") % 11 == 0, F.col("lang"))
+    found = classify.document_locale(F.col("signs"), F.col("url"), og, own, F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("nl-NL"))))
+    fallback = F.struct(F.lit("en-US").alias("locale"), F.lit(0.5).alias("confidence"))
+    return docs.select("doc_id", F.coalesce(found, fallback).alias("l")).select("doc_id", "l.locale", "l.confidence")
 
 
 @register("SELECT doc_id FROM documents WHERE length(coalesce(text, '')) < 500")

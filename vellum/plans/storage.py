@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import grades, url
+from vellum.functions import grades, policies, url
 from vellum.functions import vocabulary as v
 from vellum.functions.coerce import SENSITIVITY
 from vellum.operators import ingest, merge, store, topics
+from vellum.sources.bindings import LINKS, links
 from vellum.sources.tables import read
 
 from .registry import Registry
@@ -85,22 +86,31 @@ def win9_variant_cap(spark, sf_dir):
     return ingest.variants(pages(spark, sf_dir), "url", "page_id").select("page_id", "variant")
 
 
-#: Words and phrases of this corpus' addresses beside those of policies, so that scores differ.
-URL_WORDS = {**v.URL_KEYWORDS, "en": 2.0, "html": 1.5, "page": 3.0, "blog": -1.0}
-URL_PHRASES = {**v.URL_PHRASES, r"/(en|de)/": 4.0, r"page 2": 2.5}
+URL_WORDS, URL_PHRASES = v.URL_KEYWORDS, v.URL_PHRASES
 
 
 def url_score_sql() -> str:
-    where = f"lower({PATH}) || ' ' || regexp_replace(lower({QUERY}), '[&=]', ' ', 'g')"
-    phrase = " + ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN {x} ELSE 0.0 END" for p, x in URL_PHRASES.items())
-    word = " + ".join(f"CASE WHEN list_contains(t, '{k}') THEN {len_} * ({x}) WHEN contains(p, '{k}') AND {x} > 0 THEN 0.8 * ({x}) ELSE 0.0 END" for k, x in URL_WORDS.items() for len_ in [f"len(list_filter(t, lambda z: z = '{k}'))"])
-    out = f"CASE WHEN regexp_matches(p, '{v.AUTH_PATH}') OR regexp_matches(p, '{v.GALLERY_PATH}') THEN 0.0 ELSE greatest(0.0, {phrase} + {word}) END"
-    return f"SELECT page_id, CAST(round({out}, 6) AS DOUBLE) AS score FROM (SELECT *, string_split(regexp_replace(w, '[^\\w]+|_', ' ', 'g'), ' ') AS t FROM (SELECT page_id, lower({PATH}) AS p, {where} AS w FROM pages))"
+    kept = f"list_filter(string_split(lower({QUERY}), '&'), lambda x: NOT list_contains({policies_list(policies.REDIRECT_PARAMETERS)}, string_split(x, '=')[1]))"
+    query = f"array_to_string(list_transform({kept}, lambda x: replace(url_decode(replace(x, '+', ' ')), '=', ' ')), ' ')"
+    tokens = lambda c: f"list_filter(string_split(regexp_replace({c}, '[^\\w]+|_', ' ', 'g'), ' '), lambda x: x <> '')"
+    said = lambda c, k: " + ".join(f"CASE WHEN regexp_matches({c}, '{p}') THEN {k * x} ELSE 0.0 END" for p, x in URL_PHRASES.items())
+    words = lambda c, k: " + ".join(f"len(list_filter({c}, lambda z: z = '{w}')) * ({k * x})" for w, x in URL_WORDS.items())
+    inner = " + ".join(f"CASE WHEN NOT list_contains(t, '{w}') AND contains(p || ' ' || array_to_string(t, ' '), '{w}') THEN {0.8 * x} ELSE 0.0 END" for w, x in URL_WORDS.items() if x > 0)
+    paths = " + ".join(f"CASE WHEN contains(p, '{w}') THEN {x} ELSE 0.0 END" for w, x in policies.PATH_WEIGHTS.items())
+    other = f"CASE WHEN regexp_matches(p, '{policies.HEX_PATH}') THEN 2.0 ELSE 0.0 END - CASE WHEN regexp_matches(p, '/[^/]+/terms/[^/]+') AND NOT regexp_matches(p, '/terms/(service|use|conditions|sale|payment|payments|business|general|user|website|privacy|cookie|cookies|policy|of-|and-)') THEN 8.5 ELSE 0.0 END"
+    out = f"CASE WHEN regexp_matches(p, '{v.AUTH_PATH}') OR regexp_matches(p, '{v.GALLERY_PATH}') THEN 0.0 ELSE greatest(0.0, {said('w', 1)} + {paths} + {words('t', 1)} + {inner} + {other} + {said('a', 2.5)} + {words('s', 2)}) END"
+    base = f"SELECT page_id, lower({PATH}) AS p, trim(lower({PATH}) || ' ' || {query}) AS w, lower(regexp_extract(url, '#(.*)$', 1)) AS f, lower(anchor) AS a FROM links"
+    return f"WITH {LINKS} SELECT page_id, CAST(round({out}, 6) AS DOUBLE) AS score FROM (SELECT *, {tokens("w || ' ' || f")} AS t, list_filter(regexp_split_to_array(a, '\\W+'), lambda x: x <> '') AS s FROM ({base}))"
+
+
+def policies_list(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
 
 
 @register(url_score_sql())
 def url5_url_scores(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.round(ingest.url_score(F.col("url"), URL_PHRASES, URL_WORDS), 6).alias("score"))
+    """Scores of links by their address and text."""
+    return links(spark, sf_dir).select("page_id", F.round(ingest.url_score(F.col("url"), anchor=F.col("anchor")), 6).alias("score"))
 
 
 @register()

@@ -75,3 +75,59 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber") % 3).cast("int").alias("evidence"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"),
     )
+
+
+#: What the documents table's texts are headed by, addressed and titled with, so that they read as a site's pages.
+OPENINGS = (
+    "Privacy Policy. Last updated May 2024. We collect personal information and personal data; your rights, data retention and data sharing are described here.",
+    "Terms of Service. Effective date: 1 June. By using our service you accept these; governing law, dispute resolution, arbitration and limitation of liability follow.",
+    "Cookie policy: cookies we use, web beacons and analytics cookies. Last revised in March. Manage cookies in your cookie settings.",
+    "Home. About. Contact. Search the menu.",
+    "For users in Germany and for EU residents: GDPR applies, with a data protection officer.",
+    "For California residents: CCPA and HIPAA notices. This agreement is governed by the laws of the State of New York.",
+    "Copyright infringement and DMCA: send a takedown notice. Published: 2023. Fair use and intellectual property stay untouched.",
+    "Data processing agreement between data controller and data processor; sub-processor list, effective at once.",
+    "Politique de confidentialité et conditions d'utilisation: données personnelles.",
+    "Datenschutzerklärung und Nutzungsbedingungen, personenbezogene Daten.",
+    "Términos de servicio y política de privacidad.",
+    "We are committed to protecting your privacy. Effective date and jurisdiction: courts of England.",
+    "Our recipes of the week, with news of the kitchen.",
+    "Users in Japan and Singapore: PDPA and APPI; SOC 2 and ISO 27001 reports.",
+    "Security practices and data breach notification; vendors and subprocessors are audited for compliance.",
+    "",
+)
+ADDRESSES = ("/legal/privacy", "/terms-of-service", "/en/blog/post", "/de-de/datenschutz", "/help/terms/?next=/privacy", "/company/legal/cookies", "/eu/notice", "/uk/terms/glossary-word", "/login", "/gallery/terms", "/policy/data?topic=privacy%20policy", "/about#privacy-policy", "/a0b1c2d3e4f5a6b7c8d9e0f1a2b3c4d5e6f7/x", "/trust/sub-processors", "/datahub/privacyportal", "/br/aviso", "/")
+TITLES = ("Privacy Policy", "Photos of the day", "Terms of Use", "Cookie Notice", "", "EU privacy and GDPR", "Grandpa's page", "Trust center: information security", "News", "Children's privacy", "Acceptable use")
+ANCHORS = ("Privacy Policy", "read more", "terms of service", "", "Legal notice", "contact", "GDPR and cookies")
+
+
+def _pick(values: tuple[str, ...], key: str) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, url, title, text, lang: the documents as pages of sites; every seventh is its opening alone."""
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))))
+    own = read(spark, sf_dir, "documents").where("doc_id is not null")
+    address = F.concat(F.lit("https://site"), (F.col("doc_id") % 50).cast("string"), F.lit(".example"), _pick(ADDRESSES, "doc_id"))
+    return own.select("doc_id", address.alias("url"), _pick(TITLES, "doc_id").alias("title"), F.concat(_pick(OPENINGS, "doc_id"), body).alias("text"), "lang")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, anchor: each page's address followed by a policy's path, and the text of a link to it."""
+    host = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(host, _pick(ADDRESSES, "page_id")).alias("url"), _pick(ANCHORS, "page_id").alias("anchor"))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+POLICIES = f"""
+policies AS (
+  SELECT doc_id, 'https://site' || (doc_id % 50) || '.example' || {_list(ADDRESSES)}[doc_id % {len(ADDRESSES)} + 1] AS url, {_list(TITLES)}[doc_id % {len(TITLES)} + 1] AS title,
+    {_list(OPENINGS)}[doc_id % {len(OPENINGS)} + 1] || CASE WHEN doc_id % 7 = 0 THEN '' ELSE ' ' || coalesce(text, '') END AS text, lang
+  FROM documents WHERE doc_id IS NOT NULL)"""
+LINKS = f"""
+links AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || {_list(ADDRESSES)}[page_id % {len(ADDRESSES)} + 1] AS url, {_list(ANCHORS)}[page_id % {len(ANCHORS)} + 1] AS anchor FROM pages)"""
