@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from vellum.functions import text
 from vellum.operators import lifecycle as op
 from vellum.sources.bindings import JOBS, jobs
+from vellum.sources.sinks import workspace
 from vellum.sources.tables import read
 
-from .documents import GARBLED
+from vellum.streaming import lifecycle as life
+from vellum.streaming import store as streams
+
+from .documents import FP, GARBLED
 from .queue import NOW, now
 from .registry import Registry
 
@@ -67,3 +73,87 @@ def agg29_merged_usage(spark, sf_dir):
     """Usage summaries of products merged again."""
     per = jobs(spark, sf_dir).groupBy("status", "product_slug").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("c"))
     return per.groupBy("status").agg(F.sum("n").alias("calls"), F.sum("c").alias("cents"))
+
+
+#: An event's job is its user's day, its status follows from its kind; errors end jobs in ten ways.
+STALL, FRESH = 6 * 3600, 24 * 3600
+ENDED = "[" + ", ".join(f"'{x}'" for x in life.ENDS) + "]"
+EVENTS = f"""
+e AS (
+  SELECT user_id * 31 + day(ts) AS key, epoch_us(ts) AS "at", event_id AS tie,
+    CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'crawling' WHEN 'signup' THEN 'synthesising' WHEN 'purchase' THEN 'generating_overview' ELSE {ENDED}[event_id % 10 + 1] END AS value
+  FROM events)"""
+
+
+def job_events(events):
+    """key, ts, tie, value of a table or a stream of events."""
+    ends = F.element_at(F.array(*map(F.lit, life.ENDS)), (F.col("event_id") % 10 + 1).cast("int"))
+    value = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "crawling").when(F.col("event_type") == "signup", "synthesising").when(F.col("event_type") == "purchase", "generating_overview").otherwise(ends)
+    return events.select((F.col("user_id") * 31 + F.dayofmonth("ts")).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), value.alias("value"))
+
+
+def folded_events(spark, sf_dir, fold, select=job_events, late="40 days"):
+    """The fold of the events table as a stream, file by file, then of the time after it. Files come in any order, so lateness spans them."""
+    out = streams.FoldedEvents(spark, workspace(spark, "fold"), fold, late)
+    rows = select(streams.table_stream(spark, sf_dir, "events"))
+    out.run(rows)
+    out.advance(datetime(2100, 1, 1))
+    out.run(rows)
+    return out.result()
+
+
+LEGAL = " ".join(f"WHEN s = '{a}' THEN v IN ({', '.join(repr(x) for x in (a, *b))})" for a, b in life.NEXT.items())
+LIFE = f"""
+WITH RECURSIVE {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", tie, value) AS i FROM e),
+steps AS (
+  SELECT key, 0::BIGINT AS i, NULL::VARCHAR AS s, NULL::BIGINT AS due, NULL::VARCHAR AS kind, NULL::VARCHAR AS was, NULL::VARCHAR AS now, NULL::BIGINT AS "at", NULL::BIGINT AS alarm, NULL::VARCHAR AS alarmed FROM o WHERE i = 1
+  UNION ALL
+  SELECT key, i, CASE WHEN ok THEN v ELSE s END, CASE WHEN NOT ok THEN due WHEN v IN {tuple(life.ENDS)} THEN NULL ELSE "at" + {STALL * 1_000_000} END,
+    CASE WHEN NOT ok THEN 'illegal' WHEN v IS NOT DISTINCT FROM s THEN NULL ELSE 'moved' END, s, v, "at", alarm, alarmed
+  FROM (
+    SELECT *, coalesce(CASE WHEN s IS NULL THEN v = 'pending' {LEGAL} ELSE false END, false) AS ok
+    FROM (
+      SELECT p.key, o.i, o.value AS v, o."at", CASE WHEN p.due < o."at" THEN 'failed' ELSE p.s END AS s, CASE WHEN p.due < o."at" THEN NULL ELSE p.due END AS due,
+        CASE WHEN p.due < o."at" THEN p.due END AS alarm, CASE WHEN p.due < o."at" THEN p.s END AS alarmed
+      FROM steps p JOIN o ON o.key = p.key AND o.i = p.i + 1))),
+ended AS (SELECT key, s, due FROM steps QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+life AS (
+  SELECT key, kind, was, now, "at" FROM steps WHERE kind IS NOT NULL
+  UNION ALL SELECT key, 'stalled', alarmed, 'failed', alarm FROM steps WHERE alarm IS NOT NULL
+  UNION ALL SELECT key, 'stalled', s, 'failed', due FROM ended WHERE due IS NOT NULL)"""
+
+
+@register(f'{LIFE} SELECT key, kind, was, now, "at" FROM life WHERE kind <> \'stalled\'')
+def str2_lifecycle(spark, sf_dir):
+    """Every move of every job, and every status that may not follow, folded from a stream."""
+    return folded_events(spark, sf_dir, life.Lifecycle(STALL)).where("kind <> 'stalled'")
+
+
+@register(f"{LIFE} SELECT key, was, \"at\" FROM life WHERE kind = 'stalled'")
+def str3_stall_alarms(spark, sf_dir):
+    """Alarms of jobs without a sign of life, at the time they fall due, raised by timers."""
+    return folded_events(spark, sf_dir, life.Lifecycle(STALL)).where("kind = 'stalled'").select("key", "was", "at")
+
+
+def user_events(events):
+    return events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.lit("seen").alias("value"))
+
+
+@register(
+    f"""WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) AS "at" FROM events),
+    seen AS (
+      SELECT key, min("at") AS "at" FROM e GROUP BY key
+      UNION ALL SELECT s.key, (SELECT min(e."at") FROM e WHERE e.key = s.key AND e."at" > s."at" + {FRESH * 1_000_000}) FROM seen s WHERE s."at" IS NOT NULL)
+    SELECT key, 'seen' AS kind, "at" FROM seen WHERE "at" IS NOT NULL UNION ALL SELECT key, 'expired', "at" + {FRESH * 1_000_000} FROM seen WHERE "at" IS NOT NULL"""
+)
+def str11_expiring_sightings(spark, sf_dir):
+    """Sightings that count, and when each expires, so that the next one counts again."""
+    return folded_events(spark, sf_dir, life.Sightings(FRESH), user_events).select("key", "kind", "at")
+
+
+@register(f"SELECT md5(coalesce(source, '') || chr(10) || {FP}) AS key, coalesce(source, '') AS owner, min(doc_id) AS doc_id, count(*) AS n_docs FROM documents WHERE length(coalesce(text, '')) >= 300 AND NOT {GARBLED} GROUP BY 1, 2")
+def str1_streamed_store(spark, sf_dir):
+    """Documents admitted and stored as a stream brings them, file by file; the same as at once."""
+    pages = streams.page_store(spark)
+    pages.run(streams.table_stream(spark, sf_dir, "documents"))
+    return pages.table.read()

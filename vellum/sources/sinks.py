@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -30,3 +31,13 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-vellum-"))
     return df.checkpoint()
+
+
+def workspace(spark, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; only a local session may do without that setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-vellum-")
+    return f"{found.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
