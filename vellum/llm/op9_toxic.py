@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (with marks at its ends), so misspelt and unseen words share vectors with
 known ones. A window of about WINDOW words averages the vectors of its distinct words; a linear softmax over the
 average tells toxic from clean windows, and the logit of a window of few words is shrunk (SHRINK). Embeddings and softmax are trained together on the windows of a bounded sample of labelled
-documents (SAMPLE of each label, the smallest by a hash of the id). A document's score comes from its most toxic
+documents (SAMPLE and SAMPLE_BYTES of each label, the smallest by a hash of the id). A document's score comes from its most toxic
 window and its number of windows, by a logistic curve fitted to the sample at the labels' own rate. Since the softmax
 is linear, tasks need one number for each n-gram bucket: the model that travels has 2^BITS of them.
 
@@ -18,12 +18,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW, BITS, DIMS, SHORTEST, LONGEST = 50, 18, 8, 3, 6
 SAMPLE, EPOCHS, STEPS, BATCH, THRESHOLD, REMEMBER = 1500, 6, 250, 512, 0.7, 250_000
+#: Bytes of the sample's texts for each label: whole documents in the order of their hash until there are so many.
+SAMPLE_BYTES = 16 << 20
 #: A window of so many distinct words counts half.
 SHRINK = 50
 
@@ -171,14 +174,20 @@ def fit(texts: list[str | None], toxic: np.ndarray, rate: float, seed: int = 5)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str | None], np.ndarray, float]:
-    """Texts and labels of at most limit documents of each label that may be learned from, and the share of label 1."""
+    """Texts and labels of documents that may be learned from, and the share of label 1.
+
+    At most limit documents of each label and SAMPLE_BYTES of their text, so the driver's share is bounded.
+    """
     own = labels.where(f"doc_id is not null and {label} in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = dict(own.groupBy("y").count().collect())
     if not counts:
         return [], np.zeros(0, np.int64), 0.0
     order = F.xxhash64("doc_id")
     chosen = own.where("y = 1").orderBy(order, "doc_id").limit(limit).unionAll(own.where("y = 0").orderBy(order, "doc_id").limit(limit))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * limit ids
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "doc_id")  # at most 2 * limit ids
+    upto = F.sum("size").over(W.partitionBy("y").orderBy(order, "doc_id"))
+    fits = sizes.groupBy("doc_id", "y").agg(F.max("size").alias("size")).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id")
     rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), counts.get(1, 0) / sum(counts.values())
