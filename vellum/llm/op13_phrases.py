@@ -240,8 +240,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     around = phrases.where("size(words) > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = best.join(around, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {share} * a")
     ranked = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    first = ranked.withColumn("rank", rank.cast("long")).where(f"rank <= {top}")
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(DEALT))  # a language's best are among the best of its parts
+    near = ranked.withColumn("part", part).withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(f"rank <= {top}")
+    first = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(f"rank <= {top}")
     words_of = counts.where("size(words) = 0").select("lang", F.col("f").alias("n"))
     return first.join(words_of, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
