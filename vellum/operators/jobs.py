@@ -76,13 +76,6 @@ def revive(jobs: DataFrame, batch: int = 200) -> DataFrame:
     return first.select("product_slug", "j.id", "j.updated_at").orderBy("updated_at", "id").limit(batch)
 
 
-def streaks(rows: DataFrame, key: str, success: Column, order: list[str], alias: str = "streak") -> DataFrame:
-    """Failures in a row up to each row of a key, reset by a success."""
-    w = W.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("island", F.sum(success.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.withColumn(alias, F.sum((~success).cast("int")).over(W.partitionBy(key, "island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).drop("island")
-
-
 def rolling(rows: DataFrame, key: str, ts: str, hours: int, alias: str = "n") -> DataFrame:
     """Rows of a key within the hours up to each one."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.operators import jobs as op
+from vellum.operators import scans
 from vellum.sources.bindings import JOBS, jobs
 from vellum.sources.tables import read
 
@@ -126,7 +127,7 @@ def agg28_usage_by_model(spark, sf_dir):
 )
 def win4_failure_streaks(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return op.streaks(e, "user_id", F.col("event_type") != "error", ["ts", "event_id"]).groupBy("user_id").agg(F.max("streak").alias("longest"))
+    return scans.streaks(e, "user_id", F.col("event_type") != "error", ["ts", "event_id"]).groupBy("user_id").agg(F.max("streak").alias("longest"))
 
 
 @register(
@@ -137,23 +138,21 @@ def win4_failure_streaks(spark, sf_dir):
 def win5_converged(spark, sf_dir):
     """Rows at least ten after the last hit, once there was one."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    hit = F.col("event_type") == "purchase"
-    seen = F.max(hit.cast("int")).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    rows = op.streaks(e.withColumn("seen", seen), "user_id", hit, ["ts", "event_id"], "since")
-    return rows.where("seen = 1 and since >= 10").groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = scans.streaks(e, "user_id", F.col("event_type") == "purchase", ["ts", "event_id"], "since", "seen")
+    return rows.where("seen and since >= 10").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @register("SELECT user_id, CAST(min(gap) AS BIGINT) AS least_gap FROM (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) GROUP BY user_id")
 def win6_request_gaps(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return read(spark, sf_dir, "events").select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.min("gap").alias("least_gap"))
+    rows = scans.previous(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", at.alias("at")), "user_id", "at", ["ts", "event_id"], "before")
+    return rows.select("user_id", (F.col("at") - F.col("before")).alias("gap")).groupBy("user_id").agg(F.min("gap").alias("least_gap"))
 
 
 @register("SELECT event_id, round(least(100, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 2) AS progress FROM events")
 def win7_high_water(spark, sf_dir):
-    top = F.max("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    return read(spark, sf_dir, "events").select("event_id", F.round(F.least(F.lit(100.0), top), 2).alias("progress"))
+    rows = scans.running_max(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "value", ["ts", "event_id"], "top")
+    return rows.select("event_id", F.round(F.least(F.lit(100.0), "top"), 2).alias("progress"))
 
 
 @register("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
