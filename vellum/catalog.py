@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("documents", "rollups", "queue", "storage", "streams", "pages", "evidence", "products", "details", "lifecycles", "extracted", "readmodels")
+MODULES = ("documents", "rollups", "queue", "storage", "streams", "pages", "evidence", "products", "details", "lifecycles", "extracted", "readmodels", "wholes")
 
 
 def _collect(name: str) -> dict:

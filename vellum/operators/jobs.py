@@ -62,6 +62,25 @@ def outcome(jobs: DataFrame) -> DataFrame:
     return counted.select("product_slug", "n", reason.alias("reason"))
 
 
+def crawl_outcome(errors: DataFrame, skips: DataFrame, key: str = "product_slug") -> DataFrame:
+    """(key, n_errors, n_skips, outcome, skipped_for): why a crawl stored nothing, by the first rule that holds.
+
+    errors: (key, error, status_code), skips: (key, reason), pages that were fetched and left out. Robots alone, then
+    connections or refusals among what robots let through, then skips with their most frequent reason, robots in part,
+    and other errors; a key without either does not appear.
+    """
+    kind = error_class(F.col("error"), F.col("status_code"))
+    failed = errors.where("error is not null").groupBy(key).agg(
+        F.count("*").alias("n_errors"), F.count_if(kind == "robots").alias("robots"), F.count_if(kind.isin("timeout", "network")).alias("connection"), F.count_if(hard(F.col("error"), F.col("status_code")) & (kind != "robots")).alias("hard"))
+    by_reason = skips.groupBy(key, "reason").agg(F.count("*").alias("k"))
+    most = by_reason.groupBy(key).agg(F.sum("k").alias("n_skips"), F.min_by("reason", F.struct(-F.col("k"), F.col("reason"))).alias("reason"))
+    both = failed.join(most, key, "full_outer").fillna(0, ["n_errors", "robots", "connection", "hard", "n_skips"])
+    rest = F.col("n_errors") - F.col("robots")
+    outcome = F.when((F.col("robots") > 0) & (rest == 0), "all_robots").when((rest > 0) & (F.col("connection") == rest), "all_connection").when((rest > 0) & (F.col("hard") == rest), "all_hard")
+    outcome = outcome.when(F.col("n_skips") > 0, "skipped").when(F.col("robots") > 0, "partial_robots").otherwise("crawl_failed")
+    return both.select(key, "n_errors", "n_skips", outcome.alias("outcome"), F.col("reason").alias("skipped_for"))
+
+
 def claim_next(jobs: DataFrame, key: str) -> DataFrame:
     """The pending job of each key to run next: those without a crawl first, then the oldest."""
     order = F.struct((~F.col("skip_crawl")).alias("a"), F.col("created_at").alias("b"), F.col("id").alias("c"))
