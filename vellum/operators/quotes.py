@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import automaton
+
+#: Quotes of so many characters together, 16 more for each, are found by one automaton in each task.
+FIT = 1 << 20
 #: Words of a key.
 KEY = 4
 
@@ -41,13 +45,31 @@ def short_pairs(docs: DataFrame, short: DataFrame, out: DataFrame) -> DataFrame:
     return out
 
 
+def in_place(docs: DataFrame, quotes: DataFrame) -> DataFrame | None:
+    """contained() by one pass of an automaton over each text, where quotes fit: only hits leave a text. Else null."""
+    rows = quotes.where("quote is not null").select("quote").distinct()
+    size = rows.agg(F.sum(F.length("quote") + 16)).first()[0] or 0
+    if size > FIT:
+        return None
+    words = tuple(sorted(r["quote"] for r in rows.collect()))  # at most FIT characters
+    found = docs.where("text is not null").select("doc_id", F.explode(automaton.scan(F.col("text"), {"": words})).alias("h"))
+    found = found.select("doc_id", F.col("h.word").alias("quote"), F.col("h.first").alias("at"))
+    if "" in words:  # stands at the beginning of every text
+        found = found.unionAll(docs.where("text is not null").select("doc_id", F.lit("").alias("quote"), F.lit(0).alias("at")))
+    asked = quotes.select("item_id", "quote")
+    return found.join(asked, "quote").select("doc_id", "item_id", F.col("at").cast("long").alias("start_char"), (F.col("at") + F.length("quote")).cast("long").alias("end_char"))
+
+
 def contained(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_char, end_char) of docs (doc_id, text) and quotes (item_id, quote): first verbatim places.
 
+    Quotes that fit an automaton are found by it (in_place); the same rows come of any number of quotes as follows.
     A quote's second to fifth words are whole words of any text that holds it, so an equi-join on runs of words finds
     the candidates, and the whole quote is compared in those texts only. Quotes of fewer than six words have no such
     run; where there are any, runs of characters find theirs.
     """
+    if (found := in_place(docs, quotes)) is not None:
+        return found
     words = F.split("quote", " ")
     keyed = quotes.where(F.size(words) >= KEY + 2).select("item_id", "quote", F.xxhash64(*[F.get(words, F.lit(i + 1)) for i in range(KEY)]).alias("key"))
     few = [r["key"] for r in keyed.select("key").distinct().limit(MOST_KEYS + 1).collect()]
