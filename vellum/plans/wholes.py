@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text
-from vellum.operators import chunks, findings, items, jobs
+from vellum.operators import chunks, clusters, findings, items, jobs, rollup
 from vellum.sources import pages as page_sources
-from vellum.sources.bindings import JOBS, POLICIES, policy_documents
+from vellum.sources.bindings import FINDINGS, JOBS, POLICIES, policy_documents
+from vellum.sources.bindings import findings as finding_rows
 from vellum.sources.bindings import jobs as job_rows
 from vellum.sources.tables import read
 
 from .queue import ERROR_CLASS, HARD
 from .registry import Registry
+from .rollups import by_first_word
 
 register = Registry()
 QUERIES, ORACLE_SQL = register.queries, register.oracles
@@ -113,3 +115,19 @@ def udf3_extracted_items(spark, sf_dir):
     """Items of every line of every document by a provider that now and then answers nonsense, and for some lines always."""
     docs = policy_documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
     return items.extract(docs, "line", items.OfflineProvider(FIELDS), tuple(FIELDS)).select("doc_id", "seq", "field", "value", "attempts")
+
+
+@register(
+    f"""WITH {FINDINGS}, d AS (SELECT product_id % 3 AS product_id, category, normalized_value, document_id, min(seq) AS seq, arg_min(value, seq) AS value FROM findings GROUP BY ALL),
+    i AS (SELECT product_id, category, normalized_value, min(seq) AS seq, arg_min(value, seq) AS value FROM d GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN category IN {clusters.NARRATIVE} THEN string_split(value, ' ')[-1] ELSE normalized_value END AS word FROM i)
+    SELECT product_id, category, arg_max(value, length(value) * 1000000000 - seq) AS value, count(*) AS n_members FROM k GROUP BY product_id, category, word"""
+)
+def udf1_consolidated(spark, sf_dir):
+    """Items of narrative categories, clustered by a judge that is asked about at most eight at once, and merged."""
+    own = finding_rows(spark, sf_dir).withColumn("product_id", F.col("product_id") % 3)
+    rolled = rollup.items(own)
+    first = own.groupBy(*rollup.KEY).agg(F.min("seq").alias("seq"))
+    found = clusters.consolidate(rolled.join(first, rollup.KEY), by_first_word, clusters.NARRATIVE, size=8)
+    merged = rollup.merge_clusters(found)
+    return merged.select("product_id", "category", "value", F.size("member_values").cast("long").alias("n_members"))
