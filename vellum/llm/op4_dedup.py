@@ -2,7 +2,8 @@
 
 Texts become sets of five-word shingles. Equal sets form a class, whose smallest id stands for it; only these go on.
 Their sketches (see shingles.sketches) are cut into bands; classes that agree in a band share a bucket. Whole sets
-decide what links, in two steps, so that a bucket never turns into all its pairs:
+decide what links, in two steps, so that a group of near copies never turns into all its pairs (different documents that
+merely share a long passage still meet in blocks, see 2: their number counts squared there):
 
 1. Every member of a bucket is compared with the bucket's smallest one. What links is one group (components), however
    many members it has.
