@@ -143,8 +143,9 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     own = rules.where(F.col("agent") == agent)
     mine = own.unionByName(rules.where("agent = '*'").join(own.select("site").distinct(), "site", "left_anti"))
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+?()\[\]{}|^\\])", r"\\$1"), r"\*", ".*"))
-    hits = urls.join(mine.withColumn("regex", pattern), "site").where("path rlike regex")
-    found = hits.groupBy("site", "path").agg(F.bool_or(F.col("kind") == "allow").alias("a"), F.bool_or(F.col("kind") == "disallow").alias("d"))
-    return urls.join(found, ["site", "path"], "left").select("site", "path", (F.coalesce("a", F.lit(False)) | ~F.coalesce("d", F.lit(False))).alias("allowed"))
+    lists = mine.groupBy("site").agg(F.collect_set(F.struct("kind", pattern.alias("regex"))).alias("rules"))  # as long as a robots text
+    fits = lambda kind: F.exists("rules", lambda r: (r["kind"] == kind) & F.rlike(F.col("path"), r["regex"]))
+    allowed = F.coalesce(fits("allow"), F.lit(False)) | ~F.coalesce(fits("disallow"), F.lit(False))
+    return urls.join(lists, "site", "left").select("site", "path", allowed.alias("allowed"))
 
 
