@@ -153,3 +153,78 @@ def test_page_store_survives_restarts(spark, tmp_path, monkeypatch):
 
 def test_workspace_is_under_the_shared_folder(spark):
     assert "vellum-x-" in workspace(spark, "x")
+
+
+class Held:
+    """The state store of one bucket, which counts how often it is asked."""
+
+    def __init__(self):
+        self.asked, self.timers = 0, set()
+
+    def state(self, *_):
+        store, value = self, []
+
+        class State:
+            def exists(self):
+                store.asked += 1
+                return bool(value)
+
+            def get(self):
+                store.asked += 1
+                return iter(list(value)) if self.listed else value[0]
+
+            def put(self, rows):
+                store.asked += 1
+                value[:] = rows
+
+            def appendList(self, rows):
+                store.asked += 1
+                value.extend(rows)
+
+            def update(self, row):
+                self.put([row])
+
+            def clear(self):
+                self.put([])
+
+        return State()
+
+    def getListState(self, *_):
+        out = self.state()
+        out.listed = True
+        return out
+
+    def getValueState(self, *_):
+        out = self.state()
+        out.listed = False
+        return out
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_state_is_asked_for_buckets_not_for_keys(spark):
+    import pandas as pd
+
+    rng, keys = random.Random(7), 2000
+    rows = [(rng.randrange(keys), rng.randrange(10**11), i, rng.choice(life.STATUSES[:5])) for i in range(4 * keys)]
+    fold, store_, out = life.Lifecycle(3600), Held(), []
+    processor = life.Processor(fold)
+    processor.init(store_)
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    for part in range(4):
+        own = pd.DataFrame(rows[part::4], columns=["key", "at", "tie", "value"])
+        list(processor.handleInputRows((3,), iter([own[:100], own[100:]]), clock))
+    for clock.ms in (3 * 10**7, 7 * 10**7, 10**9):
+        for ms in [t for t in store_.timers if t <= clock.ms]:
+            store_.timers.remove(ms)
+            out += [tuple(r) for part in processor.handleExpiredTimer((3,), clock, None) for r in part.itertuples(index=False)]
+    want = []
+    for key in range(keys):
+        own = sorted((at, tie, value) for k, at, tie, value in rows if k == key)
+        want += [(key, *r) for r in life.replay(fold, None, [(at, v) for at, _, v in own], 10**12)[1]]
+    assert sorted(out, key=str) == sorted(want, key=str) and not store_.timers
+    assert store_.asked < 100  # 7 calls, 2000 keys
