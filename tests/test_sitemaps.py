@@ -55,3 +55,13 @@ def test_trees(spark):
     bad = sitemaps.discover(sites, robots, spark.createDataFrame([(f"{origin}/named.xml", b"\x1f\x8bxx"), (f"{origin}/sitemap.xml", b"<urlset><url><loc>http://h/half</loc></url><ur")], "url string, body binary"))
     assert {r["url"] for r in bad[1].collect()} == {f"{origin}/named.xml", f"{origin}/sitemap.xml"}
     assert [r["url"] for r in bad[0].collect()] == ["http://h/half"]
+
+
+def test_a_page_keeps_the_sitemap_that_its_index_names_first(spark):
+    origin = "http://h"
+    children = [f"{origin}/sitemap-privacy-{i}.xml" for i in (9, 10, 100)]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in children) + "</sitemapindex>"
+    files = [(f"{origin}/sitemap.xml", index.encode())] + [(c, URLSET.format(ONE.format("http://h/same")).encode()) for c in children]
+    sites, robots = spark.createDataFrame([("s", origin)], "site string, origin string"), spark.createDataFrame([], "site string, text string")
+    pages, _ = sitemaps.discover(sites, robots, spark.createDataFrame(files, "url string, body binary"))
+    assert [tuple(r) for r in pages.collect()] == [("s", "http://h/same", 1, children[0])]
