@@ -563,3 +563,13 @@ def test_pipeline(spark, texts):
     rows = c.run(spark, SF)
     assert rows.where(F.col("ids_sha256").isNull()).count() == 0 and rows.count() > 0
     assert set(r["doc_id"] for r in rows.select("doc_id").collect()) <= set(redacted)
+
+
+def test_mix_is_the_same_at_any_number_of_patterns(spark, documents, monkeypatch):
+    def taken():
+        out = op5_mix.mix(documents, "doc_id", op5_mix.words(F.col("text")), F.col("source"), same=F.col("text"))[0]
+        return sorted((r["doc_id"], r["taken"]) for r in out.collect())
+
+    few = taken()
+    monkeypatch.setattr(op5_mix, "MOST", 25)
+    assert few == taken()

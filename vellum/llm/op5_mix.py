@@ -9,9 +9,9 @@ rows, and the rest to rows in the order of a seeded hash, whose cut is found by
 finer, so no source is sorted in one task. What rounding to rows leaves of a source's target is then settled likewise
 over the whole source.
 
-Only patterns by source and sources reach the driver. Where more than MOST patterns by source exist, each source is a
-pattern of its own: the targets are met alike, but copies in other sources no longer count as repetition. More than
-MOST sources are refused.
+Only patterns by source and sources reach the driver, as arrays (some 200 bytes for each pattern by source), whatever
+their number: the flow is the same at any size. Above MOST of them, tables of them meet rows by shuffles and not by
+broadcasts, which changes no result. More than MOST sources are refused.
 
 Defined results: a null text has size 0; sizes of 0 are never taken; a null source is a source of its own, last in
 order; null texts share nothing; repeated rows share a hash and stand next to each other in the order; no documents
@@ -20,8 +20,12 @@ give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
+from collections.abc import Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,66 +59,81 @@ class Network:
     """A flow network with integer capacities; flows only grow."""
 
     def __init__(self) -> None:
-        self.out: list[list[int]] = [[], []]  # origin, end
-        self.to: list[int] = []
-        self.room: list[int] = []
+        # origin, end; a node's edges are a chain from its first to its last, in the order in which they came
+        self.first, self.last = array("q", [-1, -1]), array("q", [-1, -1])
+        self.next, self.to, self.room = array("q"), array("q"), array("q")
 
     def node(self) -> int:
-        self.out.append([])
-        return len(self.out) - 1
+        self.first.append(-1)
+        self.last.append(-1)
+        return len(self.first) - 1
 
     def edge(self, a: int, b: int, most: int) -> int:
         for x, y, r in ((a, b, most), (b, a, 0)):
-            self.out[x].append(len(self.to))
+            e = len(self.to)
+            if self.first[x] < 0:
+                self.first[x] = e
+            else:
+                self.next[self.last[x]] = e
+            self.last[x] = e
+            self.next.append(-1)
             self.to.append(y)
             self.room.append(r)
         return len(self.to) - 2
 
     def fill(self) -> None:
         """Augments to a largest flow along shortest paths, level by level."""
+        to, room, following = self.to, self.room, self.next
         while True:
-            level = {0: 0}
+            level = array("q", [-1]) * len(self.first)
+            level[0] = 0
             todo = deque([0])
             while todo:
                 x = todo.popleft()
-                for e in self.out[x]:
-                    if self.room[e] and self.to[e] not in level:
-                        level[self.to[e]] = level[x] + 1
-                        todo.append(self.to[e])
-            if 1 not in level:
+                e = self.first[x]
+                while e >= 0:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = level[x] + 1
+                        todo.append(to[e])
+                    e = following[e]
+            if level[1] < 0:
                 return
-            at = [0] * len(self.out)
+            at = self.first[:]
             path: list[int] = []
             x = 0
             while True:
                 if x == 1:
-                    put = min(self.room[e] for e in path)
+                    put = min(room[e] for e in path)
                     for e in path:
-                        self.room[e] -= put
-                        self.room[e ^ 1] += put
-                    back = next(i for i, e in enumerate(path) if not self.room[e])
-                    x = self.to[path[back] ^ 1]
+                        room[e] -= put
+                        room[e ^ 1] += put
+                    back = next(i for i, e in enumerate(path) if not room[e])
+                    x = to[path[back] ^ 1]
                     del path[back:]
                     continue
-                while at[x] < len(self.out[x]):
-                    e = self.out[x][at[x]]
-                    if self.room[e] and level.get(self.to[e]) == level[x] + 1:
-                        break
-                    at[x] += 1
-                if at[x] < len(self.out[x]):
+                while (e := at[x]) >= 0 and not (room[e] and level[to[e]] == level[x] + 1):
+                    at[x] = following[e]
+                if e >= 0:
                     path.append(e)
-                    x = self.to[e]
+                    x = to[e]
                 elif path:
-                    x = self.to[path.pop() ^ 1]
-                    at[x] += 1
+                    x = to[path.pop() ^ 1]
+                    at[x] = following[at[x]]
                 else:
                     break
 
 
-def flow(unique: dict, room: dict[tuple, int], quota: dict) -> dict[tuple, int]:
-    """Words that each source takes of each pattern: the largest flow of least cost.
+def flow(unique: dict, room: Mapping[tuple, int] | Iterable[tuple[tuple, int]], quota: dict) -> dict[tuple, int]:
+    """Words that each source takes of each pattern, by (pattern, source): the largest flow of least cost."""
+    room = dict(room)
+    taken = flows(unique.items(), ((p, s, n) for (p, s), n in room.items()), quota)
+    return dict(zip(room, taken))
 
-    unique: words of a pattern's distinct texts; room: the most words by (pattern, source). The first and second pass
+
+def flows(unique: Iterable[tuple], room: Iterable[tuple], quota: dict) -> array:
+    """Words that each source takes of each pattern, in the order of room: the largest flow of least cost.
+
+    unique: (pattern, words of its distinct texts); room: (pattern, source, the most words). The first and second pass
     over a pattern's distinct texts and all further ones cost more and more a word. Costs lie on the origin's edges
     alone, so a largest flow over the cheaper edges is part of a cheapest largest flow: edges are opened in the order
     of their cost and what flows is never taken back.
@@ -123,13 +142,16 @@ def flow(unique: dict, room: dict[tuple, int], quota: dict) -> dict[tuple, int]:
     of_source = {s: net.node() for s in quota}
     for s, n in quota.items():
         net.edge(of_source[s], 1, n)
-    of_pattern = {p: net.node() for p in unique}
-    cells = {(p, s): net.edge(of_pattern[p], of_source[s], n) for (p, s), n in room.items()}
+    of_pattern, words_ = {}, array("q")
+    for p, n in unique:
+        of_pattern[p] = net.node()
+        words_.append(n)
+    cells = array("q", [net.edge(of_pattern[p], of_source[s], n) for p, s, n in room])
     for most in (1, 1, None):
-        for p, n in unique.items():
-            net.edge(0, of_pattern[p], n if most else 1 << 62)
+        for node, n in zip(of_pattern.values(), words_):
+            net.edge(0, node, n if most else 1 << 62)
         net.fill()
-    return {cell: net.room[e ^ 1] for cell, e in cells.items()}
+    return array("q", (net.room[e ^ 1] for e in cells))
 
 
 def cut(rows: DataFrame, level: Column, left: str) -> DataFrame:
@@ -139,18 +161,23 @@ def cut(rows: DataFrame, level: Column, left: str) -> DataFrame:
     return sums.withColumn("upto", upto).where((F.col("upto") > F.col(left)) & (F.col("upto") - F.col("size") <= F.col(left))).select("key", "at", (F.col(left) - F.col("upto") + F.col("size")).alias("left"))
 
 
-def chosen(rows: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(key, edge): rows (key, u, size) with u up to edge make about the rest words of quotas (key, rest)."""
-    some = rows.where("size > 0").join(F.broadcast(quotas.where("rest > 0")), "key")
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows, broadcast if they are at most MOST."""
+    return F.broadcast(df) if n <= MOST else df
+
+
+def chosen(rows: DataFrame, quotas: DataFrame, n: int) -> DataFrame:
+    """(key, edge): rows (key, u, size) with u up to edge make about the rest words of the n quotas (key, rest)."""
+    some = rows.where("size > 0").join(small(quotas.where("rest > 0"), n), "key")
     first = cut(some, F.shiftright("u", 51), "rest")
-    inner = some.withColumn("at", F.shiftright("u", 51)).join(F.broadcast(first), ["key", "at"])
+    inner = some.withColumn("at", F.shiftright("u", 51)).join(small(first, n), ["key", "at"])
     second = cut(inner, F.shiftright("u", 39), "left").withColumnRenamed("left", "last")
-    last = inner.withColumn("at", F.shiftright("u", 39)).join(F.broadcast(second), ["key", "at"])
+    last = inner.withColumn("at", F.shiftright("u", 39)).join(small(second, n), ["key", "at"])
     upto = F.sum("size").over(W.partitionBy("key").orderBy("u", "id").rowsBetween(W.unboundedPreceding, 0))
     ends = last.withColumn("upto", upto).groupBy("key", "at").agg(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("last"), F.col("u"))).alias("u"))
     edges = ends.select("key", F.coalesce("u", F.shiftleft("at", 39) - 1).alias("edge"))
     # words that run out in no level (fewer than the rest): all rows
-    return quotas.where("rest > 0").join(F.broadcast(edges), "key", "left").select("key", F.coalesce("edge", F.lit(2**63 - 1)).alias("edge"))
+    return quotas.where("rest > 0").join(small(edges, n), "key", "left").select("key", F.coalesce("edge", F.lit(2**63 - 1)).alias("edge"))
 
 
 def mix(docs: DataFrame, id_col: str, size: Column, source: Column, same: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, order: tuple[str, ...] | None = None) -> tuple[DataFrame, dict, dict]:
@@ -166,33 +193,32 @@ def mix(docs: DataFrame, id_col: str, size: Column, source: Column, same: Column
     with common.Scratch(spark) as tables:
         sized = docs.select(F.col(id_col).alias("id"), source.alias("source"), own.alias("own"), size.alias("size"), hashed.alias("u"), *[F.when(same.isNotNull() if same is not None else F.lit(False), c).alias(f"t{i}") for i, c in enumerate(both)])
         sized = tables.write(sized, "sized")
-        sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST + 1).collect()}
-        if len(sizes) > MOST:
+        found = sized.groupBy("source", "own").agg(F.sum("size").alias("size")).limit(MOST + 1).collect()
+        if len(found) > MOST:
             raise ValueError(f"more than {MOST} sources")
+        sizes = {r["source"]: r["size"] for r in found}
         target = targets(list(sizes.items()), share * sum(sizes.values()), weights)
         quota = {s: round(t) for s, t in target.items()}
+        owns = sorted(((r["own"], r["source"]) for r in found), key=lambda x: x[0])
         # the sources of each text; those of one source need no lookup
         texts = sized.where("t0 is not null").groupBy("t0", "t1").agg(F.array_sort(F.collect_set("own")).alias("sources"), F.max("size").alias("size"), F.count("*").alias("n"))
         texts = tables.write(texts.select("t0", "t1", F.when(F.size("sources") > 1, F.xxhash64("sources")).otherwise(F.col("sources")[0]).alias("pattern"), (F.size("sources") > 1).alias("several"), "size", "n"), "texts")
         shared = texts.where("several").select("t0", "t1", "pattern", "n")
         rows = common.spread_join(sized, shared, ["t0", "t1"], sized.count()).withColumn("pattern", F.coalesce("pattern", "own"))
         rows = tables.write(rows.select("id", "source", "own", "size", "u", "pattern"), "rows")
-        cells = rows.groupBy("pattern", "own", "source").agg(F.sum("size").alias("size")).limit(MOST + 1).collect()
-        if len(cells) > MOST:
-            rows = rows.withColumn("pattern", F.col("own"))
-            cells = rows.groupBy("pattern", "own", "source").agg(F.sum("size").alias("size")).collect()  # one for each source
-            unique = {r["pattern"]: r["size"] for r in cells}
-        else:
-            alone = sized.where("t0 is null").groupBy(F.col("own").alias("pattern")).agg(F.sum("size").alias("size"))
-            held = texts.groupBy("pattern").agg(F.sum("size").alias("size")).unionAll(alone).groupBy("pattern").agg(F.sum("size").alias("size"))
-            unique = {r["pattern"]: r["size"] for r in held.collect()}  # no more than cells
-        amount = flow(unique, {(r["pattern"], r["source"]): PASSES * r["size"] for r in cells}, quota)
-        plan = [(r["pattern"], r["own"], *divmod(amount[r["pattern"], r["source"]], r["size"])) for r in cells if r["size"]]
-        plan = spark.createDataFrame(plan, "pattern long, own long, passes long, rest long").withColumn("key", F.xxhash64("own", "pattern"))
-        plan = F.broadcast(plan)  # at most MOST rows
-        some = rows.join(plan, ["pattern", "own"], "left")
-        edges = chosen(some.where("rest > 0").select("key", "id", "u", "size"), plan.select("key", "rest"))
-        some = some.join(F.broadcast(edges), "key", "left").withColumn("passes", F.coalesce(F.col("passes") + F.when(F.col("u") <= F.col("edge"), 1).otherwise(0), F.lit(0)))
+        cells = rows.groupBy("pattern", "own").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("pattern", "own").toArrow()
+        alone = sized.where("t0 is null").groupBy(F.col("own").alias("pattern")).agg(F.sum("size").alias("size"))
+        held = texts.groupBy("pattern").agg(F.sum("size").alias("size")).unionAll(alone).groupBy("pattern").agg(F.sum("size").alias("size"))
+        unique = held.orderBy("pattern").toArrow()  # no more than cells
+        p, o, z, many = (cells[c].to_numpy() for c in ("pattern", "own", "size", "n"))
+        amount = np.array(flows(zip(unique["pattern"].to_numpy().tolist(), unique["size"].to_numpy().tolist()), zip(p.tolist(), o.tolist(), (PASSES * z).tolist()), {own: quota[s] for own, s in owns}), dtype=np.int64)
+        with_words = z > 0
+        p, o, z, many, amount = (x[with_words] for x in (p, o, z, many, amount))
+        n = len(p)
+        plan = spark.createDataFrame(pa.table({"pattern": p, "own": o, "passes": amount // z, "rest": amount % z, "n": many}), "pattern long, own long, passes long, rest long, n long").withColumn("key", F.xxhash64("own", "pattern"))
+        some = rows.join(F.broadcast(plan.drop("n")), ["pattern", "own"], "left") if n <= MOST else common.spread_join(rows, plan, ["pattern", "own"], sized.count())
+        edges = chosen(some.where("rest > 0").select("key", "id", "u", "size"), plan.select("key", "rest"), n)
+        some = some.join(small(edges, n), "key", "left").withColumn("passes", F.coalesce(F.col("passes") + F.when(F.col("u") <= F.col("edge"), 1).otherwise(0), F.lit(0)))
         some = some.select("id", "source", "own", "size", "passes", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "u"), 1).alias("u"))
         some = tables.write(some, "first")
         # what rounding to rows left of each source's quota
@@ -200,7 +226,7 @@ def mix(docs: DataFrame, id_col: str, size: Column, source: Column, same: Column
         gaps = [(own, abs(quota[s] - n), 1 if quota[s] > n else -1) for s, (own, n) in taken.items()]
         gaps = F.broadcast(spark.createDataFrame(gaps, "key long, rest long, sign int"))  # at most MOST sources
         open_ = some.withColumnRenamed("own", "key").join(gaps, "key").where((F.col("sign") > 0) & (F.col("passes") < PASSES) | (F.col("sign") < 0) & (F.col("passes") > 0))
-        edges = chosen(open_.select("key", "id", "u", "size"), gaps.select("key", "rest"))
+        edges = chosen(open_.select("key", "id", "u", "size"), gaps.select("key", "rest"), len(taken))
         ends = F.broadcast(gaps.join(F.broadcast(edges), "key").select(F.col("key").alias("own"), "sign", "edge"))
         moved = F.col("passes") + F.when(F.col("u") <= F.col("edge"), F.col("sign")).otherwise(0)
         out = some.join(ends, "own", "left").select("id", "source", "size", (F.col("size") * F.greatest(F.lit(0), F.least(F.lit(PASSES), moved))).cast("long").alias("taken"))
