@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def items(findings: DataFrame) -> DataFrame:
     return per_document.groupBy(*KEY).agg(F.min_by("value", "seq").alias("value"), in_order("document_id").alias("document_ids"), F.sum("n_attributes").alias("n_attributes"))
 
 
+def first_items(findings: DataFrame) -> DataFrame:
+    """One row for each product, category and normalised value: the first value and its place. One aggregate, without documents."""
+    return findings.groupBy(*KEY).agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+
+
 def aggregated(findings: DataFrame) -> DataFrame:
     """As items, but documents stay with their repetitions and evidence is summed."""
     return findings.groupBy(*KEY).agg(F.min_by("value", "seq").alias("value"), in_order("document_id").alias("documents"), F.sum("evidence").alias("n_evidence"))
@@ -80,28 +86,57 @@ def clean_clusters(clusters: list, count: int) -> list[list[int]]:
 
 
 def cluster(rollup: DataFrame, judge: Callable[[str, list[str]], list[list[int]]]) -> DataFrame:
-    """Numbers the clusters of each product and category by a judge; where it raises, every item stands alone."""
+    """Numbers the clusters of each product and category by a judge; where it raises, every item stands alone.
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq").reset_index(drop=True)
+    A task goes through its groups in order and holds one batch and the group at its end: a call of Python for each
+    group would cost milliseconds. Other columns pass as they are.
+    """
+
+    def numbers(category: str, values: list[str]) -> list[int]:
         try:
-            groups = clean_clusters(judge(part["category"][0], part["value"].tolist()), len(part))
-        except Exception:
-            groups = [[i] for i in range(len(part))]
+            groups = clean_clusters(judge(category, values), len(values))
+        except Exception:  # an outside judge: whatever it raises, no item is lost
+            groups = [[i] for i in range(len(values))]
         place = {i: k for k, g in enumerate(groups) for i in g}
-        return part.assign(cluster=[place[i] for i in range(len(part))])
-
-    kept = rollup.select("product_id", "category", "value", "seq", "document_ids")
+        return [place[i] for i in range(len(values))]
+
+    def numbered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out: list[int] = []
+        keys = zip(rows["product_id"].to_pylist(), rows["category"].to_pylist(), rows["value"].to_pylist())
+        for (_, category), own in groupby(keys, key=lambda x: x[:2]):
+            out += numbers(category, [value for *_, value in own])
+        yield from rows.append_column("cluster", pa.array(out, pa.int32())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            products, categories = rows["product_id"], rows["category"]
+            last, start = (products[-1], categories[-1]), rows.num_rows - 1
+            while start and (products[start - 1], categories[start - 1]) == last:
+                start -= 1
+            if held and (start or (held[0]["product_id"][0], held[0]["category"][0]) != last):
+                yield from numbered(pa.concat_tables([*held, rows.slice(0, start)]).combine_chunks())
+                held = []
+            elif start:
+                yield from numbered(rows.slice(0, start))
+            held.append(rows.slice(start))
+        if held:
+            yield from numbered(pa.concat_tables(held).combine_chunks())
+
+    kept = rollup.select("product_id", "category", "value", "seq", *[c for c in ("document_ids",) if c in rollup.columns])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", cluster int"
-    return kept.groupBy("product_id", "category").applyInPandas(one, schema)
+    return kept.repartition("product_id", "category").sortWithinPartitions("product_id", "category", "seq").mapInArrow(run, schema)
 
 
 def merge_clusters(clustered: DataFrame) -> DataFrame:
-    """One item for each cluster: its longest value (the first of those), all documents in order, all normalised values."""
+    """One item for each cluster: its longest value (the first of those), all documents in order if given, all normalised values."""
     keys = ["product_id", "category", "cluster"]
-    flat = F.array_distinct(F.flatten(in_order("document_ids")))
+    flat = [F.array_distinct(F.flatten(in_order("document_ids"))).alias("document_ids")] if "document_ids" in clustered.columns else []
     members = F.array_distinct(F.transform(in_order("value"), text.normalize_value))
-    return clustered.groupBy(*keys).agg(F.max_by("value", F.struct(F.length("value"), -F.col("seq"))).alias("value"), flat.alias("document_ids"), members.alias("member_values"))
+    return clustered.groupBy(*keys).agg(F.max_by("value", F.struct(F.length("value"), -F.col("seq"))).alias("value"), *flat, members.alias("member_values"))
 
 
 def strongest_attributes(findings: DataFrame, most: int = MOST_ATTRIBUTES) -> DataFrame:
