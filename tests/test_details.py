@@ -99,3 +99,13 @@ def test_validated_append_and_admission(spark):
     urls = spark.createDataFrame([("https://a.com/x", 1), ("http://a.com/x", 1), ("https://a.com/x.png", 1), ("https://staging.a.com/", 1), ("https://b.com/", 1), ("https://a.com/", 9)], "u string, d int")
     reason = products.admit_url(F.col("u"), F.col("d"), F.array(F.lit("a.com")), F.array(F.lit("bad.com")))
     assert [r[0] for r in urls.select(reason).collect()] == [None, "scheme", "asset", "mirror", "other_domain", "too_deep"]
+
+
+def test_merges_are_dealt_to_tasks_of_bounded_rows(spark):
+    from vellum.operators import merge
+
+    own = spark.range(4000).selectExpr("id % 1000 AS document_id", "id AS seq", "concat('v', id % 7) AS value", "'material' AS materiality")
+    cut = merge.dealt(own, rows=100)
+    assert cut.rdd.getNumPartitions() == 40 and cut.count() == 4000
+    merged = merge.merge_field(merge.keyed(cut, "text_items"), "text_items").groupBy("document_id").count()
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and merged.count() == 1000
