@@ -155,6 +155,21 @@ def test_workspace_is_under_the_shared_folder(spark):
     assert "vellum-x-" in workspace(spark, "x")
 
 
+def test_a_batch_of_pages_is_judged_once(spark, tmp_path):
+    body = "words of a page that is long enough to stay " * 10
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        asked.add(1)
+        return text
+
+    pages = spark.createDataFrame([(i, f"{body} {i % 5}", "a") for i in range(40)], "doc_id long, text string, source string")
+    pages_store = store.PageStore(spark, f"{tmp_path}/s", 4)
+    pages_store.write(pages.withColumn("text", counted.asNondeterministic()("text")), 0)
+    assert sum(r[3] for r in stored(pages_store.table)) == 40 and asked.value == 40
+
+
 class Held:
     """The state store of one bucket, which counts how often it is asked."""
 

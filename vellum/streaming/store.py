@@ -49,7 +49,14 @@ class PageStore:
     def write(self, batch: DataFrame, number: int) -> None:
         if self.table.manifest()["applied"].get("pages", -1) >= number:
             return
-        pages = batch.sparkSession.createDataFrame([], "doc_id long, owner string, key string").unionByName(admitted(batch))
+        pages = batch.sparkSession.createDataFrame([], "doc_id long, owner string, key string").unionByName(admitted(batch)).persist()
+        try:
+            self.store(pages, number)
+        finally:
+            pages.unpersist()
+
+    def store(self, pages: DataFrame, number: int) -> None:
+        """Takes in a batch's admitted pages, which are looked at several times: texts are read and judged once."""
         own = pages.groupBy("key").agg(F.first("owner").alias("owner"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
         known = self.table.lookup(own).select("key", F.lit(True).alias("known"))
         first = own.select("key", F.col("doc_id").alias("first")).join(known, "key", "left")
