@@ -53,3 +53,17 @@ def test_spread(spark):
     assert all(len(c) <= 8000 for _, c in found[4])
     assert found[4][-1][1] == "# b\nend" and found[4][1][0] == found[4][0][0] + len(found[4][0][1]) - 800
     assert chunks.spread(spark.createDataFrame(rows[:0], "id long, text string"), "id", "text").select(F.col("chunk")).count() == 0
+
+
+def test_spans_of_a_batch_hold_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", *(f"# Head {i}\n" + "word. " * 4000 for i in range(200))])
+    tracemalloc.start()
+    found = chunks.placed_spans(texts, 8000, 800)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [[{"begin": a, "end": b} for a, b in chunks.spans(t, 8000, 800)] if t else [] for t in texts.to_pylist()]
+    assert most < 1 << 20 < texts.nbytes

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +96,18 @@ def spans(text: str, size: int = 8000, overlap: int = 800) -> list[tuple[int, in
     return out
 
 
+def placed_spans(texts: pa.Array, size: int, overlap: int) -> pa.Array:
+    """The spans of each text as a list of (begin, end). One text at a time is a string; what is found stays in flat arrays."""
+    offsets, begins, ends = array("i", [0]), array("i"), array("i")
+    for t in texts:
+        for a, b in spans(t.as_py() or "", size, overlap):
+            begins.append(a)
+            ends.append(b)
+        offsets.append(len(begins))
+    of = lambda x: pa.array(np.frombuffer(x, np.int32) if x else [], pa.int32())
+    return pa.ListArray.from_arrays(of(offsets), pa.StructArray.from_arrays([of(begins), of(ends)], ["begin", "end"]))
+
+
 def spread(docs: DataFrame, id_col: str, text_col: str, size: int = 8000, overlap: int = 800) -> DataFrame:
     """(id, seq, begin, chunk) of each text's spans; a null or empty text has none.
 
@@ -102,8 +116,7 @@ def spread(docs: DataFrame, id_col: str, text_col: str, size: int = 8000, overla
 
     @F.arrow_udf("array<struct<begin:int,end:int>>")
     def places(texts: pa.Array) -> pa.Array:
-        rows = [[{"begin": a, "end": b} for a, b in spans(t, size, overlap)] if t else [] for t in texts.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+        return placed_spans(texts, size, overlap)
 
     own = F.col(text_col)
     even = F.when(own.rlike(r"(?m)^#{1,6}\s+"), own).otherwise(F.regexp_replace(own, r"\n{2,}", "\n\n"))
