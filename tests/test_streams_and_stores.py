@@ -243,3 +243,21 @@ def test_state_is_asked_for_buckets_not_for_keys(spark):
         want += [(key, *r) for r in life.replay(fold, None, [(at, v) for at, _, v in own], 10**12)[1]]
     assert sorted(out, key=str) == sorted(want, key=str) and not store_.timers
     assert store_.asked < 100  # 7 calls, 2000 keys
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    from vellum.plans import lifecycles
+
+    kind = "event_id long, ts timestamp, user_id long, event_type string"
+    rows = [(i, DAY + timedelta(minutes=7 * i), i % 5, ("view", "click", "signup", "purchase", "error")[i * i % 5]) for i in range(240)]
+    for i in range(8):
+        spark.createDataFrame(rows[i::8], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    name = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(lifecycles, "workspace", lambda *_: f"{tmp_path}/fold")
+    fold = life.Lifecycle(3600)
+    out = lifecycles.folded_events(spark, str(tmp_path), fold)
+    want = life.batch_replay(lifecycles.job_events(spark.createDataFrame(rows, kind)), fold, F.lit(4102444800000000))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert len(list((tmp_path / "fold" / "out").glob("batch=*"))) <= 4  # the files, the time after them, and what each makes due
+    assert spark.conf.get(name, None) == before

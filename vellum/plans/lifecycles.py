@@ -77,6 +77,8 @@ def agg29_merged_usage(spark, sf_dir):
 
 #: An event's job is its user's day, its status follows from its kind; errors end jobs in ten ways.
 STALL, FRESH = 6 * 3600, 24 * 3600
+#: Bytes of files that a batch of the stream takes: a batch has a fixed cost in each partition of the state, a file has none.
+BATCH_BYTES = 256 << 20
 ENDED = "[" + ", ".join(f"'{x}'" for x in life.ENDS) + "]"
 EVENTS = f"""
 e AS (
@@ -93,9 +95,9 @@ def job_events(events):
 
 
 def folded_events(spark, sf_dir, fold, select=job_events, late="40 days"):
-    """The fold of the events table as a stream, file by file, then of the time after it. Files come in any order, so lateness spans them."""
+    """The fold of the events table as a stream, some files at a time, then of the time after it. Files come in any order, so lateness spans them."""
     out = streams.FoldedEvents(spark, workspace(spark, "fold"), fold, late)
-    rows = select(streams.table_stream(spark, sf_dir, "events"))
+    rows = select(streams.table_stream(spark, sf_dir, "events", bytes_per_trigger=BATCH_BYTES))
     out.run(rows)
     out.advance(datetime(2100, 1, 1))
     out.run(rows)

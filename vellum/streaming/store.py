@@ -15,12 +15,16 @@ from . import lifecycle
 STORED = "key string, owner string, doc_id long, n_docs long"
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A Parquet table of a folder as a stream, be it one file or a folder of files."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table of a folder as a stream, be it one file or a folder of files.
+
+    A batch takes so many files, or, if bytes_per_trigger is given, files until they have so many bytes.
+    """
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema).option(*limit)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
@@ -83,16 +87,18 @@ class FoldedEvents:
         spark.createDataFrame([], self.schema).write.mode("append").parquet(self.clock)
 
     def run(self, events: DataFrame) -> None:
-        spark, name = self.spark, "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(name, None)
-        spark.conf.set(name, lifecycle.PROVIDER)
+        spark = self.spark
+        before = {name: spark.conf.get(name, None) for name in lifecycle.STORE}
+        for name, value in lifecycle.STORE.items():
+            spark.conf.set(name, value)
         clock = spark.readStream.schema(self.schema).parquet(self.clock)
         both = events.select("key", "ts", "tie", "value").unionByName(clock)
         keep = lambda batch, number: batch.where("key <> -1").write.mode("overwrite").parquet(f"{self.path}/out/batch={number:012d}")
         try:
             lifecycle.folded(both, self.fold, self.late).writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         finally:
-            spark.conf.set(name, before) if before else spark.conf.unset(name)
+            for name, value in before.items():
+                spark.conf.set(name, value) if value else spark.conf.unset(name)
 
     def advance(self, to) -> None:
         """Tells the stream that time has come so far, by an event of the key -1; the next run raises what fell due."""
