@@ -573,3 +573,10 @@ def test_mix_is_the_same_at_any_number_of_patterns(spark, documents, monkeypatch
     few = taken()
     monkeypatch.setattr(op5_mix, "MOST", 25)
     assert few == taken()
+
+
+def test_mix_is_the_same_at_any_number_of_sources(spark, monkeypatch):
+    few = sorted(map(tuple, op5_mix.op5_mix(spark, SF).collect()))
+    monkeypatch.setattr(op5_mix, "MOST", 1)
+    monkeypatch.setattr(op5_mix.common, "HOT_ROWS", 20)
+    assert few and few == sorted(map(tuple, op5_mix.op5_mix(spark, SF).collect()))

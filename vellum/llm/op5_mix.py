@@ -9,9 +9,9 @@ rows, and the rest to rows in the order of a seeded hash, whose cut is found by
 finer, so no source is sorted in one task. What rounding to rows leaves of a source's target is then settled likewise
 over the whole source.
 
-Only patterns by source and sources reach the driver, as arrays (some 200 bytes for each pattern by source), whatever
-their number: the flow is the same at any size. Above MOST of them, tables of them meet rows by shuffles and not by
-broadcasts, which changes no result. More than MOST sources are refused.
+Only patterns by source and sources reach the driver (patterns as arrays, some 200 bytes for each one by source),
+whatever their number: the flow is the same at any size. Above MOST of them, tables of them meet rows by shuffles and
+not by broadcasts, which changes no result.
 
 Defined results: a null text has size 0; sizes of 0 are never taken; a null source is a source of its own, last in
 order; null texts share nothing; repeated rows share a hash and stand next to each other in the order; no documents
@@ -166,6 +166,11 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MOST else df
 
 
+def meet(rows: DataFrame, table: DataFrame, on: list[str], n: int, total: int) -> DataFrame:
+    """Left join of rows, total of them, to a table of n rows that is unique by on and has n, its number of rows of that key (dropped)."""
+    return rows.join(F.broadcast(table.drop("n")), on, "left") if n <= MOST else common.spread_join(rows, table, on, total)
+
+
 def chosen(rows: DataFrame, quotas: DataFrame, n: int) -> DataFrame:
     """(key, edge): rows (key, u, size) with u up to edge make about the rest words of the n quotas (key, rest)."""
     some = rows.where("size > 0").join(small(quotas.where("rest > 0"), n), "key")
@@ -193,18 +198,17 @@ def mix(docs: DataFrame, id_col: str, size: Column, source: Column, same: Column
     with common.Scratch(spark) as tables:
         sized = docs.select(F.col(id_col).alias("id"), source.alias("source"), own.alias("own"), size.alias("size"), hashed.alias("u"), *[F.when(same.isNotNull() if same is not None else F.lit(False), c).alias(f"t{i}") for i, c in enumerate(both)])
         sized = tables.write(sized, "sized")
-        found = sized.groupBy("source", "own").agg(F.sum("size").alias("size")).limit(MOST + 1).collect()
-        if len(found) > MOST:
-            raise ValueError(f"more than {MOST} sources")
+        found = sized.groupBy("source", "own").agg(F.sum("size").alias("size")).collect()
         sizes = {r["source"]: r["size"] for r in found}
         target = targets(list(sizes.items()), share * sum(sizes.values()), weights)
         quota = {s: round(t) for s, t in target.items()}
         owns = sorted(((r["own"], r["source"]) for r in found), key=lambda x: x[0])
+        total = sized.count()
         # the sources of each text; those of one source need no lookup
         texts = sized.where("t0 is not null").groupBy("t0", "t1").agg(F.array_sort(F.collect_set("own")).alias("sources"), F.max("size").alias("size"), F.count("*").alias("n"))
         texts = tables.write(texts.select("t0", "t1", F.when(F.size("sources") > 1, F.xxhash64("sources")).otherwise(F.col("sources")[0]).alias("pattern"), (F.size("sources") > 1).alias("several"), "size", "n"), "texts")
         shared = texts.where("several").select("t0", "t1", "pattern", "n")
-        rows = common.spread_join(sized, shared, ["t0", "t1"], sized.count()).withColumn("pattern", F.coalesce("pattern", "own"))
+        rows = common.spread_join(sized, shared, ["t0", "t1"], total).withColumn("pattern", F.coalesce("pattern", "own"))
         rows = tables.write(rows.select("id", "source", "own", "size", "u", "pattern"), "rows")
         cells = rows.groupBy("pattern", "own").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("pattern", "own").toArrow()
         alone = sized.where("t0 is null").groupBy(F.col("own").alias("pattern")).agg(F.sum("size").alias("size"))
@@ -216,20 +220,20 @@ def mix(docs: DataFrame, id_col: str, size: Column, source: Column, same: Column
         p, o, z, many, amount = (x[with_words] for x in (p, o, z, many, amount))
         n = len(p)
         plan = spark.createDataFrame(pa.table({"pattern": p, "own": o, "passes": amount // z, "rest": amount % z, "n": many}), "pattern long, own long, passes long, rest long, n long").withColumn("key", F.xxhash64("own", "pattern"))
-        some = rows.join(F.broadcast(plan.drop("n")), ["pattern", "own"], "left") if n <= MOST else common.spread_join(rows, plan, ["pattern", "own"], sized.count())
+        some = meet(rows, plan, ["pattern", "own"], n, total)
         edges = chosen(some.where("rest > 0").select("key", "id", "u", "size"), plan.select("key", "rest"), n)
         some = some.join(small(edges, n), "key", "left").withColumn("passes", F.coalesce(F.col("passes") + F.when(F.col("u") <= F.col("edge"), 1).otherwise(0), F.lit(0)))
         some = some.select("id", "source", "own", "size", "passes", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "u"), 1).alias("u"))
         some = tables.write(some, "first")
         # what rounding to rows left of each source's quota
-        taken = {r["source"]: (r["own"], r["n"]) for r in some.groupBy("source", "own").agg(F.sum(F.col("size") * F.col("passes")).alias("n")).collect()}
-        gaps = [(own, abs(quota[s] - n), 1 if quota[s] > n else -1) for s, (own, n) in taken.items()]
-        gaps = F.broadcast(spark.createDataFrame(gaps, "key long, rest long, sign int"))  # at most MOST sources
-        open_ = some.withColumnRenamed("own", "key").join(gaps, "key").where((F.col("sign") > 0) & (F.col("passes") < PASSES) | (F.col("sign") < 0) & (F.col("passes") > 0))
+        taken = some.groupBy("source", "own").agg(F.sum(F.col("size") * F.col("passes")).alias("taken"), F.count("*").alias("n")).collect()
+        gaps = [(r["own"], abs(quota[r["source"]] - r["taken"]), 1 if quota[r["source"]] > r["taken"] else -1, r["n"]) for r in taken]
+        gaps = spark.createDataFrame(gaps, "key long, rest long, sign int, n long")
+        open_ = meet(some.withColumnRenamed("own", "key"), gaps, ["key"], len(taken), total).where((F.col("sign") > 0) & (F.col("passes") < PASSES) | (F.col("sign") < 0) & (F.col("passes") > 0))
         edges = chosen(open_.select("key", "id", "u", "size"), gaps.select("key", "rest"), len(taken))
-        ends = F.broadcast(gaps.join(F.broadcast(edges), "key").select(F.col("key").alias("own"), "sign", "edge"))
+        ends = gaps.join(small(edges, len(taken)), "key").select(F.col("key").alias("own"), "sign", "edge", "n")
         moved = F.col("passes") + F.when(F.col("u") <= F.col("edge"), F.col("sign")).otherwise(0)
-        out = some.join(ends, "own", "left").select("id", "source", "size", (F.col("size") * F.greatest(F.lit(0), F.least(F.lit(PASSES), moved))).cast("long").alias("taken"))
+        out = meet(some, ends, ["own"], len(taken), total).select("id", "source", "size", (F.col("size") * F.greatest(F.lit(0), F.least(F.lit(PASSES), moved))).cast("long").alias("taken"))
         tables.keep("first")
         # the small tables that the result still reads
         tables.keep("rows")
@@ -240,7 +244,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out, sizes, target = mix(docs, "doc_id", words(F.col("text")), F.col("source"), same=F.col("text"))
     known = spark.createDataFrame([(s, sizes[s], target[s]) for s in sizes], "source string, source_size long, target double")
-    known = F.broadcast(known.withColumnRenamed("source", "own"))  # at most MOST sources
+    known = small(known.withColumnRenamed("source", "own"), len(sizes))
     return out.join(known, out.source.eqNullSafe(known.own)).select("doc_id", "size", "source_size", "target", "taken")
 
 
