@@ -95,3 +95,17 @@ def test_groups_share_a_call_of_python(spark):
         assert got.where(F.col("cluster") != F.col("seq") % 3).count() == 0 and got.count() == sum(sizes)
     finally:
         spark.conf.set(name, before)
+
+
+def test_findings_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        read.add(1)
+        return value
+
+    rows = [(i % 2, clusters.NARRATIVE[0], f"v{i} w{i % 3}", f"v{i} w{i % 3}", i) for i in range(40)]
+    found = spark.createDataFrame(rows, "product_id long, category string, value string, normalized_value string, seq long").withColumn("value", counted.asNondeterministic()("value"))
+    got = clusters.consolidate(rollup.first_items(found), by_last(), clusters.NARRATIVE, size=8)
+    assert got.groupBy("product_id", "cluster").count().count() == 6 and read.value == len(rows)

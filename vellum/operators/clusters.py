@@ -82,8 +82,11 @@ def judged(items: DataFrame, group: list[str], judge: Judge, category: str, size
 
 
 def consolidate(rolled: DataFrame, judge: Judge, categories: tuple[str, ...], size: int = BLOCK) -> DataFrame:
-    """rolled (KEY, value, ...) with cluster; only items of the categories are judged."""
-    keyed = rolled.withColumn("item_", F.xxhash64(*KEY))
+    """rolled (KEY, value, ...) with cluster; only items of the categories are judged.
+
+    Items are looked at many times, so they are rolled up once and kept as a checkpoint: what they are rolled from is read once.
+    """
+    keyed = settled(rolled.withColumn("item_", F.xxhash64(*KEY)))
     own = keyed.where(F.col("category").isin(*categories)).select("product_id", "category", F.col("item_").alias("id"), "value")
     found = judged(own, ["product_id", "category"], judge, "category", size)
     return keyed.join(found.withColumnRenamed("id", "item_"), "item_", "left").withColumn("cluster", F.coalesce("cluster", "item_")).drop("item_")
