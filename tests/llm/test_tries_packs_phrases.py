@@ -236,6 +236,30 @@ def test_phrase_sums_over_small_batches():
     assert summed(one) == summed(many)
 
 
+def test_windows_are_handed_back_in_parts():
+    rows = phrase_rows()
+    docs = pa.array([r[0] or "und" for r in rows]), pa.array([r[1] or "" for r in rows])
+    parts = list(op13_phrases.window_batches(*docs, 3, 100))
+    assert len(parts) > 10 and max(b.num_rows for b in parts) <= 100
+    whole = op13_phrases.lead_windows(*docs, 3)
+    assert [r for b in parts for r in b.to_pylist()] == whole.to_pylist()
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 200, 1, 1).select(F.lit("en").alias("lang"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    with op13_phrases.common.small_batches(spark, 100_000):
+        assert max(r["n"] for r in sizes.collect()) < 200_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_windows_grow_with_the_documents():
+    docs = [pa.array(["en"] * 50), pa.array([" ".join(f"d{i}w{j}" for j in range(40)) for i in range(50)])]
+    again = [pa.array(["en"] * 250), pa.array([" ".join(f"d{i}w{j}" for j in range(40)) for i in range(250)])]
+    assert [op13_phrases.lead_windows(*x, 3).num_rows for x in (docs, again)] == [2000, 10_000]
+
+
 def test_phrases_exact_and_empty(spark):
     assert collected(spark, []) == []
     assert collected(spark, [("en", "?!"), (None, None)]) == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -73,6 +74,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 * SLICE_BYTES) -> Iterator[None]:
+    """What runs in this block hands texts to Python in Arrow batches of about so many bytes, which JVM and worker both hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Keys with more rows than this, and than total / HOT_KEYS, are hot: at most HOT_KEYS of them exist.
 HOT_ROWS, HOT_KEYS = 1024, 200_000
 

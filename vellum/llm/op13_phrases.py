@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters whose windows are counted together, and rows in a batch handed back.
-BUFFER, ROWS = 5 << 20, 1 << 16
+#: Characters whose windows are counted together, and rows in a batch handed back. What a buffer takes counts for each
+#: core of an executor, beside the JVM: codes of about 100 bytes a word, and strings of ROWS windows.
+BUFFER, ROWS = 3 << 20, 1 << 16
 #: Heads with more than a HOT-th of the windows of about SAMPLE documents have their last words dealt to DEALT tasks.
 HOT, SAMPLE, DEALT = 512, 1_000, 64
 #: Pieces end at these; one of them stands for all, since no word holds it.
@@ -51,45 +52,57 @@ def stretches(text: str, size: int = BUFFER) -> Iterator[str]:
     yield text[start:]
 
 
-def lead_windows(langs: pa.Array, texts: pa.Array, longest: int) -> pa.RecordBatch:
-    """(window, n): the distinct windows of texts, in order, and how often each occurs.
+def window_batches(langs: pa.Array, texts: pa.Array, longest: int, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """(window, n): the distinct windows of texts, in order, and how often each occurs, so many rows at a time.
 
     A window is its head, a tab and its last word. The head holds the other words and the language, joined by spaces;
-    pads are empty words.
+    pads are empty words. Windows are numbers until their batch is handed back.
     """
     marked = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, f" {MARK} ")
     ended = pc.binary_join_element_wise(pc.replace_substring(marked, "\t", " "), MARK, " ")
     lists = pc.split_pattern(ended, " ")
+    sizes = np.diff(np.asarray(lists.offsets))
     tokens = lists.flatten().dictionary_encode()
+    del marked, ended, lists
     by_bytes = pc.sort_indices(tokens.dictionary)
     words = tokens.dictionary.take(by_bytes)
-    place = np.empty(len(words), np.int64)
-    place[by_bytes.to_numpy()] = np.arange(len(words))
+    place = np.empty(len(words), np.int32)
+    place[by_bytes.to_numpy()] = np.arange(len(words), dtype=np.int32)
     code = place[tokens.indices.to_numpy(zero_copy_only=False)]
     lang = langs.dictionary_encode()
-    lang_code = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.asarray(lists.offsets)))
+    lang_code = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int32), sizes)
+    del tokens
     kept = code != pc.index(words, "").as_py()
     code, lang_code = code[kept], lang_code[kept]
     pad = pc.index(words, MARK).as_py()
     starts = np.flatnonzero(code != pad)
-    padded = np.concatenate([code, np.full(longest, pad)])
-    columns = [code[starts]]
+    padded = np.concatenate([code, np.full(longest, pad, np.int32)])
+    columns, lang_code = [code[starts]], lang_code[starts]
     for j in range(1, longest):
-        columns.append(np.where(columns[-1] == pad, pad, padded[starts + j]))  # nothing follows a piece's end
+        columns.append(np.where(columns[-1] == pad, np.int32(pad), padded[starts + j]))  # nothing follows a piece's end
+    del code, kept, padded
     key, size = np.zeros(len(starts), np.int64), 1
-    for column, wide in [*((c, len(words)) for c in columns[:-1]), (lang_code[starts], len(lang.dictionary)), (columns[-1], len(words))]:
+    for column, wide in [*((c, len(words)) for c in columns[:-1]), (lang_code, len(lang.dictionary)), (columns[-1], len(words))]:
         if size * wide >= 1 << 62:
             distinct, key = np.unique(key, return_inverse=True)
             size = len(distinct)
         key, size = key * wide + column, size * wide
     order = np.argsort(key)
     first = np.flatnonzero(np.diff(key[order], prepend=-1))
-    at = order[first]
+    at, n = order[first], np.diff(first, append=len(order))
+    del key, order, first, starts
     empty = pc.if_else(pc.equal(words, MARK), "", words)
-    lead = [empty.take(pa.array(c[at])) for c in columns]
-    head = pc.binary_join_element_wise(*lead[:-1], lang.dictionary.take(pa.array(lang_code[starts][at])), " ")
-    window = pc.binary_join_element_wise(head, lead[-1], "\t")
-    return pa.RecordBatch.from_arrays([window, pa.array(np.diff(first, append=len(order)))], names=["window", "n"])
+    for i in range(0, len(at), rows):
+        own = at[i : i + rows]
+        lead = [empty.take(pa.array(c[own])) for c in columns]
+        head = pc.binary_join_element_wise(*lead[:-1], lang.dictionary.take(pa.array(lang_code[own])), " ")
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(head, lead[-1], "\t"), pa.array(n[i : i + rows])], names=["window", "n"])
+
+
+def lead_windows(langs: pa.Array, texts: pa.Array, longest: int) -> pa.RecordBatch:
+    """All of window_batches in one."""
+    columns = list(zip(*(b.columns for b in window_batches(langs, texts, longest))))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns] or [pa.array([], pa.string()), pa.array([], pa.int64())], names=["window", "n"])
 
 
 def windows(docs: DataFrame, longest: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -101,9 +114,8 @@ def windows(docs: DataFrame, longest: int, lang_col: str = "lang", text_col: str
         held = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            out = lead_windows(pa.array(langs, pa.string()), pa.array(texts, pa.string()), longest)
-            for at in range(0, out.num_rows, ROWS):
-                yield out.slice(at, ROWS)
+            yield from window_batches(pa.array(langs, pa.string()), pa.array(texts, pa.string()), longest, ROWS)
+            pa.default_memory_pool().release_unused()  # else the worker keeps its largest buffer while the JVM sorts
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
@@ -225,7 +237,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     cent of its occurrences; top: rows for each language. The result reads the table of counts, which stays.
     """
     counts = prefix_counts(docs, longest, least, lang_col=lang_col, text_col=text_col)
-    counts = common.materialize(counts.withColumn("phrase", _joined("words")), "phrases")
+    with common.small_batches(docs.sparkSession):
+        counts = common.materialize(counts.withColumn("phrase", _joined("words")), "phrases")
     phrases = counts.where("size(words) > 1")
     cut = phrases.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", _joined(F.slice("words", 1, F.col("k"))).alias("left"), _joined(F.slice("words", F.col("k") + 1, F.size("words"))).alias("right"))
