@@ -161,6 +161,32 @@ def test_long_texts_are_encoded_as_whole():
     assert np.array_equal(op12_curve.encoded(pa.array([text]), encode)[0], encode(pa.array([text]))[0])
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    words = ["the", "straße", "étéîäëïöüÿ", "xqzzt", "aaaaaaaaaaaaaaaaa"]
+    library = op6_wavelet.tokenizer(op6_wavelet.default_tokenizer())
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+
+    class Texts:
+        def encode_batch_fast(self, texts, **_):
+            raise AssertionError(texts)
+
+    encode = op6_wavelet.Encoder(op6_wavelet.default_tokenizer(), 2)
+    monkeypatch.setattr(op6_wavelet, "tokenizer", lambda path: Texts())
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encode.learn(words)] == want
+    with pytest.raises(AssertionError, match="don't"):
+        encode.learn(["don't"])
+    monkeypatch.undo()
+    encode.spelled = None  # as where the model alone gives other ids
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encode.learn(["other", "words"])] == [library.encode(w, add_special_tokens=False).ids for w in ("other", "words")]
+
+
+def test_buckets_are_the_hash_of_ids():
+    ids = np.array([0, 1, 2, 49_407, 70_000], np.uint32)
+    own = (op12_curve.shingles.mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(56)).astype(np.int64)
+    assert (op12_curve.buckets(1 << 17)[ids] == own).all()
+    assert op12_curve.vectors(ids[:0], np.array([0])).shape == (1, op12_curve.DIMS)
+
+
 def test_neighbours_are_alike(spark):
     rng = random.Random(1)
     topics = [[f"{a}{b}" for b in "abcdefghij"] for a in ("sun", "moon", "tree", "rock", "fish", "bird")]

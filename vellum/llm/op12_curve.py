@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, op6_wavelet, shingles
 
 BUCKETS, DIMS, BITS = 256, 4, 15
-LENGTH, LONG, PART, SLICE = 4096, 1 << 20, 1 << 18, 2 << 20
+LENGTH, LONG, PART, SLICE = 4096, 1 << 20, 1 << 18, 4 << 20
 #: Rows handed back at once.
 ROWS = 128
 _odd = re.compile(op6_wavelet.ODD)
@@ -60,25 +61,35 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@lru_cache(maxsize=1)
+def buckets(n: int) -> np.ndarray:
+    """The hashed place of each token id under n."""
+    return (shingles.mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(56)).astype(np.int64)
+
+
 def directions(dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(12).standard_normal((BUCKETS, dims))
 
 
 def vectors(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
     """A projected vector for each document."""
-    bucket = (shingles.mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(56)).astype(np.int64)
+    bucket = buckets(1 << int(ids.max(initial=1)).bit_length())[ids]
     hashed = np.bincount(np.repeat(np.arange(len(count)), count) * BUCKETS + bucket, minlength=len(count) * BUCKETS)
     v = np.log1p(hashed.reshape(len(count), BUCKETS))
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ directions()
 
 
+#: A worker's compressor and decompressor; a new one for each document costs more than its ids.
+_press, _unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def press(ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{width}").tobytes())
+    return bytes([width]) + _press.compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpress(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.uint32)
+    return np.frombuffer(_unpress.decompress(data[1:]), f"<u{data[0]}").astype(np.uint32)
 
 
 def stretches(text: str, size: int = LONG) -> Iterator[str]:
@@ -100,8 +111,9 @@ def encoded(texts: pa.Array, encode: op6_wavelet.Encoder) -> tuple[np.ndarray, n
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table (row, doc_id, part, start, doc_tokens, y, ids): pressed ids and projected vectors."""
+    """The written table (row, doc_id, part, start, doc_tokens, y0, y1, ..., ids): pressed ids and projected vectors."""
     path = path or op6_wavelet.default_tokenizer()
+    places = [f"y{i}" for i in range(DIMS)]
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         ids, count = encoded(batch.column(1), op6_wavelet.encoder(path, end))
@@ -109,29 +121,35 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = 2, id_col:
         out = []
         for i, (b, n) in enumerate(zip(ends.tolist(), count.tolist())):
             for start in range(0, n, PART):
-                out.append((names[i], start // PART, start, n, y[i].tolist(), press(ids[b - n + start : min(b, b - n + start + PART)])))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary()))]
-        return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start", "doc_tokens", "y", "ids"])]
+                out.append((names[i], start // PART, start, n, i, press(ids[b - n + start : min(b, b - n + start + PART)])))
+        own, parts, starts, totals, of, data = zip(*out)
+        numbers = [pa.array(own, pa.int64()), pa.array(parts, pa.int32()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64())]
+        columns = [*numbers, *(pa.array(c) for c in y[list(of)].T), pa.array(data, pa.binary())]
+        return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start", "doc_tokens", *places, "ids"])]
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sliced = F.monotonically_increasing_id().alias("row")
-    found = own.mapInArrow(lambda batches: (x for b in batches for part in common.slices(b, 1, SLICE) if part.num_rows for x in run(part)), "doc_id long, part int, start long, doc_tokens long, y array<double>, ids binary")
-    return common.materialize(found.select(sliced, "*"), "tokens")
+    found = own.mapInArrow(lambda batches: (x for b in batches for part in common.slices(b, 1, SLICE) if part.num_rows for x in run(part)), f"doc_id long, part int, start long, doc_tokens long, {', '.join(f'{y} double' for y in places)}, ids binary")
+    with common.small_batches(docs.sparkSession):
+        return common.materialize(found.select(sliced, "*"), "tokens")
 
 
 def curve_keys(tokens: DataFrame, dims: int = DIMS, bits: int = BITS) -> DataFrame:
     """tokens with key, their place on the curve; the grid spans all documents' means and deviations."""
-    each = [F.col("y")[i] for i in range(dims)]
+    each = [F.col(f"y{i}") for i in range(dims)]
     stats = tokens.where("part = 0").agg(*[F.avg(y).alias(f"m{i}") for i, y in enumerate(each)], *[F.stddev_pop(y).alias(f"s{i}") for i, y in enumerate(each)]).first()
     mean, deviation = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(dims)]) for k in "ms")
 
     @F.pandas_udf("long")
-    def key(y: pd.Series) -> pd.Series:
-        z = (np.array(y.tolist()).reshape(-1, dims) - mean) / np.maximum(deviation, 1e-12)
+    def key(*y: pd.Series) -> pd.Series:
+        z = (np.column_stack(y) - mean) / np.maximum(deviation, 1e-12)
         share = 0.5 + 0.5 * np.tanh(0.8 * z)  # close to the normal distribution, so cells fill evenly
         return pd.Series(hilbert(np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits))
 
-    return tokens.withColumn("key", key("y"))
+    return tokens.withColumn("key", key(*each))
+
+
+PIECE = ("doc_id", "start", "length", "doc_tokens", "offset")
 
 
 class Packer:
@@ -142,27 +160,27 @@ class Packer:
         self.parts: list[tuple[tuple, np.ndarray]] = []  # (doc_id, start, doc_tokens) and ids, not yet in a sequence
         self.held = 0
 
-    def _take(self, size: int) -> tuple[np.ndarray, list[dict]]:
-        """A sequence of the first size ids held."""
+    def _take(self, size: int) -> tuple[np.ndarray, list[tuple]]:
+        """A sequence of the first size ids held, and its pieces, as PIECE tells them."""
         ids, pieces, offset = [], [], 0
         while offset < size:
             (doc, start, total), own = self.parts.pop(0)
             n = min(len(own), size - offset)
             if n < len(own):
                 self.parts.insert(0, ((doc, start + n, total), own[n:]))
-            pieces.append({"doc_id": doc, "start": start, "length": n, "doc_tokens": total, "offset": offset})
+            pieces.append((doc, start, n, total, offset))
             ids.append(own[:n])
             offset += n
         self.held -= size
         return np.concatenate(ids), pieces
 
-    def add(self, doc: tuple, ids: np.ndarray) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    def add(self, doc: tuple, ids: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple]]]:
         self.parts.append((doc, ids))
         self.held += len(ids)
         while self.held >= self.length:
             yield self._take(self.length)
 
-    def rest(self) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    def rest(self) -> Iterator[tuple[np.ndarray, list[tuple]]]:
         while self.held:
             yield self._take(1 << (self.held.bit_length() - 1))
 
@@ -175,27 +193,33 @@ def pack(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, pid, seq = Packer(length), TaskContext.get().partitionId(), 0
-        out: list[dict] = []
-        kind = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("pieces", pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "offset")])))])
+        out: list[tuple[int, np.ndarray, list[tuple]]] = []
+
+        def handed() -> pa.RecordBatch:
+            numbers, ids, pieces = zip(*out)
+            each = [pa.array(c, pa.int64()) for c in zip(*(p for own in pieces for p in own))]
+            ends = pa.array(np.cumsum([0, *map(len, pieces)]), pa.int32())
+            columns = [pa.array(numbers, pa.int64()), pa.array(list(map(len, ids)), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(each, list(PIECE)))]
+            return pa.RecordBatch.from_arrays(columns, names=["sequence_id", "n_tokens", "ids", "pieces"])
 
-        def made(sequences: Iterator[tuple[np.ndarray, list[dict]]]) -> Iterator[pa.RecordBatch]:
+        def made(sequences: Iterator[tuple[np.ndarray, list[tuple]]]) -> Iterator[pa.RecordBatch]:
             nonlocal seq, out
             for ids, pieces in sequences:
-                out.append({"sequence_id": pid << 33 | seq, "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes(), "pieces": pieces})
+                out.append((pid << 33 | seq, ids, pieces))
                 seq += 1
                 if len(out) == ROWS:
-                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    yield handed()
                     out = []
 
         for batch in batches:
-            for doc, start, total, data in zip(*(batch.column(i) for i in range(4))):
-                yield from made(packer.add((doc.as_py(), start.as_py(), total.as_py()), unpress(data.as_py())))
+            for doc, start, total, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                yield from made(packer.add((doc, start, total), unpress(data.as_py())))
         yield from made(packer.rest())
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+            yield handed()
 
     ordered = curve_keys(write_tokens(docs, **options)).repartitionByRange("key", "row").sortWithinPartitions("key", "row")
-    piece = "struct<doc_id:long,start:long,length:long,doc_tokens:long,offset:long>"
+    piece = f"struct<{','.join(f'{name}:long' for name in PIECE)}>"
     return ordered.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, f"sequence_id long, n_tokens int, ids binary, pieces array<{piece}>")
 
 
