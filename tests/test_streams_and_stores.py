@@ -261,3 +261,63 @@ def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert len(list((tmp_path / "fold" / "out").glob("batch=*"))) <= 4  # the files, the time after them, and what each makes due
     assert spark.conf.get(name, None) == before
+
+
+def table(rows, schema):
+    import pyarrow as pa
+
+    return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)
+
+
+def test_sightings_of_many_keys_are_those_of_each():
+    rng = random.Random(3)
+    for _ in range(200):
+        fold, keys = life.Sightings(1), rng.randrange(1, 6)
+        fold.micros = rng.choice([1, 5, 20])
+        events = table(sorted((3 * rng.randrange(keys), rng.randrange(60), i, rng.choice("ab")) for i in range(rng.randrange(30))), life.WAITING)
+        begun = [(k, rng.randrange(-10, 40)) for k in range(0, 3 * keys + 3, 2) if rng.random() < 0.5]
+        known, until = table([(k, "seen", at, at + fold.micros) for k, at in begun], life.KEPT), rng.choice([59, 60, 70, 90])
+        (own, out), (states, want) = fold.many(events, known, until), life.Fold.many(fold, events, known, until)
+        assert sorted(map(str, own.to_pylist())) == sorted(map(str, states.to_pylist()))
+        assert sorted(map(str, out.values.tolist())) == sorted(map(str, want.values.tolist()))
+
+
+def test_events_come_to_the_state_as_records():
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(k % 7, k, rng.randrange(10**9), i, "seen") for i, k in enumerate(rng.randrange(90) for _ in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", *life.WAITING.names])
+    records = [r for b in life.dealt(iter(batch.slice(i, 500) for i in range(0, 3000, 500)), 1500) for r in b.to_pylist()]
+    assert len(records) == 2 * 7
+    own = [r["data"] for r in records if r["bucket"] == 3]
+    fold, store_, out = life.Sightings(60), Held(), []
+    processor = life.Processor(fold)
+    processor.init(store_)
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    list(processor.handleInputRows((3,), iter([pd.DataFrame({"data": own})]), clock))
+    for clock.ms in (3 * 10**5, 10**6, 2 * 10**6):  # sightings last from one to the next
+        for ms in [t for t in store_.timers if t <= clock.ms]:
+            store_.timers.remove(ms)
+            out += [tuple(r) for part in processor.handleExpiredTimer((3,), clock, None) for r in part.itertuples(index=False)]
+        late = life._packed(table([(3, 5, 0, "seen")], life.WAITING))
+        list(processor.handleInputRows((3,), iter([pd.DataFrame({"data": [late]})]), clock))  # earlier than what is replayed
+    want = []
+    for key in range(3, 90, 7):
+        events = sorted((at, tie) for _, k, at, tie, _ in rows if k == key)
+        want += [(key, *r) for r in life.replay(fold, None, [(at, "seen") for at, _ in events], 10**10)[1]]
+    assert sorted(out, key=str) == sorted(want, key=str) and len({r[0] for r in out}) > 5
+
+
+def test_partitions_of_a_state_follow_cores(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        spark.createDataFrame([(1, DAY, 1, "seen")], SCHEMA).write.parquet(f"{tmp_path}/in")
+        out = store.FoldedEvents(spark, f"{tmp_path}/out", life.Sightings(60), "10 minutes")
+        out.run(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+        assert len([p for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]) == store.ROUNDS * 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

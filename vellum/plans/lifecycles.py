@@ -98,7 +98,7 @@ def folded_events(spark, sf_dir, fold, select=job_events, late="40 days"):
     """The fold of the events table as a stream, some files at a time, then of the time after it. Files come in any order, so lateness spans them."""
     out = streams.FoldedEvents(spark, workspace(spark, "fold"), fold, late)
     rows = select(streams.table_stream(spark, sf_dir, "events", bytes_per_trigger=BATCH_BYTES))
-    out.run(rows)
+    out.run(rows, settle=False)
     out.advance(datetime(2100, 1, 1))
     out.run(rows)
     return out.result()
